@@ -21,19 +21,21 @@ def to_fixed(x: Column, digits: int) -> Column:
     1.01. ``format_number`` judges the binary value but takes true ties to even; a
     true tie is an odd multiple of a power of two, and is nudged outward first.
     """
-    halves = F.abs(x) * float(2 ** (digits + 1))
-    tie = (halves == F.floor(halves)) & (halves % 2.0 == 1.0)
-    nudged = x + F.when(tie, F.signum(x) * 1e-9).otherwise(0.0)
     pattern = "0." + "0" * digits if digits else "0"
-    return F.call_function("format_number", nudged, F.lit(pattern)).cast("double") + 0.0
+
+    def one(v: Column) -> Column:
+        halves = F.abs(v) * float(2 ** (digits + 1))
+        tie = (halves == F.floor(halves)) & (halves % 2.0 == 1.0)
+        nudged = v + F.when(tie, F.signum(v) * 1e-9).otherwise(0.0)
+        return F.call_function("format_number", nudged, F.lit(pattern)).cast("double") + 0.0
+
+    # The lambda binds x once, so a chain of rounded columns stays linear in size when Catalyst inlines it.
+    return F.element_at(F.transform(F.array(x), one), 1)
 
 
 def with_fixed(df: DataFrame, digits: int, **named: Column) -> DataFrame:
-    """Add rounded columns, each computed once before it is rounded."""
-    raw = {f"_raw_{k}": v for k, v in named.items()}
-    df = df.withColumns(raw)
-    df = df.withColumns({k: to_fixed(F.col(f"_raw_{k}"), digits) for k in named})
-    return df.drop(*raw)
+    """Add rounded columns."""
+    return df.withColumns({k: to_fixed(v, digits) for k, v in named.items()})
 
 
 def array_median(values: Column) -> Column:

@@ -16,6 +16,8 @@ from ..functions.geo import haversine_km, haversine_m
 from .scale import top_per
 
 KM_PER_DEG = 111.0
+ARC_KM = 111.19508
+"""Kilometers in a degree of arc on the mean sphere."""
 DENSE_CELL = 64
 """A cell with more targets than this is looked at in finer cells."""
 FINE = 16
@@ -85,10 +87,14 @@ def nearest_within(points: DataFrame, point_id: str, targets: DataFrame, target_
 
 def _prune(cand: DataFrame, radius_km: float, k: int) -> DataFrame:
     """Drop cells of a point that lie farther than the k-th nearest target can be."""
-    lat, lon = F.col("p_lat"), F.col("p_lon")
-    far = F.greatest(*[haversine_km(lat, lon, F.col(a), F.col(b)) for a in "st" for b in "we"]) * 1.001
-    near = haversine_km(lat, lon, F.least(F.greatest(lat, F.col("s")), F.col("t")),
-                        F.least(F.greatest(lon, F.col("w")), F.col("e"))) * 0.999
+    lat, lon, pad = F.col("p_lat"), F.col("p_lon"), radius_km / KM_PER_DEG * 1.01
+    # Bounds on the sphere by the widest and the narrowest degree of longitude in reach.
+    wide = F.cos(F.radians(F.greatest(F.lit(0.0), F.abs(lat) - pad))) * ARC_KM
+    slim = F.cos(F.radians(F.abs(lat) + pad)) * ARC_KM
+    far = 1.001 * F.hypot(F.greatest(F.abs(lat - F.col("s")), F.abs(lat - F.col("t"))) * ARC_KM,
+                          F.greatest(F.abs(lon - F.col("w")), F.abs(lon - F.col("e"))) * wide)
+    near = 0.999 * F.hypot(F.greatest(F.lit(0.0), F.col("s") - lat, lat - F.col("t")) * ARC_KM,
+                           F.greatest(F.lit(0.0), F.col("w") - lon, lon - F.col("e")) * slim)
     cand = cand.withColumns({"far": far, "near": near}).filter(F.col("near") <= radius_km)
     # At most the cells around one point are in this window, not the targets in them.
     by = Window.partitionBy("p_id")

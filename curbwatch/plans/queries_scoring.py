@@ -19,7 +19,7 @@ HOLD_S = 86400.0
 
 
 def plain_scores(fx: Fixtures) -> DataFrame:
-    return score_cameras(Inputs(fx.fresh, fx.camera, fx.incident, fx.now, corridor=fx.corridor))
+    return score_cameras(Inputs(fx.fresh, fx.camera, fx.incident, fx.now, corridor=fx.corridor, links=fx.links))
 
 
 def gates_now(fx: Fixtures) -> DataFrame:
@@ -28,7 +28,7 @@ def gates_now(fx: Fixtures) -> DataFrame:
 
 def full_scores(fx: Fixtures) -> DataFrame:
     gates = gates_now(fx)
-    return score_cameras(Inputs(fx.fresh, fx.camera, fx.incident, fx.now, corridor=fx.corridor, gates=gates,
+    return score_cameras(Inputs(fx.fresh, fx.camera, fx.incident, fx.now, corridor=fx.corridor, links=fx.links, gates=gates,
                                 reviews=L.review_effect(gates), verdicts=L.current_verdicts(fx.incident, fx.verdict)))
 
 
@@ -118,7 +118,7 @@ def p21(fx):
 
 @query("j4_incident_cameras", f"SELECT incident_id, camera_id, {r('km')} AS km, CAST(rank AS BIGINT) AS rank FROM links")
 def j4(fx):
-    return rounded(fx.links)
+    return rounded(L.incident_cameras(fx.incident, fx.camera))
 
 
 CODES_SQL = "(VALUES ('T1','Crash',TRUE,FALSE),('T2','Road blocked',TRUE,TRUE),('T3','Traffic stop',FALSE,FALSE)) AS codes(type, c_label, c_rel, c_clo)"

@@ -42,6 +42,7 @@ class Inputs:
     reviews: DataFrame | None = None
     verdicts: DataFrame | None = None
     baselines: DataFrame | None = None
+    links: DataFrame | None = None
 
 
 def score_cameras(x: Inputs) -> DataFrame:
@@ -49,7 +50,7 @@ def score_cameras(x: Inputs) -> DataFrame:
     state = camera_state(x.fresh, x.now)
     priors = scale_priors(x.cameras)
     medians = region_median(x.fresh, x.cameras).select("region_id", "region_diff")
-    links = incident_cameras(x.incidents, x.cameras)
+    links = x.links if x.links is not None else incident_cameras(x.incidents, x.cameras)
     floors = strongest_floor(floors_by_record(links, x.incidents, x.now, x.verdicts))
     df = state.join(priors, "camera_id").join(medians, "region_id", "left").join(floors, "camera_id", "left")
     if x.corridor is not None:
@@ -90,7 +91,8 @@ def attention_columns(df: DataFrame) -> DataFrame:
         "mu": shrunk_baseline(F.col("cell_n"), F.col("cell_mean"), F.col("rolling"))})
     df = df.withColumn("anomaly_raw", relative_movement(F.col("diff"), F.col("mu"), F.col("samples")))
     df = df.withColumns({"activity": to_fixed(F.col("activity_raw"), 3), "anomaly": to_fixed(F.col("anomaly_raw"), 3)})
-    visual = SCORE.weight_anomaly * F.coalesce("anomaly", F.lit(0.0)) + SCORE.weight_spectacle * F.coalesce("anomaly", F.lit(0.0))
+    # Spectacle equals anomaly while no absolute volume measure exists, so the two weights act on one value.
+    visual = (SCORE.weight_anomaly + SCORE.weight_spectacle) * F.coalesce("anomaly", F.lit(0.0))
     df = df.withColumns({"plain_movement": F.col("amplifier") * visual,
                          "strongest": F.greatest("incident_floor", "queue_floor", "still_floor")})
     df = df.withColumn("looked", F.col("plain_movement") * F.col("look"))
