@@ -81,7 +81,7 @@ def nearest_within(points: DataFrame, point_id: str, targets: DataFrame, target_
             .join(t.alias("t"), (F.col("c.g") == F.col("t.g")) & F.col("c.f").eqNullSafe(F.col("t.f")))
             .withColumn("km", haversine_km(F.col("p_lat"), F.col("p_lon"), F.col("t_lat"), F.col("t_lon")))
             .filter(F.col("km") <= radius_km))
-    near = top_per(near, ["p_id"], [F.col("km"), F.col("t_id")], k, "rank")
+    near = top_per(near, ["p_id"], [F.round("km", 9), F.col("t_id")], k, "rank")
     return near.select(F.col("p_id").alias(point_id), F.col("t_id").alias(target_id), "km", "rank")
 
 

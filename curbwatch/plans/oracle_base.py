@@ -116,7 +116,7 @@ cte("fx_edge", """SELECT * FROM (SELECT camera_id AS src,
   lead(camera_id) OVER (PARTITION BY region_id ORDER BY camera_id) AS dst, region_id,
   CASE WHEN camera_id%7=0 THEN 'nearby' WHEN camera_id%3=0 THEN 'freeway' WHEN camera_id%3=1 THEN 'street' ELSE 'ramp' END AS kind,
   CAST(200+(camera_id*53)%1800 AS DOUBLE) AS length_m, CAST(20+(camera_id*31)%90 AS DOUBLE) AS tt_s FROM fx_camera) WHERE dst IS NOT NULL""")
-cte("links", f"""SELECT incident_id, camera_id, km, rank FROM (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY km, camera_id) AS rank FROM (
+cte("links", f"""SELECT incident_id, camera_id, km, rank FROM (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY round(km, 9), camera_id) AS rank FROM (
   SELECT i.incident_id, c.camera_id, {hav_km('i.lat', 'i.lon', 'c.lat', 'c.lon')} AS km
   FROM fx_incident i JOIN fx_camera c ON abs(c.lat-i.lat)<=0.02E0 AND abs(c.lon-i.lon)<=0.05E0) WHERE km<=1.5E0) WHERE rank<=6""")
 cte("corr_up", """SELECT start, site, length_m, hops, tt_s FROM (SELECT *, row_number() OVER (PARTITION BY start, site ORDER BY length_m, hops, tt_s) AS rn FROM (

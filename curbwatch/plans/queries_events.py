@@ -134,7 +134,7 @@ def w11(fx):
 
 @query("w12_sun_relay", f"""SELECT now, region_id, phase, {r('elevation', 4)} AS elevation, CASE WHEN p=3 THEN (CASE WHEN next_sunrise IS NOT NULL THEN region_id END) ELSE nr END AS next_region, CASE WHEN p=3 THEN next_sunrise ELSE na END AS next_at FROM (
   SELECT c.*, CASE p WHEN 0 THEN 'sunset' WHEN 1 THEN 'sunrise' WHEN 2 THEN 'waiting' ELSE 'night' END AS phase,
-  (SELECT arg_min(o.region_id, o.next_sunset) FROM relay_cross o WHERE o.now=c.now AND o.region_id<>c.region_id AND o.next_sunset>CASE WHEN c.elevation<=0 THEN c.now ELSE coalesce(c.next_sunset, c.now) END) AS nr,
+  (SELECT arg_min(o.region_id, {{'a': o.next_sunset, 'b': o.region_id}}) FROM relay_cross o WHERE o.now=c.now AND o.region_id<>c.region_id AND o.next_sunset>CASE WHEN c.elevation<=0 THEN c.now ELSE coalesce(c.next_sunset, c.now) END) AS nr,
   (SELECT min(o.next_sunset) FROM relay_cross o WHERE o.now=c.now AND o.region_id<>c.region_id AND o.next_sunset>CASE WHEN c.elevation<=0 THEN c.now ELSE coalesce(c.next_sunset, c.now) END) AS na FROM (
   SELECT *, row_number() OVER (PARTITION BY now ORDER BY p, v, region_id) AS rn FROM (
   SELECT *, CASE p WHEN 0 THEN abs(elevation) WHEN 1 THEN abs(elevation) WHEN 2 THEN elevation ELSE coalesce(next_sunrise, 1E18) END AS v FROM (
@@ -165,11 +165,11 @@ def a22b(fx):
     return rounded(C.diary_of(fx.poll.select("poll_id", "at", F.date_format("ts", "yyyy-MM-dd").alias("day")), "2024-01-15").select("poll_id", "at"))
 
 
-@query("t3_first_seen", """SELECT incident_id, fetch, max(CASE WHEN ret THEN fetch END) OVER (PARTITION BY incident_id ORDER BY fetch) AS seen_from FROM (
-  SELECT *, coalesce(fetch-lag(fetch) OVER (PARTITION BY incident_id ORDER BY fetch)>1, TRUE) AS ret FROM (SELECT DISTINCT camera_id%40 AS incident_id, CAST(floor(at/21600E0) AS BIGINT) AS fetch FROM fx_poll))""")
+@query("t3_first_seen", """SELECT incident_id, fetch_no, max(CASE WHEN ret THEN fetch_no END) OVER (PARTITION BY incident_id ORDER BY fetch_no) AS seen_from FROM (
+  SELECT *, coalesce(fetch_no-lag(fetch_no) OVER (PARTITION BY incident_id ORDER BY fetch_no)>1, TRUE) AS ret FROM (SELECT DISTINCT camera_id%40 AS incident_id, CAST(floor(at/21600E0) AS BIGINT) AS fetch_no FROM fx_poll))""")
 def t3(fx):
     snaps = fx.poll.select((F.col("camera_id") % 40).alias("incident_id"), F.floor(F.col("at") / 21600.0).alias("fetch")).distinct()
-    return C.first_seen(snaps, F.floor(F.col("fetch") / 28)).select("incident_id", "fetch", "seen_from")
+    return C.first_seen(snaps, F.floor(F.col("fetch") / 28)).select("incident_id", F.col("fetch").alias("fetch_no"), "seen_from")
 
 
 @query("t2_learned_baseline")

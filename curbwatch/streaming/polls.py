@@ -59,7 +59,7 @@ def camera_states(polls: DataFrame, late: str = "1 hour", idle_ms: int = 86_400_
         since = None if np.isnan(held["since"]) else float(held["since"])
         state.update((last, polls_n, frames, same, gone, recent, held["n"].tolist(), held["mean"].tolist(), held["m2"].tolist(),
                       since, cell, cell_n, cell_mean, flag))
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(rows["at"].iloc[-1] * 1000)) + idle_ms)
         rolling = float(np.median(recent)) if len(recent) >= SCORE.min_samples else None
         yield pd.DataFrame([(key[0], last, polls_n, frames, same, gone, len(recent), rolling, cell, cell_n, cell_mean, flag)],
                            columns=[c.split()[0] for c in STATE_OUT.split(", ")])
@@ -67,7 +67,7 @@ def camera_states(polls: DataFrame, late: str = "1 hour", idle_ms: int = 86_400_
     stamped = (polls.withColumn("event_time", F.timestamp_micros((F.col("at") * 1e6).cast("bigint")))
                .withColumn("cell", hour_of_week_at(F.col("at"))).withWatermark("event_time", late)
                .select("camera_id", "poll_id", "at", "diff", "result", "cell", "event_time"))
-    return stamped.groupBy("camera_id").applyInPandasWithState(update, STATE_OUT, STATE_HELD, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return stamped.groupBy("camera_id").applyInPandasWithState(update, STATE_OUT, STATE_HELD, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def pulse_windows(polls: DataFrame, cameras: DataFrame, late: str = "10 minutes") -> DataFrame:
