@@ -50,7 +50,7 @@ def session(cpus: int = 8):
     from pyspark.sql import SparkSession
     return (SparkSession.builder.master(f"local[{cpus}]").appName("curbwatch").config("spark.sql.shuffle.partitions", "8")
             .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "12g")
-            .config("spark.driver.extraJavaOptions", "-Xss16m").config("spark.log.level", "ERROR").getOrCreate())
+            .config("spark.driver.extraJavaOptions", "-Xss16m").config("spark.log.level", "ERROR").config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate())
 
 
 def main(folder: str, only: list[str]) -> None:
