@@ -77,10 +77,13 @@ def dot(w: Column, x: Column) -> Column:
     return F.aggregate(F.zip_with(w, x, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
 
 
-def personal_ranking(pool: DataFrame, weights: DataFrame, k: int = 5) -> DataFrame:
-    """Each voter's own top cameras of each city; from ten votes on."""
+def personal_ranking(pool: DataFrame, weights: DataFrame, views: DataFrame, k: int = 5) -> DataFrame:
+    """Each voter's own top cameras of the city they look at; from ten votes on.
+
+    `views` is (voter, region_id), the cities that are open.
+    """
     able = weights.filter(F.col("votes") >= PREFERENCE.min_votes)
-    scored = pool.join(able, "voter").withColumn("score", dot(F.col("weights"), F.col("x")))
+    scored = pool.join(views.join(able, "voter"), "region_id").withColumn("score", dot(F.col("weights"), F.col("x")))
     return top_per(scored, ["voter", "region_id"], [F.col("score").desc(), F.col("camera_id")], k, "rank").select("voter", "region_id", "camera_id", "score", "rank")
 
 
@@ -128,9 +131,10 @@ def hit_rates(ranked: DataFrame, columns: dict[str, str], replicates: int = PREF
     interval needs only n and k, however many votes there are.
     """
     common = ranked.filter((F.col("mode") == "evaluate") & F.col("by_equation").isNotNull() & F.col("by_look").isNotNull())
-    pairs = F.array(*[F.struct(F.lit(n).alias("ranker"), hit(F.col(c)).alias("hit")) for n, c in columns.items()])
-    strata = F.array(F.lit("all"), F.col("stratum"))
-    rows = common.select(F.explode(strata).alias("stratum"), F.inline(pairs)).filter(F.col("hit").isNotNull())
+    stacked = ", ".join(f"'{n}', {c}" for n, c in columns.items())
+    long = common.selectExpr("stratum", "pick", f"stack({len(columns)}, {stacked}) AS (ranker, preference)")
+    rows = (long.select(F.explode(F.array(F.lit("all"), F.col("stratum"))).alias("stratum"), "ranker", hit(F.col("preference")).alias("hit"))
+            .filter(F.col("hit").isNotNull()))
     counts = rows.groupBy("stratum", "ranker").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("k"))
 
     @F.pandas_udf("struct<low: double, high: double>")

@@ -136,10 +136,10 @@ def spliced(fx):
 
 
 cte("splice_e", """SELECT *, concat('n', CAST(src AS VARCHAR)) AS a, concat('n', CAST(dst AS VARCHAR)) AS b, concat('site:', CAST(src AS VARCHAR)) AS h FROM fx_edge WHERE kind<>'nearby'""")
-cte("splice_p", """SELECT a AS s, b AS t, length_m AS m, tt_s AS x, src%5=0 AS both FROM splice_e WHERE src%2<>0 UNION ALL SELECT a, h, length_m/2, tt_s/2, src%5=0 FROM splice_e WHERE src%2=0 UNION ALL SELECT h, b, length_m/2, tt_s/2, src%5=0 FROM splice_e WHERE src%2=0""")
+cte("splice_p", """SELECT a AS s, b AS t, length_m AS m, tt_s AS x, src%5=0 AS twoway FROM splice_e WHERE src%2<>0 UNION ALL SELECT a, h, length_m/2, tt_s/2, src%5=0 FROM splice_e WHERE src%2=0 UNION ALL SELECT h, b, length_m/2, tt_s/2, src%5=0 FROM splice_e WHERE src%2=0""")
 
 
-@query("g2_spliced_road", f"""SELECT s AS src, t AS dst, {r('m')} AS length_m, {r('x')} AS tt_s FROM splice_p UNION ALL SELECT t, s, {r('m')}, {r('x')} FROM splice_p WHERE both""")
+@query("g2_spliced_road", f"""SELECT s AS src, t AS dst, {r('m')} AS length_m, {r('x')} AS tt_s FROM splice_p UNION ALL SELECT t, s, {r('m')}, {r('x')} FROM splice_p WHERE twoway""")
 def g2(fx):
     return rounded(spliced(fx).select("src", "dst", "length_m", "tt_s"))
 

@@ -54,8 +54,9 @@ def e1b(fx):
 
 @query("e2_personal_ranking")
 def e2(fx):
-    pool = L.features(plain_scores(fx), fx.now).select("camera_id", "region_id", "x", F.explode(F.sequence(F.lit(0), F.lit(39))).cast("bigint").alias("voter"))
-    return rounded(L.personal_ranking(pool, L.fit_voters(fx.vote)))
+    pool = L.features(plain_scores(fx), fx.now).select("camera_id", "region_id", "x")
+    views = fx.vote.select("voter", (F.col("voter") % 25).cast("int").alias("region_id")).distinct()
+    return rounded(L.personal_ranking(pool, L.fit_voters(fx.vote), views))
 
 
 @query("e4_held_out_model")

@@ -44,18 +44,18 @@ def w1(fx):
     return rounded(B.rolling_median(fx.fresh).select("poll_id", "camera_id", "samples", "rolling"))
 
 
-@query("w2_hour_of_week_cell", f"""SELECT poll_id, camera_id, CAST(cell AS BIGINT) AS cell, cell_n, {r('cell_mean')} AS cell_mean,
+@query("w2_hour_of_week_cell", f"""SELECT poll_id, camera_id, CAST(cell AS BIGINT) AS cell, cell_n, {r('cell_mean', 12)} AS cell_mean,
   CASE WHEN cell_n>=2 THEN {r('cell_sd', 5)} END AS cell_sd FROM hist_dense""")
 def w2(fx):
     out = B.cell_before(fx.fresh_dense).select("poll_id", "camera_id", "cell", "cell_n", "cell_mean", "cell_sd")
-    return rounded(out.withColumn("cell_sd", F.round("cell_sd", 5)))
+    return rounded(out.withColumn("cell_sd", F.round("cell_sd", 5)), 12)
 
 
-@query("w3_blended_baseline", f"""SELECT poll_id, cell_n, {r('CASE WHEN rolling IS NULL THEN (CASE WHEN cell_n>0 THEN cell_mean END) ELSE cell_n/(cell_n+5E0)*coalesce(cell_mean,0E0)+5E0/(cell_n+5E0)*rolling END')} AS baseline
+@query("w3_blended_baseline", f"""SELECT poll_id, cell_n, {r('CASE WHEN rolling IS NULL THEN (CASE WHEN cell_n>0 THEN cell_mean END) ELSE cell_n/(cell_n+5E0)*coalesce(cell_mean,0E0)+5E0/(cell_n+5E0)*rolling END', 12)} AS baseline
   FROM (SELECT poll_id, CASE WHEN count(*) OVER w>=3 THEN median(diff) OVER w END AS rolling FROM fx_fresh_dense
   WINDOW w AS (PARTITION BY camera_id ORDER BY at, poll_id ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)) JOIN hist_dense USING (poll_id)""")
 def w3(fx):
-    return rounded(B.blended_baseline(fx.fresh_dense).select("poll_id", "cell_n", "baseline"))
+    return rounded(B.blended_baseline(fx.fresh_dense).select("poll_id", "cell_n", "baseline"), 12)
 
 
 @query("w4_frame_difference", """SELECT camera_id, seq, round(diff, 5)+0E0 AS diff FROM (SELECT camera_id, seq,

@@ -10,6 +10,7 @@ from ..functions.geo import plausible_us
 from ..operators.baseline import frame_metrics
 from ..sources import feeds, osm
 from ..sources import tables as T
+from . import api
 from .oracle_base import fixed, hav_m, r
 from .registry import query, rounded
 
@@ -218,7 +219,7 @@ def p9(fx):
     return c.agg(F.count_if(plausible_us(F.col("lat"), F.col("lon"))).alias("kept"), F.count(F.lit(1)).alias("total"))
 
 
-@query("p11_region_box", f"""SELECT region_id, {fixed('(lat-d)', 4)} AS south, {fixed('(lat+d)', 4)} AS north, {fixed('(lon-w)', 4)} AS west, {fixed('(lon+w)', 4)} AS east, lower(replace(name, ' ', '-')) AS slug FROM (
+@query("p11_region_box", f"""SELECT region_id, {fixed('(lat-d)', 4)} AS south, {fixed('(lat+d)', 4)} AS north, {fixed('(lon-w)', 4)} AS west, {fixed('(lon+w)', 4)} AS east, regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g') AS slug FROM (
   SELECT *, 15E0/110.574E0 AS d, 15E0/(110.574E0*greatest(cos(radians(lat)), 0.01E0)) AS w FROM fx_region)""")
 def p11(fx):
     return T.region_around(fx.region, 15.0).select("region_id", "south", "north", "west", "east", "slug")
@@ -229,3 +230,23 @@ def p46(fx):
     places = fx.region.select("region_id", "name", F.concat(F.lit("S"), (F.col("region_id") % 7).cast("string")).alias("state"), "lat", "lon")
     sources = fx.spark.createDataFrame([("a", ["S0", "S1"]), ("b", ["S2"]), ("c", ["S4"])], "source string, states array<string>")
     return T.regions_for_places(places, sources, 15.0).select("region_id", "source")
+
+
+@query("a12_catalog_summary", "SELECT count(*) AS cameras, count(CASE WHEN camera_id%3=0 THEN 1 END) AS with_video, count(CASE WHEN camera_id%5<>4 THEN 1 END) AS with_direction, count(CASE WHEN camera_id%7=0 THEN 1 END) AS with_mile_marker FROM fx_camera")
+def a12(fx):
+    k = F.col("camera_id")
+    cams = fx.camera.select(F.when(k % 3 == 0, "v").alias("video_url"), F.when(k % 5 != 4, "N").alias("direction"), F.when(k % 7 == 0, 1.0).alias("mile_marker"))
+    return api.catalog_summary(cams)
+
+
+@query("a12_count_summary", """SELECT region_id, count(*) AS matched, min(aadt) AS least, max(aadt) AS most, count(*) FILTER (WHERE camera_id%2=0) AS aligned, max(CASE WHEN rn=n//2+1 THEN aadt END) AS median FROM (
+  SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY aadt, camera_id) AS rn, count(*) OVER (PARTITION BY region_id) AS n FROM fx_camera WHERE aadt IS NOT NULL) GROUP BY region_id""")
+def a12b(fx):
+    counted = fx.camera.filter(F.col("aadt").isNotNull()).select("camera_id", "region_id", "aadt", (F.col("camera_id") % 2 == 0).alias("aligned"))
+    return api.count_summary(counted)
+
+
+@query("a13_region_coverage", """SELECT g.region_id, (SELECT count(*) FROM fx_camera c WHERE c.region_id=g.region_id) AS cameras, g.region_id%3=0 AND EXISTS (SELECT 1 FROM fx_edge e WHERE e.region_id=g.region_id) AS built, r.r_name AS source_name FROM fx_region g JOIN region r ON r.r_regionkey=g.source_id""")
+def a13(fx):
+    src = fx.table("region").select(F.col("r_regionkey").alias("source_id"), F.col("r_name").alias("source_name"))
+    return api.regions(fx.region, src, fx.camera, fx.edge.filter(F.col("region_id") % 3 == 0)).select("region_id", "cameras", "built", "source_name")
