@@ -19,6 +19,11 @@ HOLD_S = 86400.0
 
 
 def plain_scores(fx: Fixtures) -> DataFrame:
+    """One scoring pass kept as a table; boards, tiers and city summaries are views of it."""
+    return fx.kept("plain_scores", lambda: score_plain(fx))
+
+
+def score_plain(fx: Fixtures) -> DataFrame:
     return score_cameras(Inputs(fx.fresh, fx.camera, fx.incident, fx.now, corridor=fx.corridor, links=fx.links))
 
 
@@ -27,6 +32,10 @@ def gates_now(fx: Fixtures) -> DataFrame:
 
 
 def full_scores(fx: Fixtures) -> DataFrame:
+    return fx.kept("full_scores", lambda: score_full(fx))
+
+
+def score_full(fx: Fixtures) -> DataFrame:
     gates = gates_now(fx)
     return score_cameras(Inputs(fx.fresh, fx.camera, fx.incident, fx.now, corridor=fx.corridor, links=fx.links, gates=gates,
                                 reviews=L.review_effect(gates), verdicts=L.current_verdicts(fx.incident, fx.verdict)))
@@ -227,7 +236,7 @@ FLAGSHIP_COLUMNS = ["region_id", "rank", "camera_id", "attention", "movement", "
 
 @query("rank_cameras_per_city", FLAGSHIP_SQL)
 def flagship(fx):
-    top = R.top_regions(plain_scores(fx))
+    top = R.top_regions(score_plain(fx))
     from ..functions.numeric import to_fixed
     out = top.withColumns({"baseline": to_fixed(F.col("mu"), 5), "baseline_n": F.col("cell_n"), "rank": F.col("rank").cast("bigint"),
                            "amplifier": F.round("amplifier", 6)})
@@ -237,7 +246,7 @@ def flagship(fx):
 @query("p28_attention_with_arbiter", """SELECT camera_id, attention, equation, movement, activity, anomaly, incident_floor, incident_base, queue_floor, still_floor,
   driver, shown_driver, reason AS trigger FROM scored_full""")
 def p28(fx):
-    return full_scores(fx).select("camera_id", "attention", "equation", "movement", "activity", "anomaly", "incident_floor", "incident_base",
+    return score_full(fx).select("camera_id", "attention", "equation", "movement", "activity", "anomaly", "incident_floor", "incident_base",
                                   "queue_floor", "still_floor", "driver", "shown_driver", "trigger")
 
 
