@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import ROADS
 from ..functions.geo import along, axis_offset, bearing_deg, bearing_diff, direction_bearing, haversine_m, to_latlon, to_xy
 from ..functions.text import route_tokens
-from .scale import durable
+from .scale import chunk_rank, durable
 from .spatial import pairs_within, points_and_boxes
 
 FREEWAY = "motorway"
@@ -161,7 +161,6 @@ def build_sites(cameras: DataFrame, snaps: DataFrame) -> DataFrame:
     label = components(placed.select(F.col("camera_id").alias("id")), compatible_pairs(placed)).withColumnRenamed("id", "camera_id")
     out = cameras.select("camera_id", "region_id").join(label, "camera_id")
     sites = out.select("region_id", "component").distinct()
-    from .scale import chunk_rank
     ranked = chunk_rank(sites, ["region_id"], [("_b", F.floor(F.col("component") / 100_000), False)], [F.col("component")], "n")
     name = F.concat(F.col("region_id").cast("string"), F.lit(":S"), F.lpad((F.col("n") - 1).cast("string"), 3, "0"))
     name = F.when(F.col("n") > 1000, F.concat(F.col("region_id").cast("string"), F.lit(":S"), (F.col("n") - 1).cast("string"))).otherwise(name)
@@ -270,12 +269,12 @@ def adjacency(paths: DataFrame, sites: DataFrame, nodes: DataFrame, snaps: DataF
     n = lambda x, q: nodes.select(F.col("node").alias(x), F.col("lat").alias(f"{q}_lat"), F.col("lon").alias(f"{q}_lon"))
     steps = steps.select("src", "dst", "i", F.col("s.u").alias("u"), F.col("s.v").alias("v")).join(n("u", "a"), "u").join(n("v", "b"), "v")
     steps = steps.join(road_class.select(F.col("src").alias("u"), F.col("dst").alias("v"), "highway").dropDuplicates(["u", "v"]), ["u", "v"])
-    pts = snaps.select(F.col("site_id").alias("by"), "lat", "lon", F.col("lat").alias("lat0"), F.col("lon").alias("lon0"),
+    pts = snaps.select(F.col("site_id").alias("passer"), "lat", "lon", F.col("lat").alias("lat0"), F.col("lon").alias("lon0"),
                        F.col("seg_bearing").alias("snap_bearing"), F.col("two_way").alias("snap_two_way"), "is_freeway")
-    near = snap_candidates(pts, steps.withColumnRenamed("seg_bearing", "_x") if "seg_bearing" in steps.columns else steps, ROADS.passby_m)
-    near = near.filter((F.col("by") != F.col("src")) & (F.col("by") != F.col("dst")))
+    near = snap_candidates(pts, steps, ROADS.passby_m)
+    near = near.filter((F.col("passer") != F.col("src")) & (F.col("passer") != F.col("dst")))
     # The path is judged where the snap is closest to it.
-    at = near.groupBy("src", "dst", "by", "lat", "lon", "snap_bearing", "snap_two_way", "is_freeway").agg(
+    at = near.groupBy("src", "dst", "passer", "lat", "lon", "snap_bearing", "snap_two_way", "is_freeway").agg(
         F.min(F.struct("distance_m", "i", "seg_bearing", "highway")).alias("m"))
     blocks = ((F.col("m.highway") == FREEWAY) == F.col("is_freeway")) & (
         F.col("snap_two_way") | (bearing_diff(F.col("snap_bearing"), F.col("m.seg_bearing")) <= 135.0))
@@ -296,9 +295,8 @@ def graph_report(edges: DataFrame, sites: DataFrame) -> DataFrame:
 
 def snap_report(cameras: DataFrame, snaps: DataFrame) -> DataFrame:
     """Snap distances, direction offsets and reversals, and route agreement in one row."""
-    from ..functions.geo import bearing_diff as diff
     c = cameras.select("camera_id", "direction", "refs").join(snaps.filter(F.col("way_id").isNotNull()), "camera_id")
-    off = F.when(~F.col("two_way") & (F.col("highway") == FREEWAY), diff(F.col("seg_bearing"), direction_bearing(F.col("direction"))))
+    off = F.when(~F.col("two_way") & (F.col("highway") == FREEWAY), bearing_diff(F.col("seg_bearing"), direction_bearing(F.col("direction"))))
     seg = route_tokens(F.col("ref"))
     named = F.size("refs") > 0
     return c.withColumns({"off": off, "seg": seg}).agg(

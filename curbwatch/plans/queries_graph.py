@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.geo import bearing_deg
 from ..functions.text import route_label, route_tokens
 from ..operators import corridor as C
 from ..operators import roads as D
@@ -152,6 +153,23 @@ def g3(fx):
 cte("chain_order", "SELECT camera_id, region_id, row_number() OVER (PARTITION BY region_id ORDER BY camera_id) AS n FROM fx_camera")
 
 
+@query("j17_site_adjacency")
+def j17(fx):
+    road = fx.kept("spliced", lambda: spliced(fx))
+    e = fx.edge.filter((F.col("kind") != "nearby") & (F.col("src") % 2 == 0))
+    pos = fx.camera.select("camera_id", "lat", "lon")
+    a = pos.withColumnsRenamed({"camera_id": "src", "lat": "a_lat", "lon": "a_lon"})
+    b = pos.withColumnsRenamed({"camera_id": "dst", "lat": "b_lat", "lon": "b_lon"})
+    mid = e.join(a, "src").join(b, "dst").select(
+        F.col("src").cast("string").alias("site_id"), ((F.col("a_lat") + F.col("b_lat")) / 2).alias("lat"), ((F.col("a_lon") + F.col("b_lon")) / 2).alias("lon"),
+        (F.col("kind") == "freeway").alias("is_freeway"), (F.col("src") % 5 == 0).alias("two_way"), F.array().cast("array<string>").alias("refs"),
+        bearing_deg(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")).alias("seg_bearing"))
+    nodes = pos.select(F.concat(F.lit("n"), F.col("camera_id").cast("string")).alias("node"), "lat", "lon").unionByName(
+        mid.select(F.concat(F.lit("site:"), "site_id").alias("node"), "lat", "lon"))
+    out = D.adjacency(D.shortest_between_hubs(road), mid, nodes, mid, road)
+    return rounded(out.select("src", "dst", "kind", "length_m", "tt_s"))
+
+
 @query("g5_road_paths", """SELECT a.camera_id AS pair_id, CAST(b.n-a.n AS BIGINT) AS hops, sum(e.length_m) AS length_m FROM chain_order a JOIN chain_order b ON b.region_id=a.region_id AND b.n=a.n+a.camera_id%12 JOIN chain_order x ON x.region_id=a.region_id AND x.n>=a.n AND x.n<b.n JOIN fx_edge e ON e.src=x.camera_id
   WHERE a.camera_id%12 BETWEEN 1 AND 8 GROUP BY a.camera_id, a.n, b.n""")
 def g5(fx):

@@ -154,3 +154,13 @@ def regions_for_places(places: DataFrame, sources: DataFrame, radius_km: float)
     """
     cover = sources.select("source", F.explode("states").alias("state")).groupBy("state").agg(F.max("source").alias("source"))
     return region_around(places, radius_km).join(F.broadcast(cover), "state", "left")
+
+
+def state_outlines(documents: DataFrame) -> DataFrame:
+    """State polygons with their rings as (x, y) points and the center of their box."""
+    schema = "states array<struct<code: string, name: string, rings: array<array<array<double>>>>>"
+    s = documents.select(F.explode(F.from_json("body", schema)["states"]).alias("s")).select("s.*")
+    rings = F.transform("rings", lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
+    s = s.withColumn("rings", rings).withColumn("points", F.flatten("rings"))
+    mid = lambda c: (F.array_min(F.transform("points", lambda p: p[c])) + F.array_max(F.transform("points", lambda p: p[c]))) / 2.0
+    return s.withColumns({"center_x": mid("x"), "center_y": mid("y")}).drop("points")

@@ -139,3 +139,86 @@ def test_511_view_labels_only_when_several(spark):
     body = '[{"Latitude":41,"Longitude":-93,"Location":"I-80 at 5th","Views":[{"Url":"https://a/1","Description":"East"},{"Url":"https://a/2","Description":"West","Status":"Disabled"}]}]'
     row = feeds.dev511(spark.createDataFrame([(body,)], "body string"), "x").first()
     assert row["location"] == "I-80 at 5th" and row["roadway"] == "I-80"
+
+
+def adjacency_case(spark, opposite):
+    """Sites A and B on one straight road; site C's snap stands beside it on a parallel carriageway."""
+    nodes = spark.createDataFrame([("site:A", 40.0, -90.0), ("n1", 40.005, -90.0), ("site:B", 40.01, -90.0)], "node string, lat double, lon double")
+    road = spark.createDataFrame([("site:A", "n1", 556.0, 20.0, "motorway"), ("n1", "site:B", 556.0, 20.0, "motorway")], "src string, dst string, length_m double, tt_s double, highway string")
+    sites = spark.createDataFrame([("A", 40.0, -90.0, True, ["I5"]), ("B", 40.01, -90.0, True, ["I5"]), ("C", 40.006, -90.0003, True, ["I5"])], "site_id string, lat double, lon double, is_freeway boolean, refs array<string>")
+    snaps = spark.createDataFrame([("A", 40.0, -90.0, 0.0, False, True), ("B", 40.01, -90.0, 0.0, False, True), ("C", 40.006, -90.0003, 180.0 if opposite else 0.0, False, True)],
+                                  "site_id string, lat double, lon double, seg_bearing double, two_way boolean, is_freeway boolean")
+    return [(r["src"], r["dst"], r["kind"]) for r in R.adjacency(R.shortest_between_hubs(road), sites, nodes, snaps, road).collect()]
+
+
+def test_a_snap_on_the_flow_blocks_and_the_other_side_does_not(spark):
+    assert adjacency_case(spark, opposite=True) == [("A", "B", "freeway")]
+    assert adjacency_case(spark, opposite=False) == []
+
+
+def test_streamed_state_equals_batch(spark, tmp_path):
+    from curbwatch.streaming import polls as P
+    rng = random.Random(9)
+    for part in range(3):
+        rows = [(part * 100 + i, i % 4, 1_700_000_000.0 + (part * 100 + i) * 60.0, rng.random() / 50, rng.choice(["fresh", "fresh", "unchanged", "unavailable"])) for i in range(100)]
+        spark.createDataFrame(rows, "poll_id long, camera_id long, at double, diff double, result string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    table = spark.read.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    P.run_once(P.camera_states(stream, late="30 days"), str(tmp_path / "out"), str(tmp_path / "ck"))
+    last = spark.read.parquet(str(tmp_path / "out")).groupBy("camera_id").agg(F.max_by(F.struct("polls", "frames", "samples"), "polls").alias("s")).select("camera_id", "s.*")
+    want = table.groupBy("camera_id").agg(F.count(F.lit(1)).alias("polls"), F.count_if(F.col("result") == "fresh").alias("frames"))
+    assert last.join(want, ["camera_id", "polls", "frames"]).count() == 4
+    assert all(r["samples"] == min(24, r["frames"]) for r in last.collect())
+
+
+def test_streamed_pulse(spark, tmp_path):
+    from curbwatch.streaming import polls as P
+    rows = [(i, i % 3, 1_700_000_000.0 + i, 0.01 * (i % 3 + 1), "fresh") for i in range(30)]
+    spark.createDataFrame(rows, "poll_id long, camera_id long, at double, diff double, result string").write.parquet(str(tmp_path / "in"))
+    cams = spark.createDataFrame([(0, 1), (1, 1), (2, 1)], "camera_id long, region_id int")
+    table = spark.read.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(table.schema).parquet(str(tmp_path / "in"))
+    q = (P.pulse_windows(stream, cams).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True)
+         .foreachBatch(lambda b, e: P.write_pulse(b, e, str(tmp_path / "out"))).start())
+    q.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() > 0 and got.filter("abs(median - 0.02) > 1e-9 AND median_n = 3").count() == 0
+
+
+def test_catalog_and_log_round_trip(spark, tmp_path):
+    import json
+    from curbwatch.sources import tables as T
+    cam = dict(id=1, region="r", source="s", image_path="i", roadway="I-5", direction=None, location="x", lat=1.0, lon=2.0, video_url=None, video_auth=False, link_id=None, source_system="z", mile_marker=None)
+    (tmp_path / "cameras.json").write_text(json.dumps([cam]))
+    assert T.read_catalog(spark, str(tmp_path / "cameras.json")).first()["roadway"] == "I-5"
+    (tmp_path / "bad.json").write_text(json.dumps([{**cam, "lat": "north"}]))
+    with pytest.raises(Exception):
+        T.read_catalog(spark, str(tmp_path / "bad.json")).collect()
+    T.write_log(spark.createDataFrame([(0, 1_700_000_000.0)], "rank int, ts double"), F.col("ts"), str(tmp_path / "log"))
+    assert str(spark.read.json(str(tmp_path / "log")).first()["day"]) == "2023-11-14"
+
+
+def test_outline_with_a_hole(spark):
+    from curbwatch.operators.metros import camera_state
+    from curbwatch.sources import tables as T
+    body = '{"states":[{"code":"AA","name":"A","rings":[[[0,0],[0,4],[4,4],[4,0]],[[1,1],[1,2],[2,2],[2,1]]]}]}'
+    s = T.state_outlines(spark.createDataFrame([(body,)], "body string")).withColumn("state_id", F.lit(1)).withColumn("source_id", F.lit(1))
+    cams = spark.createDataFrame([(1, 1, 3.0, 3.0), (2, 1, 1.5, 1.5), (3, 1, 9.0, 9.0)], "camera_id long, source_id int, lat double, lon double")
+    got = {r["camera_id"]: r["inside"] for r in camera_state(cams, s.drop("code", "name")).collect()}
+    assert got == {1: True, 2: False, 3: False}
+
+
+def test_unknown_camera_choice_is_an_error(spark):
+    from curbwatch.sources import tables as T
+    cams = spark.createDataFrame([(1, True, "a"), (2, False, "b")], "camera_id long, is_freeway boolean, location string")
+    assert T.select_cameras(cams, "2").count() == 1
+    with pytest.raises(Exception):
+        T.select_cameras(cams, "2,9").collect()
+
+
+def test_local_source_may_not_redefine_a_published_one(spark):
+    from curbwatch.sources import tables as T
+    pub = spark.createDataFrame([("a", 1)], "key string, v int")
+    assert T.overlay(pub, spark.createDataFrame([("b", 2)], "key string, v int"), "key").count() == 2
+    with pytest.raises(Exception):
+        T.overlay(pub, spark.createDataFrame([("a", 2)], "key string, v int"), "key").collect()
