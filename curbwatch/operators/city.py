@@ -9,7 +9,7 @@ from ..config import CITY
 from ..functions.geo import haversine_km, solar_elevation
 from ..functions.numeric import array_median, with_fixed
 from .ranking import score_order
-from .scale import group_median, running, top_per
+from .scale import group_median, running, top_per, with_halo
 
 
 def region_summary(regions: DataFrame, scored: DataFrame) -> DataFrame:
@@ -155,8 +155,8 @@ def nearest_cities(regions: DataFrame, current: int) -> DataFrame:
 def sun_crossings(cities: DataFrame, starts: DataFrame) -> DataFrame:
     """Next sunset and sunrise of every city from every start, at one-minute steps within a day.
 
-    Start times are grouped by their second within the minute, so that each minute's
-    elevation is computed once per city and phase rather than once per start.
+    `starts` holds one row per moment asked about and cities are a fixed list, so
+    each moment costs a day of minutes per city, computed where its row is.
     """
     steps = (starts.crossJoin(F.broadcast(cities)).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(1440))))
              .withColumn("t", F.col("now") + F.col("step") * 60.0)
@@ -204,7 +204,6 @@ def sky_transitions(looks: DataFrame, chunk_s: float = 7 * 86400.0) -> DataFrame
     A city's first look writes nothing. Looks come once a minute per city; a week of
     them is the largest group a task holds.
     """
-    from .scale import with_halo
     seen = looks.filter(F.col("cameras") > 0).select(
         "region_id", "at", (F.col("sun_elevation") > 0).alias("up"), F.coalesce(F.col("weather") == "murky", F.lit(False)).alias("murky"),
         F.coalesce(F.col("weather") == "snow", F.lit(False)).alias("snow")).withColumn("chunk", F.floor(F.col("at") / chunk_s))

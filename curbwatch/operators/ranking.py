@@ -12,9 +12,6 @@ from ..functions.geo import haversine_km, plausible_us
 from ..functions.scoring import is_held
 from .scale import chunk_rank, top_per
 
-BY_SCORE = ("attention", "camera_id")
-
-
 def score_order(score: str = "attention", key: str = "camera_id") -> list[Column]:
     return [F.col(score).desc(), F.col(key).asc()]
 
@@ -30,15 +27,19 @@ def cap_held(df: DataFrame, keys: Sequence[str], limit: int | Column) -> DataFra
 
     Adds `capped` and `rank_score`; `attention` keeps the original.
     """
-    held = df.filter(is_held(F.col("attention")))
-    rank = chunk_rank(held.select(*keys, "camera_id", "attention"), keys,
-                      [("_score", F.col("attention"), True), ("_ids", F.floor(F.col("camera_id") / 100_000), False)],
-                      score_order(), "held_rank")
-    out = df.join(rank.select("camera_id", "held_rank"), "camera_id", "left")
-    limit = limit if isinstance(limit, Column) else F.lit(limit)
-    capped = F.coalesce(F.col("held_rank") > limit, F.lit(False))
+    held = df.filter(is_held(F.col("attention"))).select(*keys, "camera_id", "attention")
+    if isinstance(limit, int):
+        # Only the first few matter, and Spark keeps no more than that per task before the shuffle.
+        first = top_per(held, keys, score_order(), limit) if keys else held.orderBy(*score_order()).limit(limit)
+        out = df.join(first.select("camera_id", F.lit(True).alias("_kept")), "camera_id", "left")
+        capped = is_held(F.col("attention")) & F.col("_kept").isNull()
+    else:
+        coarse = [("_score", F.col("attention"), True), ("_ids", F.floor(F.col("camera_id") / 100_000), False)]
+        rank = chunk_rank(held, keys, coarse, score_order(), "_kept")
+        out = df.join(rank.select("camera_id", "_kept"), "camera_id", "left")
+        capped = F.coalesce(F.col("_kept") > limit, F.lit(False))
     fallback = SCORE.band * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("movement", F.lit(0.0))))
-    return out.withColumns({"capped": capped, "rank_score": F.when(capped, fallback).otherwise(F.col("attention"))}).drop("held_rank")
+    return out.withColumns({"capped": capped, "rank_score": F.when(capped, fallback).otherwise(F.col("attention"))}).drop("_kept")
 
 
 def wall_tiers(scored: DataFrame, keys: Sequence[str], previous: DataFrame, capped: bool = True) -> DataFrame:

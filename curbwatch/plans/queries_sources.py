@@ -89,7 +89,7 @@ def s7(fx):
     return feeds.c2c_snapshots(docs(fx.camera, xml)).select("device", F.col("picture").cast("string").alias("picture"))
 
 
-@query("s8_traffic_counts", """SELECT aadt, CAST(2020+camera_id%5 AS BIGINT) AS year, roadway, CASE WHEN aadt*0.1E0<>0 THEN 10E0 END AS truck_pct, 2 AS points FROM fx_camera WHERE aadt IS NOT NULL AND roadway<>'Main St'""")
+@query("s8_traffic_counts", """SELECT aadt, CAST(2020+camera_id%5 AS BIGINT) AS year, roadway, CASE WHEN aadt*0.1E0<>0 THEN 10E0 END AS truck_pct, CAST(2 AS BIGINT) AS points FROM fx_camera WHERE aadt IS NOT NULL AND roadway<>'Main St'""")
 def s8(fx):
     k = F.col("camera_id")
     attrs = F.struct(F.col("aadt").alias("AADT"), (F.col("aadt") * 0.1).alias("TRUCKS"), F.col("roadway").alias("NAME"), (2020 + k % 5).alias("YR"))
@@ -111,7 +111,7 @@ def way_docs(fx):
 
 
 @query("s9_road_segments", f"""SELECT camera_id AS way_id, CAST(i AS BIGINT) AS seg_index, CASE WHEN camera_id%4=0 THEN camera_id*3+2-i ELSE camera_id*3+i END AS a, NOT (camera_id%4<2 OR highway IN ('motorway','motorway_link')) AS two_way, round(spd, 4)+0E0 AS maxspeed_kmh,
-  CASE WHEN camera_id%3=2 THEN 'default' ELSE 'tag' END AS maxspeed_source, CASE WHEN camera_id%2=0 THEN 3 END AS lanes, {r('len', 3)} AS length_m FROM (SELECT *, CASE camera_id%3 WHEN 0 THEN 45E0*1.609344E0 WHEN 1 THEN 80E0
+  CASE WHEN camera_id%3=2 THEN 'default' ELSE 'tag' END AS maxspeed_source, CAST(CASE WHEN camera_id%2=0 THEN 3 END AS BIGINT) AS lanes, {r('len', 3)} AS length_m FROM (SELECT *, CASE camera_id%3 WHEN 0 THEN 45E0*1.609344E0 WHEN 1 THEN 80E0
   ELSE CASE highway WHEN 'motorway' THEN 70E0 WHEN 'motorway_link' THEN 45E0 WHEN 'primary' THEN 45E0 ELSE 30E0 END*1.609344E0 END AS spd,
   CASE WHEN (i=0)=(camera_id%4<>0) THEN {hav_m('lat', 'lon', '(lat+0.001E0)', 'lon')} ELSE {hav_m('(lat+0.001E0)', 'lon', '(lat+0.001E0)', '(lon+0.002E0)')} END AS len FROM fx_camera, (VALUES (0), (1)) t(i) WHERE camera_id%10<>9)""")
 def s9(fx):
@@ -119,7 +119,7 @@ def s9(fx):
     return rounded(out.select("way_id", "seg_index", "a", "two_way", F.round("maxspeed_kmh", 4).alias("maxspeed_kmh"), "maxspeed_source", "lanes", F.round("length_m", 3).alias("length_m")))
 
 
-@query("s10_road_background", "SELECT highway, camera_id AS way_id, 3 AS points FROM fx_camera")
+@query("s10_road_background", "SELECT highway, camera_id AS way_id, CAST(3 AS BIGINT) AS points FROM fx_camera")
 def s10(fx):
     return osm.road_background(osm.ways(way_docs(fx))).select("highway", "way_id", F.size("line").cast("bigint").alias("points"))
 
