@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mix, sharding, simhash
+from . import mix, rans, sharding, simhash, token_scan
 from .common import documents
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def tokenizer() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op3_token_counts")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return token_scan.count_tokens(documents(spark, folder), tokenizer(), 49_407)
+
+
 @query("op4_sharding")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
@@ -63,3 +73,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     sized = mix.measured(documents(spark, folder))
     out = mix.planned(sized, sized)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op8_token_binary")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return rans.round_trip(documents(spark, folder), tokenizer(), 2)
