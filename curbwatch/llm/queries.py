@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mix, rans, sharding, simhash, token_scan
+from . import langmix, mix, rans, sharding, simhash, token_scan
 from .common import documents
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,9 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_token_binary")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return rans.round_trip(documents(spark, folder), tokenizer(), 2)
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    out = langmix.predictions(documents(spark, folder).select("doc_id", "text", "lang"))
+    return out.select("doc_id", "held_out", "lang_pred", "score")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .common import stage
 
 _LOW, _HIGH = -(1 << 63), 1 << 63
-#: Conditional sums of one counting job.
+#: Probes of one counting job.
 PROBES = 112
 
 
@@ -27,15 +27,23 @@ class Boundary:
     found: tuple[int, ...] | None = None
 
 
-def before(keys: Sequence[str], at: tuple[int, ...]) -> Column:
-    """Whether the row's key stands before `at`, which may name only the first key columns."""
-    out = F.lit(False)
-    for name, value in reversed(list(zip(keys, at))):
-        if value >= _HIGH:
-            out = F.lit(True)
-        else:
-            out = (F.col(name) < F.lit(value)) | ((F.col(name) == F.lit(value)) & out)
-    return out
+def place(keys: Sequence[str], cuts: Sequence[tuple[int, ...]]) -> Column:
+    """How many of the ascending cuts stand at or before the row's key. A cut may name only the first key columns."""
+    if not cuts:
+        return F.lit(0)
+    whole = [(*c, *[_LOW] * (len(keys) - len(c))) for c in cuts]
+    whole = [c if max(c) < _HIGH else _after(c) for c in whole]
+    struct = lambda c: "struct(" + ", ".join(f"bigint('{v}')" for v in c) + ")"
+    return F.expr(f"size(filter(array({', '.join(map(struct, whole))}), c -> c <= struct({', '.join(keys)})))")
+
+
+def _after(cut: tuple[int, ...]) -> tuple[int, ...]:
+    """The first key after all that begin like `cut` before its component out of range."""
+    at = next(i for i, v in enumerate(cut) if v >= _HIGH)
+    if at == 0:
+        return (_HIGH - 1,) * len(cut)
+    return _after((*cut[:at - 1], cut[at - 1] + 1, *[_LOW] * (len(cut) - at))) if cut[at - 1] + 1 >= _HIGH else (
+        *cut[:at - 1], cut[at - 1] + 1, *[_LOW] * (len(cut) - at))
 
 
 def splitters(df: DataFrame, keys: Sequence[str], size: str, n: int, tolerance: float) -> list[tuple[int, ...]]:
@@ -55,15 +63,15 @@ def splitters(df: DataFrame, keys: Sequence[str], size: str, n: int, tolerance:
         for b in open_:
             m = min(max(1, PROBES // len(open_)), b.high - b.low - 1)
             probes[id(b)] = sorted({b.low + (b.high - b.low) * i // (m + 1) for i in range(1, m + 1)} - {b.low, b.high})
-        tuples = list(dict.fromkeys((*b.prefix, v) for b in open_ for v in probes[id(b)]))
+        tuples = sorted({(*b.prefix, v, *[_LOW] * (len(keys) - len(b.prefix) - 1)) for b in open_ for v in probes[id(b)]})
+        below, sums = (0, 0), dict.fromkeys(range(len(tuples) + 1), (0, 0))
+        sums |= {r[0]: (r[1], r[2]) for r in df.groupBy(place(keys, tuples)).agg(F.sum(size), F.count(F.lit(1))).collect()}  # a row per probe
         counts = {}
-        if tuples:
-            got = df.agg(*[F.sum(F.when(before(keys, t), F.col(size)).otherwise(0)).alias(f"s{i}") for i, t in enumerate(tuples)],
-                         *[F.sum(before(keys, t).cast("bigint")).alias(f"n{i}") for i, t in enumerate(tuples)]).first()
-            counts = {t: (got[f"s{i}"] or 0, got[f"n{i}"] or 0) for i, t in enumerate(tuples)}
+        for i, t in enumerate(tuples):
+            below = counts[t] = (below[0] + sums[i][0], below[1] + sums[i][1])
         for b in open_:
             for v in probes[id(b)]:
-                here = counts[(*b.prefix, v)]
+                here = counts[(*b.prefix, v, *[_LOW] * (len(keys) - len(b.prefix) - 1))]
                 if here[0] <= b.goal:
                     b.low, b.below = v, here
                 else:
@@ -109,9 +117,8 @@ def shard(df: DataFrame, n: int = 8, tolerance: float = 0.001, carry: Sequence[s
     rows = keyed(df.drop("size", "shard", "slot"))
     names = [c for c in carry or df.columns if c not in ("size", "shard", "slot")]
     cuts = splitters(stage(rows.select(*KEY, "_size"), "keys"), KEY, "_size", n, tolerance)
-    number = sum([(~before(KEY, c)).cast("int") for c in cuts], F.lit(0))
     tasks = max(n, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sent = (rows.withColumn("shard", number.cast("int")).repartitionByRange(tasks, "shard", *KEY).sortWithinPartitions("shard", *KEY)
+    sent = (rows.withColumn("shard", place(KEY, cuts).cast("int")).repartitionByRange(tasks, "shard", *KEY).sortWithinPartitions("shard", *KEY)
             .select(*names, F.col("_size").alias("size"), "shard", F.monotonically_increasing_id().alias("_at")))
     placed = stage(sent, "shards")
     part = F.shiftright("_at", 33)
