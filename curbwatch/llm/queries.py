@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langmix, mix, rans, sharding, simhash, token_scan
+from . import langmix, license_scan, mix, rans, secret_scan, sharding, simhash, token_scan
 from .common import documents
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,24 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     out = langmix.predictions(documents(spark, folder).select("doc_id", "text", "lang"))
     return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op9_license_scan")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    out = license_scan.scan(documents(spark, folder))
+    base, more = F.transform("places", lambda p: p["label"]), F.transform("spans", lambda s: s["label"])
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    start = F.transform("places", lambda p: p["start"])
+    score = F.greatest(F.when(F.size("places") > 0, 1.0).otherwise(0.0), F.coalesce(F.array_max(F.transform("spans", lambda s: s["coverage"])), F.lit(0.0)))
+    return out.select("doc_id", "n_words", F.size("places").cast("bigint").alias("n_base"), F.array_min(start).alias("first_word"), F.array_max(start).alias("last_word"),
+                      joined(base).alias("base_labels"), joined(F.concat(base, more)).alias("labels"), score.alias("score"))
+
+
+@query("op10_secret_scan")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    out = secret_scan.scan(documents(spark, folder))
+    kinds = [name for name, *_ in secret_scan.RULES[:secret_scan.BASE]]
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin(kinds))
+    return out.select("doc_id", *[count(k) for k in kinds], F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
