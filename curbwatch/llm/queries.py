@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langmix, license_scan, mix, rans, secret_scan, sharding, simhash, token_scan
+from . import forest, langmix, license_scan, mix, rans, secret_scan, sharding, simhash, token_scan
 from .common import documents
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_embedding_near_dedup")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    out = forest.near_duplicates(spark.read.parquet(f"{folder}/embeddings.parquet"))
+    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 def tokenizer() -> str:
     import public_tokenizers
     return public_tokenizers.path("word_bpe_49k.json")
