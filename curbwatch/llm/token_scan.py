@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder, stage
+from .common import new_folder
 from .tokens import read_binary, token_ids, write_binary
 
-#: Ids of a block, and bytes of a file aimed at when writing.
-BLOCK, FILE_BYTES = 1 << 18, 64 << 20
+#: Ids of a block.
+BLOCK = 1 << 18
 
 
 def scan(spark: SparkSession, folder: str, end_id: int, width: int = 2, block: int = BLOCK) -> DataFrame:
@@ -52,24 +52,21 @@ def scan(spark: SparkSession, folder: str, end_id: int, width: int = 2, block: i
 def write_flat(df: DataFrame, folder: str, tokenizer: str, end_id: int) -> DataFrame:
     """Write the ids of all texts (null: none) to flat files of 2-byte ids, `end_id` after each; no index is written.
 
-    Returns doc_id, shard and doc_no of every row: which file of the folder
-    (shard=<n>) holds it, and as which document. Rows go to files by a hash of
-    their number, so repeated ids and texts spread.
+    A task writes the rows of its partition to one file, in order, without a
+    shuffle, so rows of any id spread as the input does. Returns doc_id, part and
+    doc_no of every row: the number in the name of its file, and which document of
+    it the row is. `df` must give the same rows to the same partitions when it is
+    read again, as a scan of files does.
     """
-    spark = df.sparkSession
-    tokens = stage(df.select("doc_id", token_ids(F.col("text"), tokenizer, plain=True).alias("ids"), F.monotonically_increasing_id().alias("_row")), "tokens")
-    total = tokens.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0]
-    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_BYTES))
-    placed = tokens.withColumn("shard", F.pmod(F.xxhash64("_row"), F.lit(files)).cast("int"))
-    write_binary(placed.repartition(files, "shard").sortWithinPartitions("shard", "_row"), "ids", np.array([end_id], "<u2").tobytes(), folder, by="shard")
-    order = F.row_number().over(Window.partitionBy("shard").orderBy("_row")) - 1
-    return placed.select("doc_id", "shard", order.cast("bigint").alias("doc_no"))
+    write_binary(df.select(token_ids(F.col("text"), tokenizer, plain=True).alias("ids")), "ids", np.array([end_id], "<u2").tobytes(), folder)
+    row = F.monotonically_increasing_id()
+    return df.select("doc_id", F.shiftright(row, 33).cast("int").alias("part"), row.bitwiseAND(F.lit((1 << 33) - 1)).alias("doc_no"))
 
 
 def count_tokens(df: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, shard, doc_no, start and n_tokens of every row of `df`, read off the flat files."""
+    """doc_id, part, doc_no, start and n_tokens of every row of `df`, read off the flat files."""
     folder = new_folder(df.sparkSession, "flat")
     names = write_flat(df, folder, tokenizer, end_id)
     found = scan(df.sparkSession, folder, end_id)
-    found = found.withColumn("shard", F.regexp_extract("path", "shard=(\\d+)", 1).cast("int")).select("shard", "doc_no", "start", "n_tokens")
-    return names.join(found, ["shard", "doc_no"]).select("doc_id", "shard", "doc_no", "start", "n_tokens")
+    found = found.withColumn("part", F.regexp_extract("path", "part-(\\d+)", 1).cast("int")).select("part", "doc_no", "start", "n_tokens")
+    return names.join(found, ["part", "doc_no"]).select("doc_id", "part", "doc_no", "start", "n_tokens")
