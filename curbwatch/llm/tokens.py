@@ -14,7 +14,9 @@ from pyspark.sql.types import BinaryType
 from .common import text_buffer
 
 #: Words whose ids a worker keeps, and the longest word it keeps.
-KEPT_WORDS, KEPT_BYTES = 300_000, 64
+KEPT_WORDS, KEPT_BYTES = 600_000, 64
+#: Words encoded in one call.
+RUN_WORDS = 4096
 
 
 class Encoder:
@@ -34,8 +36,18 @@ class Encoder:
         self.kept: dict[bytes, bytes] = {}
 
     def _ids(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in found]
+        """Ids of each word, from texts of many words; a token belongs to the word in which it begins."""
+        out = []
+        for i in range(0, len(words), RUN_WORDS):
+            run = [w.decode("utf-8", "replace") for w in words[i:i + RUN_WORDS]]
+            found = self.tokenizer.encode(" ".join(run), add_special_tokens=False)
+            begins = np.cumsum([0] + [len(w) + 1 for w in run])
+            ids = np.array(found.ids, self.kind)
+            owner = np.searchsorted(begins, np.fromiter((s for s, _ in found.offsets), np.int64, len(ids)), "right") - 1
+            cuts = (np.searchsorted(owner, np.arange(len(run) + 1)) * ids.itemsize).tolist()
+            flat = ids.tobytes()
+            out += [flat[s:e] for s, e in zip(cuts[:-1], cuts[1:])]
+        return out
 
     def encode(self, text: bytes) -> bytes:
         words = text.split()
@@ -75,14 +87,13 @@ def token_ids(text: Column, path: str, plain: bool = False) -> Column:
     return F.arrow_udf(encode, BinaryType())(text)
 
 
-def write_binary(df: DataFrame, column: str, end: bytes, folder: str, by: str | None = None) -> None:
-    """Write a binary column as raw bytes, `end` after each row, one file a task (and value of `by`)."""
-    rows = df.select(*([by] if by else []), F.col(column).cast("string").alias("value"))
-    out = rows.write.option("encoding", "ISO-8859-1").option("lineSep", end.decode("latin-1")).option("compression", "none")
-    (out.partitionBy(by) if by else out).text(folder)
+def write_binary(df: DataFrame, column: str, end: bytes, folder: str) -> None:
+    """Write a binary column as raw bytes, `end` after each row, one file a task."""
+    rows = df.select(F.col(column).cast("string").alias("value"))
+    rows.write.option("encoding", "ISO-8859-1").option("lineSep", end.decode("latin-1")).option("compression", "none").text(folder)
 
 
 def read_binary(spark, folder: str) -> DataFrame:
     """path and content of the files that write_binary() wrote; a file must stay under 2 GB."""
-    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(folder)
+    return (spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
             .select("path", "content"))
