@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -15,8 +17,15 @@ from .common import text_buffer
 
 #: Words whose ids a worker keeps, and the longest word it keeps.
 KEPT_WORDS, KEPT_BYTES = 600_000, 64
-#: Words encoded in one call.
-RUN_WORDS = 4096
+#: Characters below U+0180 other than white space and controls, by Unicode category.
+_CHARS = [c for c in map(chr, range(0x180)) if len(c.lower()) == 1 and not c.isspace() and unicodedata.category(c) not in ("Cc", "Cf", "Zs")]
+_CLASS = {k: "".join(re.escape(c) for c in _CHARS if (unicodedata.category(c)[0] == k)) for k in "LN"}
+_LATIN = re.compile("[" + "".join(map(re.escape, _CHARS)) + "]*")
+#: The pieces of lower-cased words that the file's splitter pattern gives, for these characters.
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_CLASS['L']}]+|[{_CLASS['N']}]|[^{_CLASS['L']}{_CLASS['N']}]+")
+#: The character that stands for each byte in byte-level vocabularies: itself where it is visible, else one from U+0100 on.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SHOWN = [chr(b) if b in _VISIBLE else chr(256 + sum(x not in _VISIBLE for x in range(b))) for b in range(256)]
 
 
 class Encoder:
@@ -34,20 +43,28 @@ class Encoder:
         self.tokenizer.encode_special_tokens = plain
         self.kind = "<u2" if self.tokenizer.get_vocab_size() < 65_536 else "<u4"
         self.kept: dict[bytes, bytes] = {}
-
-    def _ids(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word, from texts of many words; a token belongs to the word in which it begins."""
-        out = []
-        for i in range(0, len(words), RUN_WORDS):
-            run = [w.decode("utf-8", "replace") for w in words[i:i + RUN_WORDS]]
-            found = self.tokenizer.encode(" ".join(run), add_special_tokens=False)
-            begins = np.cumsum([0] + [len(w) + 1 for w in run])
-            ids = np.array(found.ids, self.kind)
-            owner = np.searchsorted(begins, np.fromiter((s for s, _ in found.offsets), np.int64, len(ids)), "right") - 1
-            cuts = (np.searchsorted(owner, np.arange(len(run) + 1)) * ids.itemsize).tolist()
-            flat = ids.tobytes()
-            out += [flat[s:e] for s, e in zip(cuts[:-1], cuts[1:])]
-        return out
+        self.pieces: dict[str, bytes] = {}
+        sample = "it's A1² ß, Éa's x_y '' don'T"
+        self.cuts = True
+        self.cuts = b"".join(map(self._ids, sample.encode().split())) == np.array(self.tokenizer.encode(sample, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            shown = "".join(map(_SHOWN.__getitem__, piece.encode()))
+            ids = np.array([t.id for t in self.tokenizer.model.tokenize(shown)], self.kind).tobytes()
+            if len(self.pieces) >= KEPT_WORDS:
+                self.pieces.clear()
+            if len(piece) <= KEPT_BYTES:
+                self.pieces[piece] = ids
+        return ids
+
+    def _ids(self, word: bytes) -> bytes:
+        """Ids of a word. One of Latin characters is cut into pieces here, as the tokenizer does, since pieces recur more often than words."""
+        text = word.decode("utf-8", "replace")
+        if self.cuts and _LATIN.fullmatch(text) and "<|" not in text:
+            return b"".join(map(self._piece, _PIECES.findall(text.lower())))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def encode(self, text: bytes) -> bytes:
         words = text.split()
@@ -60,7 +77,7 @@ class Encoder:
         if len(self.kept) + len(missing) > KEPT_WORDS:
             self.kept.clear()
             missing = list(distinct)
-        new = dict(zip(missing, self._ids(missing)))
+        new = {w: self._ids(w) for w in missing}
         here = {w: new[w] if w in new else self.kept[w] for w in distinct}
         self.kept.update((w, i) for w, i in new.items() if len(w) <= KEPT_BYTES and len(self.kept) < KEPT_WORDS)
         return b"".join(map(here.__getitem__, words))
