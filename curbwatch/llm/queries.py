@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forest, langmix, license_scan, mix, rans, secret_scan, sharding, simhash, token_scan
+from . import decontaminate, forest, langmix, license_scan, mix, rans, secret_scan, sharding, simhash, token_scan
 from .common import documents
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,11 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
+@query("op2_decontamination")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_leaks(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
 def tokenizer() -> str:
     import public_tokenizers
     return public_tokenizers.path("word_bpe_49k.json")
