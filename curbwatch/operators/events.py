@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import RANKING, VERDICTS
 from ..functions.numeric import to_fixed
-from ..functions.text import ago, camera_name, label_text, picture, place_name, plain_text
+from ..functions.text import ago, dispatch_place, inside_sentence, picture, sentence_label, without_device_number
 
 
 def highlights(scored: DataFrame, by_record: DataFrame, incidents: DataFrame, corridor: DataFrame, verdicts: DataFrame | None, now: Column) -> DataFrame:
@@ -45,7 +45,7 @@ def highlights(scored: DataFrame, by_record: DataFrame, incidents: DataFrame, co
 def brief(now: Column) -> Column:
     """One sentence or two about an event row."""
     view = picture(F.col("diff"), F.col("baseline"))
-    where = plain_text(camera_name(F.col("camera_name")))
+    where = inside_sentence(without_device_number(F.col("camera_name")))
     ratio = F.col("diff") / F.when(F.col("baseline") > 0, F.col("baseline"))
     age = lambda at: ago(F.greatest(F.lit(0.0), now - at))
     stopped = F.concat(F.lit("Traffic stopped near "), where, F.lit(", where this hour usually moves. Confirmed from the picture "), age(F.col("at")), F.lit("."))
@@ -56,12 +56,12 @@ def brief(now: Column) -> Column:
     answers = F.array_join(F.array_compact(F.array(F.when(F.col("cleared") >= VERDICTS.noul, "Likely already cleared"),
                                                    F.when(F.col("supported") >= VERDICTS.noul, "Cameras support the report"))), " and ")
     evidence = F.when(F.length(answers) > 0, F.concat(answers, F.lit(" and "), seen)).otherwise(
-        F.concat(F.upper(F.substring(seen, 1, 1)), F.substring(seen, 2, 1000)))
-    queue = F.when(F.col("queue_at").isNotNull(), F.concat(F.lit(" A queue could now reach "), plain_text(camera_name(F.col("queue_at"))), F.lit(", "),
+        F.concat(F.upper(F.substring(seen, 1, 1)), F.substr(seen, F.lit(2))))
+    queue = F.when(F.col("queue_at").isNotNull(), F.concat(F.lit(" A queue could now reach "), inside_sentence(without_device_number(F.col("queue_at"))), F.lit(", "),
                                                            F.format_string("%.1f", to_fixed(F.col("queue_m") / 1000.0, 1)), F.lit(" km back."))).otherwise("")
     reported = F.when(F.col("reported_at").isNull(), "").otherwise(F.concat(F.lit(", reported "), age(F.col("reported_at"))))
     about = F.when(F.coalesce("label", F.lit("")) != "", F.col("label")).otherwise(F.col("type"))
-    incident = F.concat(plain_text(label_text(about)), F.lit(" on "), plain_text(place_name(F.col("location"))), reported, F.lit(". "), evidence, F.lit("."), queue)
+    incident = F.concat(inside_sentence(sentence_label(about)), F.lit(" on "), inside_sentence(dispatch_place(F.col("location"))), reported, F.lit(". "), evidence, F.lit("."), queue)
     return F.when(F.col("kind") == "stopped", stopped).when(F.col("kind") == "movement", moving).otherwise(incident)
 
 

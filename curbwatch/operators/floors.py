@@ -60,7 +60,7 @@ def feed_status(regions: DataFrame, feeds: DataFrame) -> DataFrame:
 
 def current_verdicts(incidents: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Verdicts formed from the record as it now stands; an edited record has none."""
-    key = ["incident_id", "type", "reported_at", "location"]
+    key = ["incident_id", "type", "reported_at", "location", "remarks"]
     v, i = verdicts.alias("v"), incidents.select(*key).alias("i")
     same = [F.col(f"v.{c}").eqNullSafe(F.col(f"i.{c}")) for c in key[1:]]
     cond = F.col("v.incident_id") == F.col("i.incident_id")

@@ -6,9 +6,11 @@ Votes are rows with a_* and b_* columns, `pick` ('a' or 'b'), `mode`, `stratum`
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import PREFERENCE, VERDICTS
@@ -77,14 +79,16 @@ def dot(w: Column, x: Column) -> Column:
     return F.aggregate(F.zip_with(w, x, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
 
 
-def personal_ranking(pool: DataFrame, weights: DataFrame, views: DataFrame, k: int = 5) -> DataFrame:
-    """Each voter's own top cameras of the city they look at; from ten votes on.
+def personal_ranking(pool: DataFrame, weights: DataFrame, views: DataFrame) -> DataFrame:
+    """The whole wall of a city in each voter's own order; from ten votes on.
 
-    `views` is (voter, region_id), the cities that are open.
+    `views` is (voter, region_id): only the cities voters have open are ranked, each
+    in a window as large as one city's wall.
     """
     able = weights.filter(F.col("votes") >= PREFERENCE.min_votes)
     scored = pool.join(views.join(able, "voter"), "region_id").withColumn("score", dot(F.col("weights"), F.col("x")))
-    return top_per(scored, ["voter", "region_id"], [F.col("score").desc(), F.col("camera_id")], k, "rank").select("voter", "region_id", "camera_id", "score", "rank")
+    order = Window.partitionBy("voter", "region_id").orderBy(F.col("score").desc(), "camera_id")
+    return scored.select("voter", "region_id", "camera_id", "score", F.row_number().over(order).alias("rank"))
 
 
 def _apart(a: Column, b: Column) -> Column:
@@ -107,44 +111,50 @@ def hit(preference: Column) -> Column:
 def held_out(votes: DataFrame, folds: int = PREFERENCE.folds) -> DataFrame:
     """Each evaluation vote predicted by its voter's model fitted without its fold.
 
-    Folds are dealt by a hash of the vote; learn votes are in every fit.
+    Folds are dealt by a hash of the vote; learn votes are in every fit. Only the
+    votes a model is fitted to are the voter's retained ones: every evaluation vote
+    is predicted. A preference under 1e-9 is null: the model cannot tell.
     """
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         d, y = _rows(pdf)
-        fold, out = pdf["fold"].to_numpy(), []
-        for k in range(folds):
-            test = fold == k
-            if test.any() and (~test).any():
-                w = descend(d[~test], y[~test])
-                out.append(pd.DataFrame({"vote_id": pdf["vote_id"].to_numpy()[test], "by_person": d[test] @ w}))
-        return pd.concat(out) if out else pd.DataFrame({"vote_id": pd.Series(dtype="int64"), "by_person": pd.Series(dtype="float64")})
+        fold = pdf["fold"].to_numpy()
+        fits = {k: descend(d[fold != k], y[fold != k]).tolist() for k in range(folds) if (fold != k).any()}
+        return pd.DataFrame({"voter": pdf["voter"].iloc[0], "fold": list(fits), "weights": list(fits.values())})
 
-    fold = F.when(F.col("mode") == "evaluate", F.pmod(F.xxhash64("vote_id", F.lit(PREFERENCE.seed)), F.lit(folds))).otherwise(-1)
-    kept = retained(votes).select("voter", "vote_id", "a_x", "b_x", "pick", fold.alias("fold"))
-    return kept.groupBy("voter").applyInPandas(fit, "vote_id bigint, by_person double")
+    fold = F.when(F.col("mode") == "evaluate", F.pmod(F.xxhash64("vote_id", F.lit(PREFERENCE.seed)), F.lit(folds))).otherwise(-1).cast("bigint")
+    models = (retained(votes).select("voter", "a_x", "b_x", "pick", fold.alias("fold"))
+              .groupBy("voter").applyInPandas(fit, "voter bigint, fold bigint, weights array<double>"))
+    asked = votes.filter("mode = 'evaluate'").select("voter", "vote_id", "a_x", "b_x", fold.alias("fold"))
+    score = dot(F.col("weights"), F.zip_with("a_x", "b_x", lambda a, b: a - b))
+    return asked.join(models, ["voter", "fold"]).select("vote_id", _apart(score, F.lit(0.0)).alias("by_person"))
 
 
 def hit_rates(ranked: DataFrame, columns: dict[str, str], replicates: int = PREFERENCE.bootstrap) -> DataFrame:
-    """Hit rate and 95% bootstrap interval per stratum and ranking on the choices both anchors decide.
+    """Hit rate and 95% bootstrap interval per stratum and ranking on the choices its anchors decide.
+
+    The anchors are the equation and the look; where no look decides any choice of a
+    stratum, the equation alone.
 
     Resampling n zeros and ones with k ones gives a binomial count of ones, so each
     interval needs only n and k, however many votes there are.
     """
-    common = ranked.filter((F.col("mode") == "evaluate") & F.col("by_equation").isNotNull() & F.col("by_look").isNotNull())
+    each = (ranked.filter((F.col("mode") == "evaluate") & F.col("by_equation").isNotNull())
+            .withColumn("_stratum", F.explode(F.array(F.lit("all"), F.coalesce("stratum", F.lit(""))))))
+    looked = each.groupBy("_stratum").agg(F.max(F.col("by_look").isNotNull()).alias("_looked"))
+    common = each.join(looked, "_stratum").filter(~F.col("_looked") | F.col("by_look").isNotNull())
     stacked = ", ".join(f"'{n}', {c}" for n, c in columns.items())
-    long = common.selectExpr("stratum", "pick", f"stack({len(columns)}, {stacked}) AS (ranker, preference)")
-    rows = (long.select(F.explode(F.array(F.lit("all"), F.col("stratum"))).alias("stratum"), "ranker", hit(F.col("preference")).alias("hit"))
-            .filter(F.col("hit").isNotNull()))
+    long = common.selectExpr("nullif(_stratum, '') AS stratum", "pick", f"stack({len(columns)}, {stacked}) AS (ranker, preference)")
+    rows = long.select("stratum", "ranker", hit(F.col("preference")).alias("hit")).filter(F.col("hit").isNotNull())
     counts = rows.groupBy("stratum", "ranker").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("k"))
 
     @F.pandas_udf("struct<low: double, high: double>")
-    def interval(n: pd.Series, k: pd.Series) -> pd.DataFrame:
-        rng = np.random.default_rng(PREFERENCE.seed)
-        means = [np.sort(rng.binomial(a, b / a, replicates) / a) for a, b in zip(n, k)]
+    def interval(n: pd.Series, k: pd.Series, name: pd.Series) -> pd.DataFrame:
+        seeded = lambda text: np.random.default_rng([PREFERENCE.seed, zlib.crc32(text.encode())])
+        means = [np.sort(seeded(t).binomial(a, b / a, replicates) / a) for a, b, t in zip(n, k, name)]
         low, high = int(0.025 * replicates), int(0.975 * replicates) - 1
         return pd.DataFrame({"low": [m[low] for m in means], "high": [m[high] for m in means]})
 
-    return counts.withColumn("i", interval("n", "k")).select("stratum", "ranker", "n", (F.col("k") / F.col("n")).alias("rate"),
+    return counts.withColumn("i", interval("n", "k", F.concat_ws(":", "stratum", "ranker"))).select("stratum", "ranker", "n", (F.col("k") / F.col("n")).alias("rate"),
                                                              F.when(F.col("n") > 1, F.col("i.low")).alias("low"), F.when(F.col("n") > 1, F.col("i.high")).alias("high"))
 
 
@@ -216,7 +226,7 @@ def next_pairs(pool: DataFrame, weights: Column, seed: int, draws: int = 31) ->
     The first camera of a draw is random; so is its partner, by joining two seeded
     samples on the draw number, so that cities of any size give `draws` pairs.
     """
-    pick = lambda s, q: top_per(pool.withColumn("_r", F.rand(s)), ["region_id"], [F.col("_r")], draws, "draw").select(
+    pick = lambda s, q: top_per(pool.withColumn("_r", F.xxhash64("camera_id", F.lit(s))), ["region_id"], [F.col("_r"), F.col("camera_id")], draws, "draw").select(
         "region_id", "draw", F.col("camera_id").alias(f"{q}_id"), F.col("x").alias(f"{q}_x"))
     pairs = pick(seed, "a").join(pick(seed + 1, "b"), ["region_id", "draw"]).filter(F.col("a_id") != F.col("b_id"))
     z = dot(weights, F.zip_with("a_x", "b_x", lambda a, b: a - b))
@@ -228,8 +238,8 @@ def next_pairs(pool: DataFrame, weights: Column, seed: int, draws: int = 31) ->
 def next_eval_pairs(pool: DataFrame, opposed: DataFrame, seed: int) -> DataFrame:
     """Per city, half the time a pair the rankings order oppositely, else any pair, sides shuffled."""
     coin = F.pmod(F.xxhash64("region_id", F.lit(seed)), F.lit(2)) == 0
-    split = top_per(opposed.withColumn("_r", F.rand(seed)), ["region_id"], [F.col("_r")], 1).select("region_id", F.col("a_id").alias("d_a"), F.col("b_id").alias("d_b"))
-    two = top_per(pool.withColumn("_r", F.rand(seed + 1)), ["region_id"], [F.col("_r")], 2, "n")
+    split = top_per(opposed.withColumn("_r", F.xxhash64("a_id", "b_id", F.lit(seed))), ["region_id"], [F.col("_r")], 1).select("region_id", F.col("a_id").alias("d_a"), F.col("b_id").alias("d_b"))
+    two = top_per(pool.withColumn("_r", F.xxhash64("camera_id", F.lit(seed + 1))), ["region_id"], [F.col("_r")], 2, "n")
     any_two = two.groupBy("region_id").agg(F.max(F.when(F.col("n") == 1, F.col("camera_id"))).alias("r_a"), F.max(F.when(F.col("n") == 2, F.col("camera_id"))).alias("r_b"))
     out = any_two.filter(F.col("r_b").isNotNull()).join(split, "region_id", "left")
     use = coin & F.col("d_a").isNotNull()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -194,8 +196,11 @@ def splice(segments: DataFrame, hubs: DataFrame) -> DataFrame:
     `hubs`: site_id, way_id, seg_index, t. A site's points closer than half a metre
     on one segment are one. Hubs of one segment are few; a segment is one short road.
     """
-    by = Window.partitionBy("way_id", "seg_index", "site_id").orderBy("t")
-    kept = hubs.withColumn("p", F.lag("t").over(by)).filter(F.col("p").isNull() | (F.col("t") - F.col("p") > 0.5)).drop("p")
+    # A point counts when it is far enough from the last one kept, not from the one before.
+    far = lambda held, t: F.when((F.size(held) == 0) | (t - F.element_at(held, -1) > 0.5), F.concat(held, F.array(t))).otherwise(held)
+    spots = hubs.groupBy("way_id", "seg_index", "site_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    kept = spots.select("way_id", "seg_index", "site_id", F.explode(F.when(F.size("ts") == 1, F.col("ts")).otherwise(
+        F.aggregate("ts", F.array().cast("array<double>"), far))).alias("t"))
     hub = kept.select("way_id", "seg_index", "t", F.concat(F.lit("site:"), "site_id").alias("node"))
     touched = hub.select("way_id", "seg_index").distinct()
     base = segments.join(touched, ["way_id", "seg_index"])
@@ -214,7 +219,7 @@ def splice(segments: DataFrame, hubs: DataFrame) -> DataFrame:
     return fwd.unionByName(back).drop("two_way")
 
 
-def shortest_between_hubs(edges: DataFrame, cutoff_m: float = ROADS.adjacency_cutoff_m, max_rounds: int = 4000) -> DataFrame:
+def shortest_between_hubs(edges: DataFrame, cutoff_m: float = ROADS.adjacency_cutoff_m) -> DataFrame:
     """Shortest road path between hubs within a cutoff, those through another hub dropped afterwards.
 
     Labels (start hub, node) are relaxed round by round; only labels that improved
@@ -229,7 +234,7 @@ def shortest_between_hubs(edges: DataFrame, cutoff_m: float = ROADS.adjacency_cu
         F.col("src").alias("start"), F.col("dst").alias("node"), F.col("step_m").alias("length_m"), F.lit(1).alias("round"), F.col("step_s").alias("tt_s"),
         F.lit(False).alias("via"), F.array("src", "dst").alias("path"), F.array("step_class").alias("classes"))
     best = durable(start)
-    for turn in range(2, max_rounds):
+    for turn in count(2):
         front = best.filter(F.col("round") == turn - 1)
         grown = (front.join(e, front.node == e.src).filter(F.col("dst") != F.col("start"))
                  .withColumn("total", F.col("length_m") + F.col("step_m")).filter(F.col("total") <= cutoff_m)
@@ -363,7 +368,7 @@ def trip_steps(edges: DataFrame, sites: DataFrame) -> DataFrame:
     return direct.unionByName(second).groupBy("src", "dst", "route").agg(F.min(F.struct("length_m", "tt_s")).alias("s")).select("src", "dst", "route", "s.length_m", "s.tt_s")
 
 
-def plan_trips(edges: DataFrame, sites: DataFrame, min_stops: int = 3, max_rounds: int = 10_000) -> DataFrame:
+def plan_trips(edges: DataFrame, sites: DataFrame, min_stops: int = 3) -> DataFrame:
     """The longest drive along each route of a city and the longest the other way, one row a stop.
 
     Every start grows its chain one stop a round, taking the nearest unvisited
@@ -381,12 +386,12 @@ def plan_trips(edges: DataFrame, sites: DataFrame, min_stops: int = 3, max_round
         F.array(F.struct(F.col("site_id").alias("site"), F.lit(0.0).alias("distance_m"), F.lit(0.0).alias("leg_m"), F.lit(0.0).alias("leg_s"))).alias("stops"))
     chains = durable(chains)
     ended = None
-    for _ in range(max_rounds):
+    while True:
         move = chains.join(steps.select(F.col("src").alias("head"), "route", F.col("dst"), F.col("length_m").alias("m"), F.col("tt_s").alias("t")), ["head", "route"])
         move = move.filter(~F.exists("stops", lambda x: x["site"] == F.col("dst")))
         best = move.groupBy("region_id", "route", "start").agg(F.min(F.struct("m", "dst", "t")).alias("b"))
         joined = chains.join(best, ["region_id", "route", "start"], "left")
-        stop = joined.filter(F.col("b").isNull()).select("region_id", "route", "start", "stops")
+        stop = durable(joined.filter(F.col("b").isNull()).select("region_id", "route", "start", "stops"))
         ended = stop if ended is None else ended.unionByName(stop)
         so_far = F.element_at("stops", -1)["distance_m"]
         added = F.struct(F.col("b.dst").alias("site"), (so_far + F.col("b.m")).alias("distance_m"), F.col("b.m").alias("leg_m"), F.col("b.t").alias("leg_s"))

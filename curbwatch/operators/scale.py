@@ -8,9 +8,10 @@ finish inside the chunks, so that the work of a hot key spreads over its chunks.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNK_S = 7 * 86400.0
@@ -122,13 +123,26 @@ def group_median(df: DataFrame, keys: Sequence[str], value: str, name: str, bin_
     return agg.withColumn(name, (F.col("_lo") + F.col("_hi")) / 2.0).drop("_lo", "_hi")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through the checkpoint folder the session names; a temporary one only where none is set."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder spark.checkpoint.dir names. Without one, a local session (as in tests) gets a temporary folder; on a cluster it is an error."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import tempfile
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            import tempfile
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a stream's output or checkpoint, below the shared one."""
+    return f"{shared_folder(spark)}/{name}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -18,9 +18,8 @@ from .scale import top_per
 KM_PER_DEG = 111.0
 ARC_KM = 111.19508
 """Kilometers in a degree of arc on the mean sphere."""
-DENSE_CELL = 64
-"""A cell with more targets than this is looked at in finer cells."""
 FINE = 16
+"""Finer cells along each side of a cell."""
 
 
 def _row(lat: Column, width: float) -> Column:
@@ -67,18 +66,14 @@ def nearest_within(points: DataFrame, point_id: str, targets: DataFrame, target_
     extent = [F.count(F.lit(1)).alias("n"), F.min("t_lat").alias("s"), F.max("t_lat").alias("t"),
               F.min("t_lon").alias("w"), F.max("t_lon").alias("e")]
     coarse = t.groupBy("g").agg(*extent)
-    dense = coarse.filter(F.col("n") > DENSE_CELL).select("g", F.lit(True).alias("dense"))
-    t = t.join(dense, "g", "left").withColumn("f", F.when(F.col("dense"), F.col("f"))).drop("dense")
-    fine = t.filter(F.col("f").isNotNull()).groupBy("g", "f").agg(*extent)
+    fine = t.groupBy("g", "f").agg(*extent)
 
     p = points.select(F.col(point_id).alias("p_id"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
     spread = p.withColumn("g", F.explode(covering(*box(F.col("p_lat"), F.col("p_lon"), radius_km), width)))
-    cand = _prune(spread.join(coarse, "g"), radius_km, k)
-    split = cand.filter(F.col("n") > DENSE_CELL).drop("n", "s", "t", "w", "e").join(fine, "g")
-    whole = cand.filter(F.col("n") <= DENSE_CELL).withColumn("f", F.lit(None).cast(fine.schema["f"].dataType))
-    cand = _prune(whole.unionByName(split), radius_km, k)
+    cand = _prune(spread.join(coarse, "g"), radius_km, k).drop("n", "s", "t", "w", "e")
+    cand = _prune(cand.join(fine, "g"), radius_km, k)
     near = (cand.select("p_id", "p_lat", "p_lon", "g", "f").alias("c")
-            .join(t.alias("t"), (F.col("c.g") == F.col("t.g")) & F.col("c.f").eqNullSafe(F.col("t.f")))
+            .join(t.alias("t"), (F.col("c.g") == F.col("t.g")) & (F.col("c.f") == F.col("t.f")))
             .withColumn("km", haversine_km(F.col("p_lat"), F.col("p_lon"), F.col("t_lat"), F.col("t_lon")))
             .filter(F.col("km") <= radius_km))
     near = top_per(near, ["p_id"], [F.round("km", 9), F.col("t_id")], k, "rank")

@@ -110,6 +110,7 @@ class Fixtures:
                 .select(i.alias("incident_id"), "region_id",
                         F.concat(F.lit("T"), (i % 6).cast("string")).alias("type"),
                         F.concat(F.lit("MILE "), (i % 200).cast("string")).alias("location"),
+                        F.when(i % 4 != 3, F.concat(F.lit("NOTE "), (i % 11).cast("string"))).alias("remarks"),
                         epoch("ts").alias("reported_at"),
                         (F.col("rlat") + ((i * 53) % 100 - 50) * 0.001).alias("lat"),
                         (F.col("rlon") + ((i * 71) % 100 - 50) * 0.001).alias("lon"),
@@ -189,7 +190,7 @@ class Fixtures:
         chosen = F.when(i % 5 == 0, None).when(i % 5 < 3, F.col("first_id")).otherwise(F.coalesce("up_id", "first_id"))
         return n.select(
             "incident_id", F.when(i % 9 == 0, F.lit("T9")).otherwise(F.col("type")).alias("type"),
-            "reported_at", "location", (F.col("reported_at") + (i % 600)).alias("at"),
+            "reported_at", "location", F.when(i % 13 == 0, F.lit("NOTE OLD")).otherwise(F.col("remarks")).alias("remarks"), (F.col("reported_at") + (i % 600)).alias("at"),
             ((i * 7) % 100 / 100.0).alias("supported"), ((i * 11) % 100 / 100.0).alias("cleared"),
             ((i * 13) % 41 / 10.0).alias("score"), F.lit(5).alias("levels"), ((i * 17) % 100 / 100.0).alias("score_confidence"),
             chosen.alias("chosen"), ((i * 19) % 100 / 100.0).alias("chosen_confidence"))

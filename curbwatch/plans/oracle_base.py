@@ -108,6 +108,7 @@ cte("fx_fresh_dense", "SELECT * REPLACE (camera_id%8 AS camera_id) FROM fx_fresh
 cte("fx_poll_dense", "SELECT * REPLACE (camera_id%8 AS camera_id) FROM fx_poll")
 cte("fx_incident", """SELECT e.event_id AS incident_id, CAST(e.event_id%25 AS INTEGER) AS region_id,
   concat('T', CAST(e.event_id%6 AS VARCHAR)) AS type, concat('MILE ', CAST(e.event_id%200 AS VARCHAR)) AS location,
+  CASE WHEN e.event_id%4<>3 THEN concat('NOTE ', CAST(e.event_id%11 AS VARCHAR)) END AS remarks,
   epoch_us(e.ts)/1E6 AS reported_at,
   r.lat+((e.event_id*53)%100-50)*1E-3 AS lat, r.lon+((e.event_id*71)%100-50)*1E-3 AS lon,
   e.event_id%3<>0 AS road_relevant, e.event_id%7=0 AS implies_closure
@@ -135,7 +136,7 @@ cte("promo", """SELECT start AS camera_id, site AS neighbor_id, side, length_m,
   SELECT s AS start, t AS site, side, length_m, 1 AS hops, tt_s FROM adj
   UNION ALL SELECT a.s, b.t, a.side, a.length_m+b.length_m, 2, a.tt_s+b.tt_s FROM adj a JOIN adj b ON b.s=a.t AND b.side=a.side)
   WHERE start<>site AND (side<>'upstream' OR length_m<=5000E0)) WHERE rn=1""")
-cte("fx_verdict", """SELECT i.incident_id, CASE WHEN i.incident_id%9=0 THEN 'T9' ELSE i.type END AS type, i.reported_at, i.location,
+cte("fx_verdict", """SELECT i.incident_id, CASE WHEN i.incident_id%9=0 THEN 'T9' ELSE i.type END AS type, i.reported_at, i.location, CASE WHEN i.incident_id%13=0 THEN 'NOTE OLD' ELSE i.remarks END AS remarks,
   i.reported_at+i.incident_id%600 AS at, (i.incident_id*7)%100/100E0 AS supported, (i.incident_id*11)%100/100E0 AS cleared,
   (i.incident_id*13)%41/10E0 AS score, 5 AS levels, (i.incident_id*17)%100/100E0 AS score_confidence,
   CASE WHEN i.incident_id%5=0 THEN NULL WHEN i.incident_id%5<3 THEN l.camera_id ELSE coalesce(e.src, l.camera_id) END AS chosen,
@@ -181,7 +182,7 @@ cte("gate_now", "SELECT * FROM (SELECT f.*, row_number() OVER (PARTITION BY came
 cte("look_raw", "SELECT *, CASE WHEN confidence>=0.5E0 THEN 1E0+0.25E0*(2E0*level/(levels-1)-1E0) ELSE 1E0 END AS f0, confidence>=0.5E0 AS acted FROM gate_now WHERE levels>=2")
 cte("look_now", f"SELECT camera_id, {fixed('f0', 3)} AS factor, acted FROM look_raw")
 cte("verdict_now", """SELECT v.* FROM fx_verdict v JOIN fx_incident i ON v.incident_id=i.incident_id AND v.type IS NOT DISTINCT FROM i.type
-  AND v.reported_at IS NOT DISTINCT FROM i.reported_at AND v.location IS NOT DISTINCT FROM i.location""")
+  AND v.reported_at IS NOT DISTINCT FROM i.reported_at AND v.location IS NOT DISTINCT FROM i.location AND v.remarks IS NOT DISTINCT FROM i.remarks""")
 
 
 def effect(choice: str) -> str:

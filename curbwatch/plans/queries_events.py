@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -15,6 +14,7 @@ from ..operators import city as C
 from ..operators import events as E
 from ..operators import floors as L
 from ..operators import ranking as R
+from ..operators.scale import work_folder
 from ..streaming import folds, polls
 from .oracle_base import cte, fixed, hav_km, r, sun
 from .queries_scoring import full_scores, plain_scores
@@ -202,14 +202,20 @@ def w6(fx):
   SELECT camera_id, count(*) AS polls, count(*) FILTER (WHERE result='fresh') AS frames, count(*) FILTER (WHERE result IN ('unchanged','not_modified')) AS unchanged,
   count(*) FILTER (WHERE result='unavailable') AS unavailable FROM fx_poll GROUP BY camera_id) p LEFT JOIN own o USING (camera_id)""")
 def t1(fx):
-    folder = fx.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    work = f"{folder}/poll-state-{fx.spark.sparkContext.applicationId}-{abs(hash(fx.folder))}-{id(fx)}"
+    work = work_folder(fx.spark, "poll-state")
     polls.run_once(polls.camera_states(polls.poll_stream(fx.spark, fx.folder)), f"{work}/out", f"{work}/checkpoint")
     cols = ["polls", "frames", "unchanged", "unavailable", "samples", "rolling"]
     last = fx.spark.read.parquet(f"{work}/out").groupBy("camera_id").agg(F.max_by(F.struct(*cols), "polls").alias("s")).select("camera_id", "s.*")
     return rounded(last)
 
 
+@query("t4_streamed_pulse", "SELECT region_id, at, diff, cameras FROM pulse_points")
+def t4(fx):
+    work = work_folder(fx.spark, "pulse")
+    polls.run_once(polls.pulse_updates(polls.poll_stream(fx.spark, fx.folder), fx.camera), f"{work}/out", f"{work}/checkpoint")
+    return polls.read_pulse(fx.spark, f"{work}/out").select("region_id", "at", "diff", "cameras")
+
+
 @query("j12_state_join", f"SELECT n.camera_id, c.region_id, g.name, c.roadway, {r('n.brightness')} AS brightness FROM newest n JOIN fx_camera c USING (camera_id) JOIN fx_region g ON g.region_id=c.region_id")
 def j12(fx):
     newest = fx.fresh.groupBy("camera_id").agg(F.max(F.struct("at", "poll_id", "brightness")).alias("n"))
@@ -251,7 +257,7 @@ def p35(fx):
     i = F.col("incident_id")
     raw = F.concat(F.lit("SR-"), (i % 900).cast("string"), F.when(i % 3 == 0, " NB").when(i % 3 == 1, " SB").otherwise(" "), F.lit(" x[NW "), (i % 99).cast("string"), F.lit("TH ST AND LAKE OF THE WOODS]"))
     label = F.when(i % 2 == 0, F.lit("VEHICLE CRASH W/INJURIES")).otherwise(F.lit(" Stalled Vehicle "))
-    return fx.incident.select("incident_id", X.place_name(raw).alias("place"), X.label_text(label).alias("label"))
+    return fx.incident.select("incident_id", X.dispatch_place(raw).alias("place"), X.sentence_label(label).alias("label"))
 
 
 AGE = "(now-at)"

@@ -117,12 +117,11 @@ def a11(fx):
 
 
 @query("a10_mile_marker_checks", f"""SELECT src, dst, east AS eastbound, (d>0)=east AS order_ok, {r('length_m/(abs(d)*1609.344E0)', 4)} AS length_ratio, NOT length_m/(abs(d)*1609.344E0) BETWEEN 0.8E0 AND 1.25E0 AS length_outlier FROM (
-  SELECT e.src, e.dst, e.length_m, (e.dst%97)/10E0-(e.src%97)/10E0 AS d, CASE WHEN e.src%4=0 THEN TRUE ELSE least(abs((e.src%360)-90E0), 360E0-abs((e.src%360)-90E0))<90E0 END AS east FROM fx_edge e WHERE kind='freeway' AND e.dst%5<>0) WHERE d<>0""")
+  SELECT e.src, e.dst, e.length_m, CASE WHEN e.dst%5<>0 OR e.dst%3=0 THEN (e.dst%97)/10E0 END-(e.src%97)/10E0 AS d, CASE WHEN e.src%4=0 THEN TRUE ELSE least(abs((e.src%360)-90E0), 360E0-abs((e.src%360)-90E0))<90E0 END AS east FROM fx_edge e WHERE kind='freeway') WHERE d<>0""")
 def a10(fx):
     k = F.col("site_id")
     sites = fx.site_camera.select("site_id", F.when((k % 5 != 0) | (k % 3 == 0), (k % 97) / 10.0).alias("mile_marker"), F.when(k % 4 != 0, (k % 360).cast("double")).alias("bearing"))
-    e = fx.edge.filter(F.col("dst") % 5 != 0)
-    return D.mile_marker_checks(e, sites).withColumn("length_ratio", F.round("length_ratio", 4))
+    return D.mile_marker_checks(fx.edge, sites).withColumn("length_ratio", F.round("length_ratio", 4))
 
 
 def spliced(fx):

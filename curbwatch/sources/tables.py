@@ -25,10 +25,9 @@ def select_cameras(cameras: DataFrame, choice: str) -> DataFrame:
         return cameras.filter("is_freeway")
     wanted = sorted({int(x) for x in choice.split(",") if x.strip().lstrip("-").isdigit()})
     ids = cameras.sparkSession.createDataFrame([(i,) for i in wanted], "camera_id bigint")
-    found = ids.join(cameras, "camera_id", "left")
-    missing = F.assert_true(F.col("location").isNotNull() if "location" in cameras.columns else F.col(cameras.columns[-1]).isNotNull(),
-                            F.concat(F.lit("camera not in the selected regions: "), F.col("camera_id").cast("string")))
-    return found.filter(missing.isNull())
+    found = ids.join(cameras.withColumn("_there", F.lit(True)), "camera_id", "left")
+    missing = F.assert_true(F.col("_there").isNotNull(), F.concat(F.lit("camera not in the selected regions: "), F.col("camera_id").cast("string")))
+    return found.filter(missing.isNull()).drop("_there")
 
 
 def build_work_list(regions: DataFrame, catalogs: DataFrame, graphs: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Streaming jobs over the poll log.
 
-The reference processes polls as they arrive and has no rule for late data. Here
-a watermark bounds state: polls later than it are left to the batch jobs, and the
-per-camera state expires after a day without polls.
+A camera's state is kept for good, as large as one profile, and polls are taken in
+the order of the micro-batches they arrive in, however late. The city pulse keeps
+state per camera and minute until its watermark. Sinks overwrite the folder of
+their epoch, so a replayed epoch is not there twice.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import CITY, SCORE
 from ..functions.geo import hour_of_week_at
+from ..functions.numeric import with_fixed
 from ..operators.scale import group_median
 from .folds import empty_profile, learn_polls
 
@@ -26,16 +28,13 @@ STATE_HELD = ("last_at double, polls bigint, frames bigint, unchanged bigint, un
               "n array<bigint>, mean array<double>, m2 array<double>, since double, cell int, cell_n bigint, cell_mean double, ambiguous boolean")
 
 
-def camera_states(polls: DataFrame, late: str = "1 hour", idle_ms: int = 86_400_000) -> DataFrame:
+def camera_states(polls: DataFrame) -> DataFrame:
     """Per-camera state after every micro-batch: outcome counts, recent history, learned cell.
 
     `polls` is a stream of (poll_id, camera_id, ts, at, diff, result).
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         rows = pd.concat(batches).sort_values(["at", "poll_id"])
         if state.exists:
             last, polls_n, frames, same, gone, recent, n, mean, m2, since, cell, cell_n, cell_mean, flag = state.get
@@ -59,51 +58,49 @@ def camera_states(polls: DataFrame, late: str = "1 hour", idle_ms: int = 86_400_
         since = None if np.isnan(held["since"]) else float(held["since"])
         state.update((last, polls_n, frames, same, gone, recent, held["n"].tolist(), held["mean"].tolist(), held["m2"].tolist(),
                       since, cell, cell_n, cell_mean, flag))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(rows["at"].iloc[-1] * 1000)) + idle_ms)
         rolling = float(np.median(recent)) if len(recent) >= SCORE.min_samples else None
         yield pd.DataFrame([(key[0], last, polls_n, frames, same, gone, len(recent), rolling, cell, cell_n, cell_mean, flag)],
                            columns=[c.split()[0] for c in STATE_OUT.split(", ")])
 
-    stamped = (polls.withColumn("event_time", F.timestamp_micros((F.col("at") * 1e6).cast("bigint")))
-               .withColumn("cell", hour_of_week_at(F.col("at"))).withWatermark("event_time", late)
-               .select("camera_id", "poll_id", "at", "diff", "result", "cell", "event_time"))
-    return stamped.groupBy("camera_id").applyInPandasWithState(update, STATE_OUT, STATE_HELD, "update", GroupStateTimeout.EventTimeTimeout)
+    rows = polls.select("camera_id", "poll_id", "at", "diff", "result", hour_of_week_at(F.col("at")).alias("cell"))
+    return rows.groupBy("camera_id").applyInPandasWithState(update, STATE_OUT, STATE_HELD, "update", GroupStateTimeout.NoTimeout)
 
 
-def pulse_windows(polls: DataFrame, cameras: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Frames, cameras and mean change per city and minute on the stream (T4).
+def pulse_updates(polls: DataFrame, cameras: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Newest difference per city, minute and camera on the stream, again whenever it changes (T4).
 
-    The five-minute look of the batch pulse becomes a sliding window; each camera is
-    reduced to its newest difference in the window before cities are aggregated.
+    A frame counts in every minute of the look back, as in the batch pulse.
     """
-    stamped = (polls.filter((F.col("result") == "fresh") & F.col("diff").isNotNull())
-               .withColumn("event_time", F.timestamp_micros((F.col("at") * 1e6).cast("bigint"))).withWatermark("event_time", late)
-               .join(cameras.select("camera_id", "region_id"), "camera_id"))
-    return (stamped.groupBy(F.window("event_time", f"{int(CITY.pulse_recent_s)} seconds", "60 seconds"), "region_id", "camera_id")
-            .agg(F.max(F.struct("at", "diff")).alias("newest")))
+    first, last = F.ceil(F.col("at") / 60.0), F.floor((F.col("at") + CITY.pulse_recent_s) / 60.0)
+    frames = polls.filter((F.col("result") == "fresh") & F.col("diff").isNotNull()).select(
+        "camera_id", "at", "poll_id", "diff", F.explode(F.when(first <= last, F.sequence(first, last))).alias("minute"))
+    timed = frames.withColumn("minute", F.timestamp_seconds(F.col("minute") * 60)).withWatermark("minute", late)
+    return (timed.join(cameras.select("camera_id", "region_id"), "camera_id").groupBy("minute", "region_id", "camera_id")
+            .agg(F.max(F.struct("at", "poll_id", "diff")).alias("newest")))
 
 
-def write_pulse(batch: DataFrame, epoch: int, path: str) -> None:
-    """Reduce one micro-batch of newest differences to city medians and append them."""
-    flat = batch.select("region_id", F.col("window.end").alias("minute"), F.col("newest.diff").alias("diff"))
-    med = group_median(flat, ["region_id", "minute"], "diff", "median", 1e-3).filter(F.col("median_n") >= CITY.pulse_min_cameras)
-    med.withColumn("epoch", F.lit(epoch)).write.mode("append").partitionBy("epoch").parquet(path)
+def read_pulse(spark: SparkSession, path: str) -> DataFrame:
+    """City medians from all updates written so far: the newest of each camera and minute over all epochs, then the median."""
+    newest = spark.read.parquet(path).groupBy("minute", "region_id", "camera_id").agg(F.max("newest").alias("newest"))
+    flat = newest.select("region_id", F.col("minute").cast("double").alias("at"), F.col("newest.diff").alias("diff"))
+    med = group_median(flat, ["region_id", "at"], "diff", "median", 1e-3).filter(F.col("median_n") >= CITY.pulse_min_cameras)
+    return with_fixed(med, 5, diff=F.col("median")).select("region_id", "at", "diff", F.col("median_n").alias("cameras"))
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> None:
     """Drain what the source holds now into parquet and stop."""
     def sink(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     query = (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start())
     query.awaitTermination()
 
 
-def poll_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The event table as a file stream."""
+def poll_stream(spark: SparkSession, folder: str, files: int = 8) -> DataFrame:
+    """The event table as a file stream, at most `files` files a micro-batch."""
     from ..plans.fixtures import Fixtures
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
     fx = Fixtures(spark, folder)
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", "events.parquet").parquet(folder)
     fx.table = lambda name: source  # type: ignore[method-assign]
     return fx.poll

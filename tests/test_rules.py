@@ -56,9 +56,9 @@ def test_route_label(spark, text, want):
 
 
 def test_place_and_label(spark):
-    assert one(spark, X.place_name(F.lit("SR-874 NB x[SW 72ND ST]"))) == "SR-874 northbound at SW 72nd St"
-    assert one(spark, X.label_text(F.lit("VEHICLE CRASH W/INJURIES"))) == "Vehicle crash with injuries"
-    assert one(spark, X.camera_name(F.lit("123 I-95 AT NW 79TH ST"))) == "I-95 at NW 79th St"
+    assert one(spark, X.dispatch_place(F.lit("CR-18 EB x[NE 3RD AVE AND THE BAY, (OLD)]"))) == "CR-18 eastbound at NE 3rd Ave and the Bay, (Old)"
+    assert one(spark, X.sentence_label(F.lit("STALLED BUS W/TRAILER"))) == "Stalled bus with trailer"
+    assert one(spark, X.without_device_number(F.lit("4071 US-20/SR 5 NEAR 1ST ST"))) == "US-20 / SR 5 near 1st St"
 
 
 def brute_learning(polls):
@@ -164,25 +164,62 @@ def test_streamed_state_equals_batch(spark, tmp_path):
         spark.createDataFrame(rows, "poll_id long, camera_id long, at double, diff double, result string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     table = spark.read.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    P.run_once(P.camera_states(stream, late="30 days"), str(tmp_path / "out"), str(tmp_path / "ck"))
+    P.run_once(P.camera_states(stream), str(tmp_path / "out"), str(tmp_path / "ck"))
     last = spark.read.parquet(str(tmp_path / "out")).groupBy("camera_id").agg(F.max_by(F.struct("polls", "frames", "samples"), "polls").alias("s")).select("camera_id", "s.*")
     want = table.groupBy("camera_id").agg(F.count(F.lit(1)).alias("polls"), F.count_if(F.col("result") == "fresh").alias("frames"))
     assert last.join(want, ["camera_id", "polls", "frames"]).count() == 4
     assert all(r["samples"] == min(24, r["frames"]) for r in last.collect())
 
 
-def test_streamed_pulse(spark, tmp_path):
+def test_streamed_pulse_over_micro_batches(spark, tmp_path):
+    """Cameras of one minute that arrive in two files are one median, and it equals the batch."""
+    from curbwatch.operators.city import pulse
     from curbwatch.streaming import polls as P
-    rows = [(i, i % 3, 1_700_000_000.0 + i, 0.01 * (i % 3 + 1), "fresh") for i in range(30)]
-    spark.createDataFrame(rows, "poll_id long, camera_id long, at double, diff double, result string").write.parquet(str(tmp_path / "in"))
-    cams = spark.createDataFrame([(0, 1), (1, 1), (2, 1)], "camera_id long, region_id int")
+    t = 1_700_000_000.0
+    for part, rows in enumerate([[(0, 0, t, 0.01), (1, 1, t + 1, 0.02)], [(2, 2, t + 2, 0.03), (3, 3, t + 3, 0.04), (4, 0, t + 70, 0.05)]]):
+        spark.createDataFrame([(*r, "fresh") for r in rows], "poll_id long, camera_id long, at double, diff double, result string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    cams = spark.createDataFrame([(i, 1) for i in range(4)], "camera_id long, region_id int")
     table = spark.read.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(table.schema).parquet(str(tmp_path / "in"))
-    q = (P.pulse_windows(stream, cams).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True)
-         .foreachBatch(lambda b, e: P.write_pulse(b, e, str(tmp_path / "out"))).start())
-    q.awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out"))
-    assert got.count() > 0 and got.filter("abs(median - 0.02) > 1e-9 AND median_n = 3").count() == 0
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    P.run_once(P.pulse_updates(stream, cams), str(tmp_path / "out"), str(tmp_path / "ck"))
+    got = sorted(map(tuple, P.read_pulse(spark, str(tmp_path / "out")).collect()))
+    assert got == sorted(map(tuple, pulse(table, cams).collect())) and got[0][2:] == (0.025, 4)
+    assert len(list((tmp_path / "out").glob("epoch=*"))) >= 2
+
+
+def test_every_evaluation_vote_is_predicted(spark):
+    from curbwatch.operators import learning as L
+    rng = random.Random(3)
+    vec = lambda: [rng.random() for _ in range(L.WIDTH)]
+    rows = [(i, 1, 1_700_000_000.0 + i, vec(), vec(), rng.choice("ab"), "evaluate" if i % 5 else "learn") for i in range(2600)]
+    votes = spark.createDataFrame(rows, "vote_id long, voter long, ts double, a_x array<double>, b_x array<double>, pick string, mode string")
+    got = {r["vote_id"] for r in L.held_out(votes).collect()}
+    assert got == {i for i in range(2600) if i % 5}
+    same = spark.createDataFrame([(9000, 1, 1_800_000_000.0, [0.5] * L.WIDTH, [0.5] * L.WIDTH, "a", "evaluate")], votes.schema)
+    assert L.held_out(votes.union(same)).filter("vote_id = 9000").first()["by_person"] is None
+
+
+def test_hit_rates_without_a_look(spark):
+    from curbwatch.operators import learning as L
+    rows = [(i, "s" if i % 2 else "t", "a", "evaluate", 0.3 if i % 3 else -0.3, None if i % 2 else 0.1) for i in range(12)]
+    df = spark.createDataFrame(rows, "vote_id long, stratum string, pick string, mode string, by_equation double, by_look double")
+    got = {(r["stratum"], r["ranker"]): r["n"] for r in L.hit_rates(df, {"equation": "by_equation", "look": "by_look"}).collect()}
+    assert got == {("s", "equation"): 6, ("t", "equation"): 6, ("t", "look"): 6, ("all", "equation"): 6, ("all", "look"): 6}
+
+
+def test_hubs_are_compared_with_the_last_kept(spark):
+    from curbwatch.operators.roads import splice
+    seg = spark.createDataFrame([(1, 0, "n1", "n2", 100.0, 10.0, "primary", False)], "way_id long, seg_index int, a string, b string, length_m double, tt_s double, highway string, two_way boolean")
+    hubs = spark.createDataFrame([("A", 1, 0, t) for t in (10.8, 10.0, 10.4)], "site_id string, way_id long, seg_index int, t double")
+    got = sorted(round(r["length_m"], 6) for r in splice(seg, hubs).collect())
+    assert got == sorted([10.0, 89.2]) or got == sorted([10.0, 0.8, 89.2])
+
+
+def test_an_edited_remark_ends_a_verdict(spark):
+    from curbwatch.operators.floors import current_verdicts
+    inc = spark.createDataFrame([(1, "T", 5.0, "L", "new"), (2, "T", 5.0, "L", None)], "incident_id long, type string, reported_at double, location string, remarks string")
+    old = inc.withColumn("remarks", F.when(F.col("incident_id") == 1, "old"))
+    assert [r["incident_id"] for r in current_verdicts(inc, old).collect()] == [2]
 
 
 def test_catalog_and_log_round_trip(spark, tmp_path):
@@ -212,6 +249,8 @@ def test_unknown_camera_choice_is_an_error(spark):
     from curbwatch.sources import tables as T
     cams = spark.createDataFrame([(1, True, "a"), (2, False, "b")], "camera_id long, is_freeway boolean, location string")
     assert T.select_cameras(cams, "2").count() == 1
+    assert T.select_cameras(cams.withColumn("location", F.lit(None).cast("string")), "1").columns == cams.columns
+    assert T.select_cameras(cams.withColumn("location", F.lit(None).cast("string")), "1").count() == 1
     with pytest.raises(Exception):
         T.select_cameras(cams, "2,9").collect()
 
