@@ -181,6 +181,7 @@ class Preference:
     bootstrap: int = 2000
     seed: int = 511
     min_votes: int = 10
+    asked_at_random: int = 5
     max_votes: int = 2000
     disagree_equation: float = 0.02
     disagree_look: float = 0.25

@@ -32,8 +32,10 @@ def newest_per_minute(frames: DataFrame, recent_s: float) -> DataFrame:
     """
     first = F.ceil(F.col("at") / 60.0)
     last = F.floor((F.col("at") + recent_s) / 60.0)
-    spread = frames.withColumn("minute", F.explode(F.when(first <= last, F.sequence(first, last))))
     cols = [c for c in frames.columns if c not in ("camera_id", "at")]
+    # Of the frames that arrive in one minute only the newest can win a minute, so the others are dropped before the spread.
+    arrived = frames.groupBy("camera_id", first.alias("_minute")).agg(F.max(F.struct("at", *cols)).alias("f")).select("camera_id", "f.*")
+    spread = arrived.withColumn("minute", F.explode(F.when(first <= last, F.sequence(first, last))))
     newest = spread.groupBy("camera_id", "minute").agg(F.max(F.struct("at", *cols)).alias("f"))
     return newest.select("camera_id", "minute", "f.*")
 
@@ -152,30 +154,32 @@ def nearest_cities(regions: DataFrame, current: int) -> DataFrame:
     return regions.filter(F.col("region_id") != current).withColumn("km", km).orderBy(F.col("km").asc_nulls_last(), "region_id")
 
 
+def _at_cities(starts: DataFrame, cities: DataFrame) -> DataFrame:
+    """Every start with every city. Cities are a fixed list, held as an array of constants in each row."""
+    rows = cities.select("region_id", "lat", "lon").collect()
+    kind = cities.schema["region_id"].dataType
+    listed = F.array(*[F.struct(F.lit(r["region_id"]).cast(kind).alias("region_id"), F.lit(r["lat"]).alias("lat"), F.lit(r["lon"]).alias("lon")) for r in rows])
+    return starts.select("now", F.inline(listed))
+
+
 def sun_crossings(cities: DataFrame, starts: DataFrame) -> DataFrame:
     """Next sunset and sunrise of every city from every start, at one-minute steps within a day.
 
-    `starts` holds one row per moment asked about and cities are a fixed list, so
-    each moment costs a day of minutes per city, computed where its row is.
+    A step knows by itself whether the sun was up a minute before, so steps are
+    reduced to two minima per start and city where they arise, before any shuffle.
     """
-    steps = (starts.crossJoin(F.broadcast(cities)).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(1440))))
-             .withColumn("t", F.col("now") + F.col("step") * 60.0)
-             .withColumn("up", solar_elevation(F.col("lat"), F.col("lon"), F.col("t"))))
-    before = F.lag("up").over(Window.partitionBy("region_id", "now").orderBy("step"))
-    steps = steps.withColumn("before", before)
-    down = (F.col("before") > 0) & (F.col("up") <= 0)
-    rise = (F.col("before") <= 0) & (F.col("up") > 0)
-    return steps.groupBy("region_id", "now").agg(
-        F.min(F.when(down, F.col("t"))).alias("next_sunset"), F.min(F.when(rise, F.col("t"))).alias("next_sunrise"))
+    steps = _at_cities(starts, cities).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(1440))))
+    moment = F.col("now") + F.col("step") * 60.0
+    steps = steps.withColumns({"t": moment, "before": solar_elevation(F.col("lat"), F.col("lon"), F.col("now") + (F.col("step") - 1) * 60.0) > 0,
+                               "after": solar_elevation(F.col("lat"), F.col("lon"), moment) > 0})
+    return steps.groupBy("region_id", "now").agg(F.min(F.when(F.col("before") & ~F.col("after"), F.col("t"))).alias("next_sunset"),
+                                                 F.min(F.when(~F.col("before") & F.col("after"), F.col("t"))).alias("next_sunrise"))
 
 
 def sun_relay(cities: DataFrame, starts: DataFrame) -> DataFrame:
     """The city to show at every start: setting sun, else rising, else lowest setting, else first light."""
-    cross = sun_crossings(cities, starts)
-    look = (starts.crossJoin(F.broadcast(cities))
-            .withColumns({"elevation": solar_elevation(F.col("lat"), F.col("lon"), F.col("now")),
-                          "later": solar_elevation(F.col("lat"), F.col("lon"), F.col("now") + 600.0)})
-            .join(cross, ["region_id", "now"]))
+    look = _at_cities(starts, cities).join(sun_crossings(cities, starts), ["region_id", "now"]).withColumns({"elevation": solar_elevation(F.col("lat"), F.col("lon"), F.col("now")),
+                             "later": solar_elevation(F.col("lat"), F.col("lon"), F.col("now") + 600.0)})
     down = F.col("later") < F.col("elevation")
     near = F.abs("elevation") <= 6.0
     choice = (F.when(down & near, F.struct(F.lit(0).alias("p"), F.abs("elevation").alias("v")))
@@ -183,14 +187,13 @@ def sun_relay(cities: DataFrame, starts: DataFrame) -> DataFrame:
               .when(down & (F.col("elevation") > 0), F.struct(F.lit(2).alias("p"), F.col("elevation").alias("v")))
               .otherwise(F.struct(F.lit(3).alias("p"), F.coalesce("next_sunrise", F.lit(1e18)).alias("v"))))
     look = look.withColumn("choice", choice)
-    pick = look.groupBy("now").agg(F.min(F.struct("choice", "region_id", "elevation", "next_sunset", "next_sunrise")).alias("c"))
+    # A start gathers its cities, which are a fixed list.
+    pick = look.groupBy("now").agg(F.min(F.struct("choice", "region_id", "elevation", "next_sunset", "next_sunrise")).alias("c"),
+                                   F.collect_list(F.struct(F.col("next_sunset").alias("other_sunset"), F.col("region_id").alias("other"))).alias("others"))
     pick = pick.select("now", F.col("c.region_id").alias("region_id"), F.col("c.elevation").alias("elevation"), F.col("c.choice.p").alias("p"),
-                       F.col("c.next_sunset").alias("own_sunset"), F.col("c.next_sunrise").alias("own_sunrise"))
-    start = F.when(F.col("elevation") <= 0, F.col("now")).otherwise(F.coalesce("own_sunset", "now"))
-    others = look.select("now", F.col("region_id").alias("other"), F.col("next_sunset").alias("other_sunset"))
-    after = (pick.join(others, "now").filter((F.col("other") != F.col("region_id")) & (F.col("other_sunset") > start))
-             .groupBy("now").agg(F.min(F.struct("other_sunset", "other")).alias("n")))
-    out = pick.join(after, "now", "left")
+                       F.col("c.next_sunset").alias("own_sunset"), F.col("c.next_sunrise").alias("own_sunrise"), "others")
+    pick = pick.withColumn("start", F.when(F.col("elevation") <= 0, F.col("now")).otherwise(F.coalesce("own_sunset", "now")))
+    out = pick.withColumn("n", F.array_min(F.filter("others", lambda o: (o["other"] != F.col("region_id")) & (o["other_sunset"] > F.col("start")))))
     night = F.col("p") == 3
     phase = F.element_at(F.array(*[F.lit(x) for x in ("sunset", "sunrise", "waiting", "night")]), F.col("p") + 1)
     return out.select("now", "region_id", phase.alias("phase"), "elevation",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CORRIDOR
-from .scale import top_per
+from .scale import durable, top_per
 
 WAVE_MPS = CORRIDOR.wave_kmh * 1000.0 / 3600.0
 
@@ -32,6 +32,8 @@ def walk(adj: DataFrame, hops: int, max_m: float | None) -> DataFrame:
     step = step.select("site", "next", F.col("e.length_m").alias("step_m"), F.col("e.tt_s").alias("step_s"))
     if max_m is not None:
         step = step.filter(F.col("step_m") <= max_m)
+    if hops > 1:
+        step = durable(step)
     reached = step.select(F.col("site").alias("start"), F.col("next").alias("site"), F.col("step_m").alias("length_m"),
                           F.lit(1).alias("hops"), F.col("step_s").alias("tt_s"))
     for level in range(2, hops + 1):
@@ -52,6 +54,7 @@ def corridor(edges: DataFrame, site_cameras: DataFrame, promotion: bool = False)
     The promotion variant walks two hops on every side.
     """
     p = CORRIDOR.promote_hops
+    edges = durable(edges.select("src", "dst", "kind", "length_m", "tt_s"))
     plan = {"upstream": (p if promotion else CORRIDOR.upstream_hops, CORRIDOR.max_upstream_m),
             "downstream": (p if promotion else 1, None), "nearby": (p if promotion else 1, None)}
     sides = None

@@ -220,29 +220,49 @@ def shadow_summary(looks: DataFrame) -> DataFrame:
     return looks.agg(F.count(F.lit(1)).alias("looks"), F.percentile("tau", 0.5).alias("median_tau"), F.avg("tau").alias("mean_tau"), F.count_if("same_first").alias("same_first"))
 
 
-def next_pairs(pool: DataFrame, weights: Column, seed: int, draws: int = 31) -> DataFrame:
-    """Per city, the pair a model is least sure of out of a seeded sample.
+def _shuffled(*ids: str, seed: int) -> Column:
+    """An order that looks random and depends on the ids and the seed only."""
+    return F.md5(F.concat_ws(":", *[F.col(i).cast("string") for i in ids], F.lit(str(seed))).cast("binary"))
+
+
+def _coin(key: str, seed: int) -> Column:
+    return F.substring(_shuffled(key, seed=seed), 1, 1) < "8"
+
+
+def rested(pool: DataFrame, recent: DataFrame) -> DataFrame:
+    """The pool without cameras lately shown (`recent`: region_id, camera_id), wherever two others remain in the city."""
+    shown = recent.select("region_id", "camera_id", F.lit(True).alias("_shown")).distinct()
+    marked = pool.join(shown, ["region_id", "camera_id"], "left")
+    fresh = marked.groupBy("region_id").agg(F.count_if(F.col("_shown").isNull()).alias("_fresh"))
+    return marked.join(fresh, "region_id").filter(F.col("_shown").isNull() | (F.col("_fresh") < 2)).select(*pool.columns)
+
+
+def next_pairs(pool: DataFrame, weights: Column, votes: int, seed: int, draws: int = 31) -> DataFrame:
+    """Per city, the pair a model is least sure of out of a seeded sample (E8); any pair of it before five votes.
 
     The first camera of a draw is random; so is its partner, by joining two seeded
     samples on the draw number, so that cities of any size give `draws` pairs.
     """
-    pick = lambda s, q: top_per(pool.withColumn("_r", F.xxhash64("camera_id", F.lit(s))), ["region_id"], [F.col("_r"), F.col("camera_id")], draws, "draw").select(
+    pick = lambda s, q: top_per(pool.withColumn("_r", _shuffled("camera_id", seed=s)), ["region_id"], [F.col("_r"), F.col("camera_id")], draws, "draw").select(
         "region_id", "draw", F.col("camera_id").alias(f"{q}_id"), F.col("x").alias(f"{q}_x"))
     pairs = pick(seed, "a").join(pick(seed + 1, "b"), ["region_id", "draw"]).filter(F.col("a_id") != F.col("b_id"))
     z = dot(weights, F.zip_with("a_x", "b_x", lambda a, b: a - b))
     doubt = F.abs(1.0 / (1.0 + F.exp(-z)) - 0.5)
-    best = pairs.withColumn("doubt", doubt).groupBy("region_id").agg(F.min(F.struct("doubt", "a_id", "b_id")).alias("p"))
+    order = F.col("doubt") if votes >= PREFERENCE.asked_at_random else F.col("draw").cast("double")
+    best = pairs.withColumn("doubt", doubt).groupBy("region_id").agg(F.min(F.struct(order.alias("order"), "a_id", "b_id", "doubt")).alias("p"))
     return best.select("region_id", "p.a_id", "p.b_id", "p.doubt")
 
 
 def next_eval_pairs(pool: DataFrame, opposed: DataFrame, seed: int) -> DataFrame:
-    """Per city, half the time a pair the rankings order oppositely, else any pair, sides shuffled."""
-    coin = F.pmod(F.xxhash64("region_id", F.lit(seed)), F.lit(2)) == 0
-    split = top_per(opposed.withColumn("_r", F.xxhash64("a_id", "b_id", F.lit(seed))), ["region_id"], [F.col("_r")], 1).select("region_id", F.col("a_id").alias("d_a"), F.col("b_id").alias("d_b"))
-    two = top_per(pool.withColumn("_r", F.xxhash64("camera_id", F.lit(seed + 1))), ["region_id"], [F.col("_r")], 2, "n")
+    """Per city, half the time a pair of its pool the rankings order oppositely, else any pair, sides shuffled."""
+    for end in ("a_id", "b_id"):
+        opposed = opposed.join(pool.select(F.col("camera_id").alias(end)), end, "left_semi")
+    coin = _coin("region_id", seed)
+    split = top_per(opposed.withColumn("_r", _shuffled("a_id", "b_id", seed=seed)), ["region_id"], [F.col("_r")], 1).select("region_id", F.col("a_id").alias("d_a"), F.col("b_id").alias("d_b"))
+    two = top_per(pool.withColumn("_r", _shuffled("camera_id", seed=seed + 1)), ["region_id"], [F.col("_r")], 2, "n")
     any_two = two.groupBy("region_id").agg(F.max(F.when(F.col("n") == 1, F.col("camera_id"))).alias("r_a"), F.max(F.when(F.col("n") == 2, F.col("camera_id"))).alias("r_b"))
     out = any_two.filter(F.col("r_b").isNotNull()).join(split, "region_id", "left")
     use = coin & F.col("d_a").isNotNull()
-    swap = F.pmod(F.xxhash64("region_id", F.lit(seed + 2)), F.lit(2)) == 0
+    swap = _coin("region_id", seed + 2)
     a, b = F.when(use, F.col("d_a")).otherwise(F.col("r_a")), F.when(use, F.col("d_b")).otherwise(F.col("r_b"))
     return out.select("region_id", F.when(swap, b).otherwise(a).alias("a_id"), F.when(swap, a).otherwise(b).alias("b_id"), F.when(use, "disagree").otherwise("random").alias("stratum"))

@@ -143,12 +143,38 @@ def pool(fx):
     return fx.camera.select("camera_id", "region_id", F.array(*[((k * (i + 3)) % 101) / 100.0 for i in range(8)]).alias("x"))
 
 
-@query("e8_next_pair")
+ZERO_TO_SEVEN = range(8)
+X_OF = lambda q, i: f"(({q}_id*{i + 3})%101)/100E0"
+cte("pair_pool", """SELECT camera_id, region_id FROM (SELECT *, camera_id%7=0 AS shown, count(*) FILTER (WHERE camera_id%7<>0) OVER (PARTITION BY region_id) AS fresh FROM fx_camera) WHERE NOT shown OR fresh<2""")
+drawn = lambda seed, q: f"SELECT region_id, camera_id AS {q}_id, row_number() OVER (PARTITION BY region_id ORDER BY md5(concat(camera_id, ':{seed}')), camera_id) AS draw FROM pair_pool"
+SURE = "+".join(["0E0", *[f"{0.1 * (i + 1)!r}::DOUBLE*({X_OF('a', i)}-{X_OF('b', i)})" for i in ZERO_TO_SEVEN]])
+
+
+def rested_pool(fx):
+    recent = fx.camera.filter(F.col("camera_id") % 7 == 0).select("region_id", "camera_id")
+    return L.rested(pool(fx), recent)
+
+
+@query("e8_next_pair", f"""SELECT region_id, a_id, b_id, {r('doubt')} AS doubt FROM (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY doubt, a_id, b_id) AS rn FROM (
+  SELECT region_id, a_id, b_id, abs(1E0/(1E0+exp(-({SURE})))-0.5E0) AS doubt FROM ({drawn(511, 'a')}) JOIN ({drawn(512, 'b')}) USING (region_id, draw) WHERE draw<=31 AND a_id<>b_id)) WHERE rn=1""")
 def e8(fx):
-    return rounded(L.next_pairs(pool(fx), F.array(*[F.lit(0.1 * (i + 1)) for i in range(8)]), 511))
+    return rounded(L.next_pairs(rested_pool(fx), F.array(*[F.lit(0.1 * (i + 1)) for i in range(8)]), 40, 511))
+
+
+@query("e8_first_pair", f"""SELECT region_id, a_id, b_id FROM (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY draw) AS rn FROM (
+  SELECT region_id, a_id, b_id, draw FROM ({drawn(511, 'a')}) JOIN ({drawn(512, 'b')}) USING (region_id, draw) WHERE draw<=31 AND a_id<>b_id)) WHERE rn=1""")
+def e8_first(fx):
+    return L.next_pairs(rested_pool(fx), F.array(*[F.lit(0.1)] * 8), 4, 511).select("region_id", "a_id", "b_id")
 
 
-@query("e9_next_eval_pair")
+@query("e9_next_eval_pair", f"""SELECT CAST(region_id AS INTEGER) AS region_id, CASE WHEN swap THEN b ELSE a END AS a_id, CASE WHEN swap THEN a ELSE b END AS b_id, CASE WHEN used THEN 'disagree' ELSE 'random' END AS stratum FROM (
+  SELECT t.region_id, used, substr(md5(concat(t.region_id, ':513')), 1, 1)<'8' AS swap, CASE WHEN used THEN d_a ELSE r_a END AS a, CASE WHEN used THEN d_b ELSE r_b END AS b FROM (
+    SELECT w.*, s.d_a, s.d_b, substr(md5(concat(w.region_id, ':511')), 1, 1)<'8' AND s.d_a IS NOT NULL AS used FROM (
+      SELECT region_id, max(CASE WHEN draw=1 THEN n_id END) AS r_a, max(CASE WHEN draw=2 THEN n_id END) AS r_b FROM ({drawn(512, 'n')}) GROUP BY region_id) w
+    LEFT JOIN (SELECT region_id, a_id AS d_a, b_id AS d_b FROM (SELECT p.region_id, o.a_id, o.b_id, row_number() OVER (PARTITION BY p.region_id ORDER BY md5(concat(o.a_id, ':', o.b_id, ':511'))) AS rn FROM (
+      SELECT a.camera_id AS a_id, b.camera_id AS b_id FROM look_rows a JOIN look_rows b ON a.look_id=b.look_id AND a.camera_id<b.camera_id
+      WHERE abs(a.equation-b.equation)>0.02E0 AND abs(a.level-b.level)>0.25E0 AND (a.equation-b.equation)*(a.level-b.level)<0) o JOIN pair_pool p ON p.camera_id=o.a_id JOIN pair_pool q ON q.camera_id=o.b_id) WHERE rn=1) s USING (region_id)
+    WHERE w.r_b IS NOT NULL) t)""")
 def e9(fx):
     opposed = L.opposed_pairs(looks(fx)).join(fx.camera.select(F.col("camera_id").alias("a_id"), "region_id"), "a_id")
-    return L.next_eval_pairs(pool(fx), opposed, 511)
+    return L.next_eval_pairs(rested_pool(fx), opposed, 511)
