@@ -13,14 +13,14 @@ from .scale import group_median, running, top_per, with_halo
 
 
 def region_summary(regions: DataFrame, scored: DataFrame) -> DataFrame:
-    """Scored count, leader, mean of the top five and held counts per region; empty regions stay (A4)."""
+    """Scored count, leader, mean of the top five, floored and ambiguously still cameras per region; empty regions stay (A4)."""
     live = scored.filter(F.col("attention").isNotNull())
     five = top_per(live, ["region_id"], score_order(), 5, "rank").groupBy("region_id").agg(
         F.max(F.when(F.col("rank") == 1, F.col("camera_id"))).alias("top_camera"),
         F.max(F.when(F.col("rank") == 1, F.col("attention"))).alias("top_attention"), F.avg("attention").alias("top5_mean"))
-    counts = live.groupBy("region_id").agg(F.count(F.lit(1)).alias("scored"), F.count_if(F.col("incident_floor") > 0).alias("incident_floored"))
+    counts = live.groupBy("region_id").agg(F.count(F.lit(1)).alias("scored"), F.count_if(F.col("incident_floor") > 0).alias("incident_floored"), F.count_if("ambiguous").alias("still"))
     out = regions.select("region_id").join(counts, "region_id", "left").join(five, "region_id", "left")
-    return out.fillna(0, ["scored", "incident_floored"]).fillna(0.0, ["top5_mean"])
+    return out.fillna(0, ["scored", "incident_floored", "still"]).fillna(0.0, ["top5_mean"])
 
 
 def newest_per_minute(frames: DataFrame, recent_s: float) -> DataFrame:

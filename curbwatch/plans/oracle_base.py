@@ -249,7 +249,7 @@ def scored(prefix: str, floors: str, queues: str | None, gates: bool, looks: boo
         (CASE WHEN incident_floor=greatest(incident_floor, queue_floor, still_floor) THEN 'incident' WHEN queue_floor=greatest(incident_floor, queue_floor, still_floor) THEN 'queue' ELSE 'still' END)
       ELSE 'movement' END AS shown_driver FROM {prefix}_g""")
     cte(prefix, f"""SELECT *, CASE WHEN driver='incident' AND incident_floor>0 THEN 'incident' WHEN driver='still' AND still_floor>0 THEN 'still'
-      WHEN driver<>'queue' AND anomaly>=0.9E0 AND cell_n>=5 THEN 'movement' END AS reason FROM {prefix}_h""")
+      WHEN driver<>'queue' AND anomaly>=0.9E0 AND cell_n>=5 THEN 'movement' END AS reason, coalesce(diff<=0.004E0 AND cell_n>=5 AND cell_mean>0.008E0, FALSE) AS ambiguous FROM {prefix}_h""")
 
 
 scored("scored_plain", "floor_plain", "queue_plain", False, False)

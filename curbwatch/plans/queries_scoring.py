@@ -252,7 +252,7 @@ def p28(fx):
 
 @query("a4_region_summary", f"""SELECT r.region_id, count(s.camera_id) AS scored, max(CASE WHEN s.rn=1 THEN s.camera_id END) AS top_camera,
   max(CASE WHEN s.rn=1 THEN s.attention END) AS top_attention, {r('coalesce(avg(CASE WHEN s.rn<=5 THEN s.attention END), 0E0)')} AS top5_mean,
-  count(*) FILTER (WHERE s.incident_floor>0) AS incident_floored FROM fx_region r LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY attention DESC, camera_id) AS rn FROM scored_plain) s
+  count(*) FILTER (WHERE s.incident_floor>0) AS incident_floored, count(*) FILTER (WHERE s.ambiguous) AS still FROM fx_region r LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY attention DESC, camera_id) AS rn FROM scored_plain) s
   ON s.region_id=r.region_id GROUP BY r.region_id""")
 def a4(fx):
     from ..operators.city import region_summary

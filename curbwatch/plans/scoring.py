@@ -112,7 +112,10 @@ def attention_columns(df: DataFrame) -> DataFrame:
                                   F.col("cell_n"), CORRIDOR.promote_anomaly)})
     strength = (F.when(F.col("trigger") == "incident", F.col("incident_floor")).when(F.col("trigger") == "still", F.col("still_floor"))
                 .when(F.col("trigger") == "movement", F.col("anomaly")))
-    return df.withColumn("trigger_strength", strength).drop(
+    # A still picture in an hour whose cell says it moves: the camera may be stuck, or traffic stopped.
+    expects = (F.col("cell_n") >= SCORE.cell_samples) & (F.col("cell_mean") > SCORE.active_diff)
+    flag = F.coalesce((F.col("diff") <= SCORE.activity_floor) & expects, F.lit(False))
+    return df.withColumns({"trigger_strength": strength, "ambiguous": flag}).drop(
         "activity_raw", "anomaly_raw", "looked", "plain_movement", "incident_floor_r", "queue_floor_r", "base_r",
         "gate_floor", "look", "region_diff", "own_median")
 
