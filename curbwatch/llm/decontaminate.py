@@ -20,8 +20,9 @@ PLACES_BITS, RANK = 15, 64
 PLACES = 1 << PLACES_BITS
 #: Words between the starts of two passages; a passage holds two steps.
 STEP = 16
-#: Weight of benchmark passages in the decomposed matrix: the space must hold what is looked for.
-BENCHMARK_WEIGHT = 10.0
+#: Weight of the benchmark's part of the decomposed matrix against that of all documents, whatever their number:
+#: the space must hold what is looked for.
+BENCHMARK_SHARE = 1.0
 #: A passage this close to one of an item is a candidate.
 COSINE = 0.6
 #: Share of an item's words, in order, that makes a leak; from PARTIAL on the answer decides.
@@ -30,63 +31,75 @@ OVERLAP, PARTIAL = 0.8, 0.6
 ITEMS = 4096
 SEED = 42
 BLOCK = 64
+#: Bytes of text worked on at once; the tables of a piece then stay in cache.
+PIECE = 1 << 17
 
 
 @dataclass
-class Passages:
-    """Sparse rows: places and counts of the words of each passage, in passage order."""
+class Words:
+    """Words of consecutive texts, in order, with the place of each and the step of its text it stands in (steps numbered over all texts)."""
+    word: np.ndarray
     text: np.ndarray
-    start: np.ndarray
-    row: np.ndarray
     place: np.ndarray
-    count: np.ndarray
-    word: np.ndarray
+    step: np.ndarray
     first: np.ndarray
     length: np.ndarray
+    steps: np.ndarray
+    first_step: np.ndarray
 
 
-def passages(offsets: np.ndarray, data: np.ndarray) -> Passages:
-    """Overlapping passages of two steps of every text; a shorter text is one, a text without words none."""
+def words_of(offsets: np.ndarray, data: np.ndarray) -> Words:
     data = LOWER[data]
     start, end, text = spans(offsets, data, PLAIN)
     word = hashes(data, start, end)
-    n = len(offsets) - 1
-    length = np.bincount(text, minlength=n)
+    length = np.bincount(text, minlength=len(offsets) - 1)
     first = np.cumsum(length) - length
-    per_text = np.where(length > 0, np.maximum(1, -(-length // STEP) - 1), 0)
-    begin = np.cumsum(per_text) - per_text
-    step = (np.arange(len(word)) - first[text]) // STEP
-    rows = np.concatenate([begin[text] + step, begin[text] + step - 1])
-    there = np.concatenate([step < per_text[text], step > 0])
-    place = np.tile((word >> np.uint64(64 - PLACES_BITS)).astype(np.int64), 2)
-    cell, count = np.unique(rows[there] * PLACES + place[there], return_counts=True)
-    owner = np.repeat(np.arange(n), per_text)
-    return Passages(owner, (np.arange(len(owner)) - begin[owner]) * STEP, cell >> PLACES_BITS, cell & (PLACES - 1), count, word, first, length)
-
-
-def weights(p: Passages, idf: np.ndarray) -> np.ndarray:
-    """TF-IDF of every cell, passages of length 1. The inverse frequency counts twice, so common words say little."""
-    w = (1 + np.log(p.count)) * idf[p.place] ** 2
-    norm = np.sqrt(np.bincount(p.row, w * w, minlength=len(p.text)))
-    return (w / np.maximum(norm[p.row], 1e-12)).astype(np.float32)
-
-
-def projected(p: Passages, w: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """Sparse passages times a dense basis (places x rank)."""
-    out = np.zeros((len(p.text), basis.shape[1]), np.float32)
-    if len(w):
-        heads = np.flatnonzero(np.append(True, p.row[1:] != p.row[:-1]))
-        out[p.row[heads]] = np.add.reduceat(basis[p.place] * w[:, None], heads)
-    return out
-
-
-def gathered(p: Passages, w: np.ndarray, dense: np.ndarray, total: np.ndarray) -> None:
-    """Add the transposed sparse passages times dense rows to `total` (places x rank)."""
-    if len(w):
-        order = np.argsort(p.place, kind="stable")
-        place = p.place[order]
-        heads = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-        total[place[heads]] += np.add.reduceat(dense[p.row[order]] * w[order][:, None], heads)
+    steps = -(-length // STEP)
+    first_step = np.cumsum(steps) - steps
+    step = first_step[text] + (np.arange(len(word)) - first[text]) // STEP
+    return Words(word, text, (word >> np.uint64(64 - PLACES_BITS)).astype(np.int64), step, first, length, steps, first_step)
+
+
+def weighted(idf: np.ndarray) -> np.ndarray:
+    """Weight of a word: its inverse frequency counts twice, so common words say little."""
+    return (idf * idf).astype(np.float32)
+
+
+def summed(run: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums of rows over runs of equal numbers, which ascend without gaps."""
+    return np.add.reduceat(values, np.flatnonzero(np.append(True, run[1:] != run[:-1])))
+
+
+def passages(w: Words, scaled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first word and latent position of every passage, unit length: two steps, one step apart; a text of one step is one passage.
+
+    `scaled` is the basis times the words' weights. Positions of steps add up to
+    those of passages, so every word is looked up once.
+    """
+    per_text = np.where(w.steps > 0, np.maximum(1, w.steps - 1), 0)
+    text = np.repeat(np.arange(len(per_text)), per_text)
+    at = np.arange(len(text)) - (np.cumsum(per_text) - per_text)[text]
+    if not len(text):
+        return text, at, np.zeros((0, scaled.shape[1]), np.float32)
+    sums = np.append(summed(w.step, scaled[w.place]), np.zeros((1, scaled.shape[1]), np.float32), axis=0)
+    here = w.first_step[text] + at
+    out = sums[here] + sums[np.where(w.steps[text] > 1, here + 1, -1)]
+    return text, at * STEP, out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-12)
+
+
+def multiplied(w: Words, weight: np.ndarray, scaled: np.ndarray, total: np.ndarray) -> None:
+    """Add (transposed TF-IDF) x (TF-IDF) x basis to `total`; rows are the texts' passages side by side, of length 1."""
+    if not len(w.word):
+        return
+    rows = (w.steps + 1) // 2
+    row = (np.cumsum(rows) - rows)[w.text] + (w.step - w.first_step[w.text]) // 2
+    each = weight[w.place]
+    square = np.maximum(summed(row, each * each), 1e-12)
+    dense = summed(row, scaled[w.place]) * (1 / square)[:, None]
+    order = np.argsort(w.place, kind="stable")
+    place = w.place[order]
+    heads = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    total[place[heads]] += np.add.reduceat(dense[row[order]], heads) * weight[place[heads]][:, None]
 
 
 def random_basis() -> np.ndarray:
@@ -94,14 +107,14 @@ def random_basis() -> np.ndarray:
 
 
 def inverse_frequencies(df: DataFrame) -> np.ndarray:
-    """From the passages of all documents; one row per place comes to the driver."""
+    """From the steps of all documents; one row per place comes to the driver."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(PLACES + 1, np.int64)
         for b in batches:
-            for _, _, offsets, data in pieces(pc.utf8_lower(b.column(0))):
-                p = passages(offsets, data)
-                total[:PLACES] += np.bincount(p.place, minlength=PLACES)
-                total[PLACES] += len(p.text)
+            for _, _, offsets, data in pieces(pc.utf8_lower(b.column(0)), PIECE):
+                w = words_of(offsets, data)
+                total[:PLACES] += np.bincount(np.unique(w.step * PLACES + w.place) & (PLACES - 1), minlength=PLACES)
+                total[PLACES] += int(w.steps.sum())
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["place", "n"])
 
@@ -115,17 +128,16 @@ def basis(df: DataFrame, items: Sequence[str], idf: np.ndarray) -> np.ndarray:
     """Orthonormal right singular directions of the TF-IDF matrix of all passages, found by a randomised range finder.
 
     Every task multiplies its passages with the random basis and back; the sums of
-    the tasks, of the fixed size places x rank, meet by blocks of places. Every
-    second passage is used, so each word counts once. Benchmark passages are rows
-    of the same matrix with a weight of their own.
+    the tasks, of the fixed size places x rank, meet by blocks of places. Rows are
+    passages side by side, so each word counts once. Benchmark passages are rows of
+    the same matrix with a share of their own.
     """
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, total = random_basis(), np.zeros((PLACES, RANK), np.float32)
+        weight, total = weighted(idf), np.zeros((PLACES, RANK), np.float32)
+        scaled = random_basis() * weight[:, None]
         for b in batches:
-            for _, _, offsets, data in pieces(pc.utf8_lower(b.column(0))):
-                p = passages(offsets, data)
-                w = weights(p, idf) * (p.start[p.row] // STEP % 2 == 0)
-                gathered(p, w, projected(p, w, start), total)
+            for _, _, offsets, data in pieces(pc.utf8_lower(b.column(0)), PIECE):
+                multiplied(words_of(offsets, data), weight, scaled, total)
         yield from blocks(total)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,19 +156,16 @@ def basis(df: DataFrame, items: Sequence[str], idf: np.ndarray) -> np.ndarray:
     total = np.zeros((PLACES, RANK), np.float32)
     for r in sums.collect():  # places x rank numbers, whatever the documents
         total[r.block * BLOCK:(r.block + 1) * BLOCK] += np.frombuffer(r.part, np.float32).reshape(BLOCK, RANK)
-    p = _items(items)
-    w = weights(p, idf)
-    gathered(p, w * np.float32(BENCHMARK_WEIGHT), projected(p, w, random_basis()), total)
-    return np.linalg.qr(total)[0].astype(np.float32)
+    weight = weighted(idf)
+    asked = np.zeros_like(total)
+    multiplied(_items(items), weight, random_basis() * weight[:, None], asked)
+    parts = [x / max(float(np.linalg.norm(x)), 1e-12) for x in (total, asked)]
+    return np.linalg.qr(parts[0] + BENCHMARK_SHARE * parts[1])[0].astype(np.float32)
 
 
-def _items(texts: Sequence[str]) -> Passages:
+def _items(texts: Sequence[str]) -> Words:
     encoded = [t.lower().encode() for t in texts]
-    return passages(np.cumsum([0, *map(len, encoded)]), np.frombuffer(b"".join(encoded), np.uint8))
-
-
-def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
+    return words_of(np.cumsum([0, *map(len, encoded)]), np.frombuffer(b"".join(encoded), np.uint8))
 
 
 def common_length(masks: dict[int, int], size: int, words: list[int]) -> tuple[int, int, int]:
@@ -182,10 +191,9 @@ class Search:
     """Finds the items of one block in texts; holds numbers for the block's items only, and the shared space."""
 
     def __init__(self, items: list[tuple[int, str]], idf: np.ndarray, space: np.ndarray):
-        self.ids, self.idf, self.space = [i for i, _ in items], idf, space
+        self.ids, self.scaled = [i for i, _ in items], space * weighted(idf)[:, None]
         p = _items([t for _, t in items])
-        self.item = p.text
-        self.passages = _unit(projected(p, weights(p, idf), space))
+        self.item, _, self.passages = passages(p, self.scaled)
         self.words = [p.word[f:f + n].tolist() for f, n in zip(p.first, p.length)]
         self.masks = [self._masks(w) for w in self.words]
         self.answers = [w[-max(3, len(w) // 4):] for w in self.words]
@@ -198,12 +206,13 @@ class Search:
         return out
 
     def piece(self, offsets: np.ndarray, data: np.ndarray) -> list[list[dict]]:
-        p = passages(offsets, data)
+        p = words_of(offsets, data)
         found: list[list[dict]] = [[] for _ in range(len(offsets) - 1)]
-        near = _unit(projected(p, weights(p, self.idf), self.space)) @ self.passages.T
+        owner, begin, position = passages(p, self.scaled)
+        near = position @ self.passages.T
         row, column = np.nonzero(near >= COSINE)
         regions: dict[tuple[int, int], list[list]] = {}
-        for text, item, start, cosine in zip(p.text[row].tolist(), self.item[column].tolist(), p.start[row].tolist(), near[row, column].tolist()):
+        for text, item, start, cosine in zip(owner[row].tolist(), self.item[column].tolist(), begin[row].tolist(), near[row, column].tolist()):
             size = len(self.words[item])
             held = regions.setdefault((text, item), [])
             if held and start - size <= held[-1][1]:
@@ -215,6 +224,8 @@ class Search:
             for low, high, cosine in held:
                 low, high = max(0, low), min(high, int(p.length[text]))
                 words = p.word[p.first[text] + low:p.first[text] + high].tolist()
+                if sum(map(self.masks[item].__contains__, words)) < PARTIAL * size:
+                    continue
                 n, first, last = common_length(self.masks[item], size, words)
                 if n < PARTIAL * size or best and n <= best["overlap"] * size:
                     continue
@@ -249,7 +260,7 @@ def finder(df: DataFrame, benchmark: DataFrame):
             items, idf, space = shared.value
             made.extend(Search(items[i:i + ITEMS], idf, space) for i in range(0, len(items), ITEMS))
         out: list[list[dict]] = []
-        for _, _, offsets, data in pieces(pc.utf8_lower(column)):
+        for _, _, offsets, data in pieces(pc.utf8_lower(column), PIECE):
             per_block = [s.piece(offsets, data) for s in made]
             out += [sum(x, []) for x in zip(*per_block)] if per_block else [[] for _ in range(len(offsets) - 1)]
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("cosine", pa.float64()), ("overlap", pa.float64()), ("answered", pa.bool_())]))
