@@ -310,6 +310,20 @@ def k6(fx):
     return rounded(C.promotions(t, wide, fx.now).select("uid", "because", "reason", "hops", "strength"))
 
 
+@query("k6_promotions_of_triggers", """SELECT uid, because, reason, CAST(hops AS BIGINT) AS hops, round(strength, 6)+0E0 AS strength FROM (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY hops, strength DESC, sr, length_m, because) AS rn FROM (
+  SELECT c.neighbor_id AS uid, s.camera_id AS because, CASE WHEN s.camera_id%2=0 THEN 'incident' ELSE 'movement' END AS reason, c.hops, (s.camera_id*37%101)/100E0 AS strength,
+  CASE c.side WHEN 'upstream' THEN 0 WHEN 'downstream' THEN 1 ELSE 2 END AS sr, c.length_m FROM newest s JOIN promo c ON c.camera_id=s.camera_id
+  WHERE s.camera_id%3=0 AND s.camera_id*13%600+0.5E0<300E0)) WHERE rn=1 ORDER BY hops, strength DESC, sr, length_m, uid, because LIMIT 30)""")
+def k6_triggers(fx):
+    """Every third polled camera triggered, up to ten minutes ago; the hold of five minutes parts them."""
+    k = F.col("camera_id")
+    wide = C.corridor(fx.edge, fx.site_camera.select("site_id", "camera_id"), promotion=True)
+    t = fx.fresh.select("camera_id").distinct().filter(k % 3 == 0).select(
+        "camera_id", F.when(k % 2 == 0, "incident").otherwise("movement").alias("reason"), (k * 37 % 101 / 100.0).alias("strength"), (fx.now - (k * 13 % 600 + 0.5)).alias("at"))
+    return rounded(C.promotions(t, wide, fx.now).select("uid", "because", "reason", "hops", "strength"))
+
+
 @query("k7_awake_cameras", """SELECT camera_id, incident_id, CAST(pick AS BIGINT) AS pick FROM (SELECT *, row_number() OVER (PARTITION BY camera_id ORDER BY incident_id, pick) AS rn FROM (
   SELECT l.incident_id, l.camera_id, row_number() OVER (PARTITION BY l.incident_id ORDER BY l.rank) AS pick FROM links l JOIN fx_incident i USING (incident_id)
   WHERE (i.road_relevant OR i.implies_closure) AND l.camera_id IN (SELECT camera_id FROM newest)) WHERE pick<=2) WHERE rn=1 ORDER BY incident_id, pick LIMIT 24""")
