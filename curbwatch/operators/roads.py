@@ -307,10 +307,25 @@ def snap_report(cameras: DataFrame, snaps: DataFrame) -> DataFrame:
     return c.withColumns({"off": off, "seg": seg}).agg(
         F.round(F.max("distance_m"), 1).alias("max_m"), F.round(F.avg("distance_m"), 1).alias("mean_m"), F.count("off").alias("direction_checked"),
         F.count_if(F.col("off") > ROADS.opposite_deg).alias("reversed"), F.round(F.max("off"), 1).alias("max_offset"),
+        # The upper of two middle offsets; a tenth of a degree bounds how many values are counted.
+        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY round(off, 1) DESC)").alias("median_offset"),
         F.count_if(named & (F.size("seg") == 0)).alias("unnumbered"), F.count_if(named & F.arrays_overlap("refs", "seg")).alias("matched"),
         F.count_if(named & (F.size("seg") > 0) & ~F.arrays_overlap("refs", "seg")).alias("mismatched"))
 
 
+def direction_mismatches(cameras: DataFrame, snaps: DataFrame) -> DataFrame:
+    """Cameras on a one-way mainline that runs nearly opposite to their direction code."""
+    c = cameras.select("camera_id", "direction").join(snaps.filter(F.col("way_id").isNotNull() & ~F.col("two_way") & (F.col("highway") == FREEWAY)), "camera_id")
+    off = bearing_diff(F.col("seg_bearing"), direction_bearing(F.col("direction")))
+    return c.filter(off > ROADS.opposite_deg).select("camera_id", "direction", F.round("seg_bearing", 1).alias("bearing"), F.round(off, 1).alias("off_by_deg"))
+
+
+def route_mismatches(cameras: DataFrame, snaps: DataFrame) -> DataFrame:
+    """Cameras whose named routes and whose road's routes have nothing in common, both being known."""
+    c = cameras.select("camera_id", "refs").join(snaps.filter(F.col("way_id").isNotNull()).select("camera_id", route_tokens(F.col("ref")).alias("road_refs")), "camera_id")
+    return c.filter((F.size("refs") > 0) & (F.size("road_refs") > 0) & ~F.arrays_overlap("refs", "road_refs"))
+
+
 def mile_marker_checks(edges: DataFrame, sites: DataFrame) -> DataFrame:
     """Freeway edges whose mile markers run the wrong way or disagree in length (A10)."""
     s = lambda k, q: sites.select(F.col("site_id").alias(k), F.col("mile_marker").alias(f"{q}_mm"), F.col("bearing").alias(f"{q}_b"))
@@ -328,23 +343,24 @@ def mile_marker_checks(edges: DataFrame, sites: DataFrame) -> DataFrame:
 def road_paths(pairs: DataFrame, links: DataFrame, max_hops: int = 8) -> DataFrame:
     """Road between two sites walking links either way, fewest hops first, at most eight.
 
-    `pairs`: pair_id, from_site, to_site. `links`: src, dst, length_m. A node reached
-    twice keeps one path, so a pair's frontier is no larger than the sites near it.
+    `pairs`: pair_id, from_site, to_site. `links`: src, dst, length_m. A node keeps the
+    path it is first reached by; nodes of earlier hops and pairs that have met are left
+    out of the next hop, so a pair visits each site near it once.
     """
     both = links.select("src", "dst", "length_m").unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "length_m"))
-    step = both.groupBy("src", "dst").agg(F.min("length_m").alias("step_m"))
+    step = durable(both.groupBy("src", "dst").agg(F.min("length_m").alias("step_m")))
     front = pairs.filter(F.col("from_site") != F.col("to_site")).select("pair_id", "to_site", F.col("from_site").alias("node"), F.array("from_site").alias("path"), F.lit(0.0).alias("length_m"))
-    found = None
+    seen, found = front.select("pair_id", "node"), None
     for hop in range(1, max_hops + 1):
-        grown = (front.join(step, front.node == step.src).filter(~F.array_contains("path", F.col("dst")))
+        grown = (front.join(step, front.node == step.src)
                  .groupBy("pair_id", "to_site", F.col("dst").alias("node"))
                  .agg(F.min(F.struct(F.concat("path", F.array("dst")).alias("path"), (F.col("length_m") + F.col("step_m")).alias("length_m"))).alias("p"))
                  .select("pair_id", "to_site", "node", "p.path", "p.length_m"))
+        grown = durable(grown.join(seen, ["pair_id", "node"], "left_anti"))
+        seen = seen.unionByName(grown.select("pair_id", "node"))
         hit = grown.filter(F.col("node") == F.col("to_site")).select("pair_id", "path", "length_m", F.lit(hop).alias("hops"))
         found = hit if found is None else found.unionByName(hit)
-        front = grown.filter(F.col("node") != F.col("to_site"))
-        if hop % 4 == 0:
-            front, found = durable(front), durable(found)
+        front = grown.join(hit.select("pair_id"), "pair_id", "left_anti")
     best = found.groupBy("pair_id").agg(F.min(F.struct("hops", "path", "length_m")).alias("f"))
     return best.select("pair_id", "f.hops", "f.path", "f.length_m")
 

@@ -109,13 +109,25 @@ def a9(fx):
     return D.graph_report(fx.edge, fx.site_camera.select("site_id", "is_freeway", F.lit(1).alias("cameras")))
 
 
-@query("a11_snap_report", f"""SELECT {r('max(distance_m)', 1)} AS max_m, {r('avg(distance_m)', 1)} AS mean_m, count(off) AS direction_checked, count(*) FILTER (WHERE off>135E0) AS reversed, {r('max(off)', 1)} AS max_offset,
+@query("a11_snap_report", f"""SELECT {r('max(distance_m)', 1)} AS max_m, {r('avg(distance_m)', 1)} AS mean_m, count(off) AS direction_checked, count(*) FILTER (WHERE off>135E0) AS reversed, {r('max(off)', 1)} AS max_offset, quantile_disc(-round(off, 1), 0.5)*-1 AS median_offset,
   count(*) FILTER (WHERE len(refs)>0 AND len(seg_refs)=0) AS unnumbered, count(*) FILTER (WHERE list_has_any(refs, seg_refs)) AS matched, count(*) FILTER (WHERE len(refs)>0 AND len(seg_refs)>0 AND NOT list_has_any(refs, seg_refs)) AS mismatched
   FROM (SELECT *, CASE WHEN NOT two_way AND highway='motorway' THEN {bdiff('seg_bearing', "CASE direction WHEN 'N' THEN 0E0 WHEN 'E' THEN 90E0 WHEN 'S' THEN 180E0 WHEN 'W' THEN 270E0 END")} * CASE WHEN direction IS NULL THEN NULL ELSE 1 END END AS off FROM snapped)""")
 def a11(fx):
     return D.snap_report(snappers(fx), snaps(fx))
 
 
+@query("a9_direction_mismatches", f"""SELECT camera_id, direction, {r('seg_bearing', 1)} AS bearing, {r('off', 1)} AS off_by_deg FROM (SELECT *, {bdiff('seg_bearing', "CASE direction WHEN 'N' THEN 0E0 WHEN 'E' THEN 90E0 WHEN 'S' THEN 180E0 WHEN 'W' THEN 270E0 END")} AS off
+  FROM snapped WHERE NOT two_way AND highway='motorway' AND direction IS NOT NULL) WHERE off>135E0""")
+def a9_directions(fx):
+    return rounded(D.direction_mismatches(snappers(fx), snaps(fx)), 1)
+
+
+@query("a9_route_mismatches", "SELECT camera_id, array_to_string(list_sort(refs), ' ') AS refs, array_to_string(list_sort(seg_refs), ' ') AS road_refs FROM snapped WHERE len(refs)>0 AND len(seg_refs)>0 AND NOT list_has_any(refs, seg_refs)")
+def a9_mismatches(fx):
+    text = lambda c: F.array_join(F.array_sort(c), " ").alias(c)
+    return D.route_mismatches(snappers(fx), snaps(fx)).select("camera_id", text("refs"), text("road_refs"))
+
+
 @query("a10_mile_marker_checks", f"""SELECT src, dst, east AS eastbound, (d>0)=east AS order_ok, {r('length_m/(abs(d)*1609.344E0)', 4)} AS length_ratio, NOT length_m/(abs(d)*1609.344E0) BETWEEN 0.8E0 AND 1.25E0 AS length_outlier FROM (
   SELECT e.src, e.dst, e.length_m, CASE WHEN e.dst%5<>0 OR e.dst%3=0 THEN (e.dst%97)/10E0 END-(e.src%97)/10E0 AS d, CASE WHEN e.src%4=0 THEN TRUE ELSE least(abs((e.src%360)-90E0), 360E0-abs((e.src%360)-90E0))<90E0 END AS east FROM fx_edge e WHERE kind='freeway') WHERE d<>0""")
 def a10(fx):
