@@ -25,6 +25,8 @@ STEP = 16
 BENCHMARK_SHARE = 1.0
 #: A passage this close to one of an item is a candidate.
 COSINE = 0.6
+#: Words of a text, for each word of an item, in which nothing the shares below call a leak is missed.
+STRETCH = 2
 #: Share of an item's words, in order, that makes a leak; from PARTIAL on the answer decides.
 OVERLAP, PARTIAL = 0.8, 0.6
 #: Items searched for in one pass over the documents.
@@ -197,6 +199,68 @@ class Search:
         self.words = [p.word[f:f + n].tolist() for f, n in zip(p.first, p.length)]
         self.masks = [self._masks(w) for w in self.words]
         self.answers = [w[-max(3, len(w) // 4):] for w in self.words]
+        self._index(idf[p.place], p)
+
+    def _index(self, rarity: np.ndarray, p: Words) -> None:
+        """Postings of each item's rarest words, so many that every leak holds a stated number of them.
+
+        A leak misses size - least words at most, `least` being PARTIAL of them. Of the
+        size - least + sure rarest it so holds `sure` at least, wherever the space puts it.
+        """
+        size = p.length
+        least = np.ceil(PARTIAL * size).astype(np.int64)
+        self.sure = np.maximum(1, (least + 1) // 2)
+        self.step = np.maximum(1, size // 4)
+        self.stretch = STRETCH * size + self.step
+        order = np.lexsort((p.word, -rarity, p.text))
+        rank = np.arange(len(order)) - p.first[p.text]
+        order = order[rank < (size - least + self.sure)[p.text]]
+        words, item = p.word[order], p.text[order]
+        self.vocabulary, number = np.unique(words, return_inverse=True)
+        pair, self.times = np.unique(number * len(size) + item, return_counts=True)
+        self.posted = pair % len(size)
+        self.postings = np.bincount(pair // len(size), minlength=len(self.vocabulary))
+        self.first_posting = np.cumsum(self.postings) - self.postings
+        self.asked = np.zeros(PLACES, bool)
+        self.asked[p.place[order]] = True
+
+    def sure_places(self, p: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, item and first word of all pairs of neighbouring blocks, as long as the item's stretch, that can hold a leak.
+
+        Whatever fits into a stretch lies in two neighbouring blocks.
+        """
+        at = np.flatnonzero(self.asked[p.place])
+        number = np.minimum(np.searchsorted(self.vocabulary, p.word[at]), len(self.vocabulary) - 1)
+        same = self.vocabulary[number] == p.word[at]
+        at, number = at[same], number[same]
+        n = self.postings[number]
+        at, posting = np.repeat(at, n), np.repeat(self.first_posting[number] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        item, first = self.posted[posting], p.first[p.text[at]]
+        begin = first + (at - first) // self.stretch[item] * self.stretch[item]
+        _, kept = np.unique((begin * len(self.ids) + item) * len(self.vocabulary) + np.repeat(number, n), return_index=True)
+        if not len(kept):
+            return kept, kept, kept
+        key, times = (begin * len(self.ids) + item)[kept], self.times[posting[kept]]
+        held, key = summed(key, times), key[np.append(True, key[1:] != key[:-1])]
+        # A pair may begin with a block that holds none of the words itself.
+        text, apart = p.text[key // len(self.ids)], self.stretch[key % len(self.ids)]
+        lead = np.flatnonzero(key // len(self.ids) - apart >= p.first[text])
+        key = np.append(key, key[lead] - apart[lead] * len(self.ids))
+        key, at = np.unique(key, return_index=True)
+        held = np.append(held, np.zeros(len(lead), held.dtype))[at]
+        item = key % len(self.ids)
+        after = key + self.stretch[item] * len(self.ids)
+        there = np.minimum(np.searchsorted(key, after), len(key) - 1)
+        good = held + np.where(key[there] == after, held[there], 0) >= self.sure[item]
+        begin, item = key[good] // len(self.ids), item[good]
+        return p.text[begin], item, begin - p.first[p.text[begin]]
+
+    def stretches(self, item: int, words: list[int]) -> list[tuple[int, int]]:
+        """Parts of a pair of blocks, one stretch and a step long, that can hold a leak."""
+        masks, size, step, stretch = self.masks[item], len(self.words[item]), int(self.step[item]), int(self.stretch[item])
+        if sum(masks[w].bit_count() for w in masks.keys() & set(words)) < PARTIAL * size or common_length(masks, size, words)[0] < PARTIAL * size:
+            return []
+        return [(low, low + stretch) for low in range(0, max(1, min(stretch, len(words))), step)]
 
     @staticmethod
     def _masks(words: list[int]) -> dict[int, int]:
@@ -219,6 +283,14 @@ class Search:
                 held[-1][1], held[-1][2] = max(held[-1][1], start + 2 * STEP + size), max(held[-1][2], cosine)
             else:
                 held.append([start - size, start + 2 * STEP + size, cosine])
+        bounds = np.searchsorted(owner, np.arange(len(offsets)))
+        for text, item, start in zip(*(x.tolist() for x in self.sure_places(p))):
+            low, high = int(p.first[text]) + start, int(p.first[text]) + min(start + 2 * int(self.stretch[item]), int(p.length[text]))
+            parts = self.stretches(item, p.word[low:high].tolist())
+            if parts:
+                mine = np.flatnonzero(np.abs(begin[bounds[text]:bounds[text + 1]] - start) <= 2 * self.stretch[item] + 2 * STEP) + bounds[text]
+                cosine = float(near[mine][:, self.item == item].max())
+                regions.setdefault((text, item), []).extend([start + a, start + b, cosine] for a, b in parts)
         for (text, item), held in regions.items():
             size, best = len(self.words[item]), None
             for low, high, cosine in held:
@@ -244,7 +316,9 @@ def finder(df: DataFrame, benchmark: DataFrame):
     Space and frequencies come from all rows of `df`. Benchmark rows without an id
     or words are left out. An item leaks into a text that holds OVERLAP of its words
     in order near a passage alike in the latent space, or PARTIAL of them with the
-    answer (its last quarter, three words at least). The benchmark is the stated
+    answer (its last quarter, three words at least). Where they stand within STRETCH
+    times its words, the item is found whatever the space says: its rarest words lead
+    to it as well. The benchmark is the stated
     query set; its items are searched for in blocks, each text against one block at
     a time. Null and empty texts have no leaks.
     """

@@ -1,5 +1,6 @@
 """Operator 2 against all longest common subsequences, and the pipeline's stages."""
 
+import math
 import random
 import re
 
@@ -89,3 +90,25 @@ def test_pipeline_takes_an_empty_table(spark):
     for name, step in corpus_pipeline.STAGES:
         docs = corpus_pipeline.stage(step(spark, docs, FOLDER), name)
     assert docs.count() == 0
+
+
+def test_recall_does_not_fall_with_the_benchmark(spark):
+    """Verbatim, 80 % and 65 % with the answer whole, of 1,500 items in a space that cannot part them."""
+    rng = random.Random(3)
+    docs = [words(r.text) for r in documents(spark, "/root/testdata/sf0.01").select("text").collect()]
+    docs = [w for w in docs if len(w) >= 80]
+    items, rows = [], []
+    for k in range(1500):
+        w, n = docs[k % len(docs)], rng.choice([6, 8, 12, 20, 40, 59])
+        at = rng.randrange(len(w) - n + 1)
+        items.append((k, w[at:at + n]))
+    for k, w in items[:300]:
+        for kind, share in enumerate((1.0, 0.8, 0.65)):
+            spare = max(3, len(w) // 4) if share < 0.8 else 0
+            keep = set(range(len(w) - spare, len(w))) | set(rng.sample(range(len(w) - spare), max(0, math.ceil(share * len(w)) - spare)))
+            host = docs[rng.randrange(len(docs))]
+            at = rng.randrange(len(host))
+            rows.append((10_000 * (kind + 1) + k, " ".join(host[:at] + [x if i in keep else f"other{i}" for i, x in enumerate(w)] + host[at:])))
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, bench).collect()}
+    assert not {(d, d % 10_000) for d, _ in rows} - got
