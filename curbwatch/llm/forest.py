@@ -15,7 +15,8 @@ from .common import stage
 from .graph import components
 
 COSINE = 0.9
-TREES = 12
+#: Trees to begin with; they double until the links of QUERIES points, compared with all points, are found to this share.
+TREES, QUERIES, RECALL = 12, 1024, 0.999
 #: Points of a leaf at most, and rows of one side of a comparison when links are counted.
 LEAF, BLOCK = 512, 1024
 #: A split sends points this far (in ranks) beyond the median to both sides.
@@ -102,8 +103,9 @@ def _descend(width: int):
         """(tree, node, point, raw, levels, low, high) to rows of the nodes below, a point in both where it spills."""
         for b in batches:
             t = pa.Table.from_batches([b])
-            both = t.column(0).to_numpy() * (1 << 48) ^ t.column(1).to_numpy()
-            for key in np.unique(both):
+            keys, both = np.unique(np.stack([t.column(0).to_numpy(), t.column(1).to_numpy()]), axis=1, return_inverse=True)
+            both = both.ravel()
+            for key in range(keys.shape[1]):
                 at = np.flatnonzero(both == key)
                 g = t.take(pa.array(at))
                 tree, node, levels = g.column(0)[0].as_py(), g.column(1)[0].as_py(), g.column(4)[0].as_py()
@@ -126,16 +128,16 @@ def _descend(width: int):
     return descend
 
 
-def leaves(points: DataFrame, width: int) -> list[DataFrame]:
-    """(tree, node, point, raw) of all leaves, a table for each round of splits.
+def leaves(points: DataFrame, width: int, trees: range) -> list[DataFrame]:
+    """(tree, node, point, raw) of all leaves of the numbered trees, a table for each round of splits.
 
     All nodes above LEAF points are split at once, each up to LEVELS times at
     medians of a bounded sample of its points, and all its points go down; rounds
     go on until no node is above. Roots are apart by tree and by dimension.
     """
     dim = (F.octet_length("raw") / width).cast("bigint")
-    items = points.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(TREES - 1).cast("bigint"))).alias("_t"), "point", "raw").select(
-        (dim * TREES + F.col("_t")).alias("tree"), F.lit(0).cast("bigint").alias("node"), "point", "raw")
+    items = points.select(F.explode(F.sequence(F.lit(trees.start).cast("bigint"), F.lit(trees.stop - 1).cast("bigint"))).alias("_t"), "point", "raw").select(
+        (dim * (1 << 20) + F.col("_t")).alias("tree"), F.lit(0).cast("bigint").alias("node"), "point", "raw")
     done = []
     while True:
         sizes = stage(items.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n")), "nodes")
@@ -178,6 +180,62 @@ def _linked(width: int):
     return linked
 
 
+def _asked(width: int, shared):
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(point, raw, label) to the links with the queries that no label joins, one for each point and query's label, and in rows without a link the counts of all."""
+        queries: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in {len(r) for _, r, _ in shared.value}:
+            rows = [q for q in shared.value if len(q[1]) == size]
+            queries[size] = np.array([q[0] for q in rows]), unit([q[1] for q in rows], width), np.array([q[2] for q in rows])
+        known = missed = 0
+        for b in batches:
+            points, values, labels = b.column(0).to_numpy(), b.column(1).to_pylist(), b.column(2).to_numpy()
+            size = np.array([len(v) for v in values])
+            for n, (ids, y, groups) in queries.items():
+                mine = np.flatnonzero(size == n)
+                for at in np.array_split(mine, -(-len(mine) // BLOCK)) if len(mine) else []:
+                    near = (unit([values[i] for i in at], width) @ y.T >= COSINE) & (points[at][:, None] != ids)
+                    i, j = np.nonzero(near & (labels[at][:, None] != groups))
+                    known, missed = known + int(near.sum()), missed + len(i)
+                    if len(i):
+                        _, first = np.unique(np.stack([points[at][i], groups[j]]), axis=1, return_index=True)
+                        none = pa.array(np.zeros(len(first), np.int64))
+                        yield pa.RecordBatch.from_arrays([pa.array(points[at][i][first]), pa.array(ids[j][first]), none, none], ["a", "b", "known", "missed"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([known]), pa.array([missed])], ["a", "b", "known", "missed"])
+
+    return asked
+
+
+def joined(points: DataFrame, width: int) -> DataFrame:
+    """(id, label) of every linked point: components of the links verified in the leaves of as many trees as the recall asks for.
+
+    How often two ends of a link meet in a tree falls with its depth and with the
+    cosine of the vectors around them. So the links of QUERIES points, picked by hash,
+    are taken from all points, and while more than 1 - RECALL of them join points of
+    different components, the trees double. Links so found are kept.
+    """
+    # A stated number of rows, whatever the points.
+    chosen = points.orderBy(F.xxhash64("point", F.lit(SEED)), "point").limit(QUERIES).select("point", "raw").collect()
+    links, trees = None, range(TREES)
+    while True:
+        for leaf in leaves(points, width, trees):
+            more = leaf.repartition("tree", "node").sortWithinPartitions("tree", "node").mapInArrow(_linked(width), "a long, b long")
+            links = more if links is None else links.unionByName(more)
+        links = stage(links.distinct(), "links")
+        labels = stage(components(links), "labels")
+        named = {r.id: r.label for r in labels.join(F.broadcast(points.sparkSession.createDataFrame([(r.point,) for r in chosen], "id long")), "id").collect()} if chosen else {}
+        shared = points.sparkSession.sparkContext.broadcast([(r.point, bytes(r.raw), named.get(r.point, r.point)) for r in chosen])
+        rows = points.join(labels, points["point"] == labels["id"], "left").select("point", "raw", F.coalesce("label", "point").alias("label"))
+        asked = stage(rows.mapInArrow(_asked(width, shared), "a long, b long, known long, missed long"), "asked")
+        known, missed = asked.agg(F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.sum("missed"), F.lit(0))).first()
+        if not missed:
+            return labels
+        links = links.unionByName(asked.filter("a is not null").select("a", "b"))
+        if missed <= (1 - RECALL) * known:
+            return stage(components(links), "labels")
+        trees = range(trees.stop, 2 * trees.stop)
+
+
 def _counted(width: int):
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(label, left, right, point, raw, weight, role) to (point, n): weight of the right side's points linked to each of the left."""
@@ -217,8 +275,9 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
 
     Vectors link at cosine COSINE or more in double precision, whatever their other
     columns. Equal vectors are one point of the forest with a weight. Links verified
-    in leaves are united over trees; then every component's links are counted
-    exactly, so a link is missed only if its two ends share no component. Vectors
+    in leaves are united over trees, as many as a measured recall asks for; then every
+    component's links are counted exactly, so a link is missed only if its two ends
+    share no component. Vectors
     that are null, empty or zero, or hold null or non-finite numbers, link with
     nothing, and vectors of different lengths not with each other. A null id never
     names a component unless it has no other. An empty table gives an empty one.
@@ -227,11 +286,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     rows = stage(df.select(F.col(id_col).alias("vec_id"), raw(F.col(vec_col)).alias("raw")), "vectors")
     points = stage(rows.filter("raw is not null").groupBy("raw").agg(F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("low"))
                    .withColumn("point", F.monotonically_increasing_id()), "points")
-    found = [leaf.repartition("tree", "node").sortWithinPartitions("tree", "node").mapInArrow(_linked(width), "a long, b long") for leaf in leaves(points, width)]
-    links = found[0]
-    for more in found[1:]:
-        links = links.unionByName(more)
-    labels = stage(components(links), "labels")
+    labels = joined(points, width)
     members = points.join(labels, points["point"] == labels["id"]).select("label", "point", "raw", "weight", "low")
     least = members.groupBy("label").agg(F.min("low").alias("component_id"))
     known = members.select("label", "point").join(least, "label").join(link_counts(members, width), "point", "left").select("point", "component_id", F.col("n").alias("_n"))

@@ -63,5 +63,24 @@ def test_forest_of_small_leaves(spark, vectors, monkeypatch):
     assert sum(g[0] for g in got.values()) >= 0.95 * sum(w[0] for w in want.values())
 
 
+def test_pairs_in_a_dense_cluster(spark, monkeypatch):
+    """Pairs at cosine 0.905 without other neighbours, where all vectors are alike to 0.7, in deep trees."""
+    monkeypatch.setattr(forest, "LEAF", 32)
+    monkeypatch.setattr(forest, "QUERIES", 300, raising=False)
+    rng = np.random.default_rng(5)
+    normed = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    around = np.zeros(48)
+    around[0] = np.sqrt(0.7)
+    own = normed(np.insert(rng.standard_normal((2000, 47)), 0, 0.0, axis=1))
+    other = normed(np.insert(rng.standard_normal((1000, 47)), 0, 0.0, axis=1))
+    other = normed(other - (other * own[:1000]).sum(axis=1, keepdims=True) * own[:1000])
+    share = (0.905 - 0.7) / 0.3
+    twin = share * own[:1000] + np.sqrt(1 - share * share) * other
+    rows = [(i, v.tolist()) for i, v in enumerate(around + np.sqrt(0.3) * np.concatenate([own, twin]))]
+    got = check(spark, rows, "double")
+    found = sum(got[2000 + i] == (1, i) and got[i] == (1, i) for i in range(1000))
+    assert found >= 980, found
+
+
 def test_empty_table(spark):
     assert forest.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
