@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, forest, langmix, license_scan, mix, rans, secret_scan, sharding, simhash, token_scan
+from . import bpe, decontaminate, forest, langmix, license_scan, mix, rans, secret_scan, sharding, simhash, spelling, token_scan, whitening
 from .common import documents
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,42 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"].isin(kinds))
     return out.select("doc_id", *[count(k) for k in kinds], F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+OP11_SQL = """
+WITH RECURSIVE t AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END) ORDER BY i) AS t
+  FROM (SELECT range AS i FROM range(256))),
+r AS (SELECT coalesce(doc_id::VARCHAR, 'null') AS doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+d AS (SELECT doc_id, run, count(*) AS n, hex(encode(doc_id || ':' || run)) AS x FROM r WHERE length(run) >= 7 GROUP BY doc_id, run),
+c AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i::INT + 1, 2))::BIGINT)),
+    lambda a, b: xor(a >> 8, t.t[(xor(a, b) & 255) + 1]))) AS h FROM d, t),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM c)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+g AS (SELECT word, n, i, substr(word, 1, i::INT) || substr(word, i::INT + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)),
+p AS (SELECT a.word, b.word AS near, b.n AS near_n FROM g a JOIN g b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT g.word, w.word, w.n FROM g JOIN w ON g.rest = w.word
+  UNION SELECT w.word, g.word, g.n FROM g JOIN w ON g.rest = w.word),
+f AS (SELECT word, count(*) AS n_near, max(near_n) AS m FROM p GROUP BY word),
+o AS (SELECT w.word, w.n, coalesce(f.n_near, 0)::BIGINT AS n_near, CASE WHEN f.m >= 10 * w.n THEN (SELECT min(p.near) FROM p WHERE p.word = w.word AND p.near_n = f.m) END AS form,
+  CASE WHEN f.m >= 10 * w.n THEN f.m END AS form_n FROM w LEFT JOIN f USING (word)),
+u AS (SELECT word, word AS at FROM o UNION ALL SELECT u.word, o.form FROM u JOIN o ON u.at = o.word WHERE o.form IS NOT NULL)
+SELECT o.word, o.form, u.at AS root, o.n, o.n_near, o.form_n::BIGINT AS form_n FROM o JOIN u ON o.word = u.word JOIN o l ON u.at = l.word WHERE l.form IS NULL
+"""
+
+
+@query("op11_spelling_variants", OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, folder))
+
+
+@query("op12_bpe")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    ids = bpe.encode(documents(spark, folder).select("doc_id", "text"), tokenizer())
+    return ids.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2(bpe.decode(F.col("ids"), tokenizer()).cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    out = whitening.whiten(spark.read.parquet(f"{folder}/embeddings.parquet"))
+    return out.withColumn("deviation", F.col("deviation").cast("bigint"))
