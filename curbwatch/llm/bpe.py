@@ -16,10 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .common import pieces as row_pieces
-from .common import text_buffer
 
 #: Bytes of text whose pairs are indexed together; a longer text is a chunk of its own.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
 #: Words of visible ASCII, which need no normalizer; \n parts them.
 _VISIBLE = re.compile("[!-~]+")
 _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9\n]+|\n")
@@ -33,7 +32,8 @@ def runs(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     ends = np.cumsum(length)
     if not len(ends) or not ends[-1]:
         return flat[:0]
-    return flat[np.repeat(start - ends + length, length) + np.arange(ends[-1])]
+    kind = np.int32 if max(ends[-1], len(flat)) < 2 ** 31 else np.int64
+    return flat[np.repeat((start - ends + length).astype(kind), length) + np.arange(ends[-1], dtype=kind)]
 
 
 class Vocabulary:
@@ -109,10 +109,12 @@ class Vocabulary:
         last = np.zeros(n, bool)
         last[begin[1:] - 1] = True
         last[n - 1:] = True
-        following = np.where(last, -1, np.arange(1, n + 1))
-        before = np.arange(-1, n - 1)
+        kind = np.int32 if n < 2 ** 31 else np.int64
+        following = np.arange(1, n + 1, dtype=kind)
+        following[last] = -1
+        before = np.arange(-1, n - 1, dtype=kind)
         before[begin] = -1
-        piece = np.repeat(np.arange(len(begin)), np.diff(begin, append=n))
+        piece = np.repeat(np.arange(len(begin), dtype=kind), np.diff(begin, append=n))
         places: dict[int, list[np.ndarray]] = {}
         active: list[int] = []
 
@@ -133,7 +135,7 @@ class Vocabulary:
                 else:
                     held.append(at[i:j])
 
-        at = np.flatnonzero(~last)
+        at = np.flatnonzero(~last).astype(kind)
         put(at, self.rank(symbol[at], symbol[at + 1]))
         while active:
             r = heapq.heappop(active)
@@ -241,36 +243,52 @@ class Vocabulary:
         return runs(ids, begin[which], size), total[at[1:]] - total[at[:-1]]
 
 
+    def decode(self, column: pa.Array) -> pa.Array:
+        """Tokens of the ids in a binary column, parted by a space."""
+        out = []
+        for _, _, at, part in row_pieces(column, CHUNK_BYTES):
+            named = self.tokens.take(pa.array(np.frombuffer(part.tobytes(), "<u4").astype(np.int32)))
+            out.append(pc.binary_join(pa.ListArray.from_arrays(pa.array((at // 4).astype(np.int32)), named), " "))
+        whole = pa.concat_arrays(out) if out else pa.array([], pa.string())
+        return pc.if_else(column.is_valid(), whole, pa.scalar(None, pa.string())) if column.null_count else whole
+
+
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
     """One per worker process."""
     return Vocabulary(path)
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """`df` without its text column and with a binary column of the ids of every whole text, 4 little-endian bytes an id.
 
     Words are cut at white space, which neither the file's normalizer nor its
     splitter joins anything across; a chunk of at most CHUNK_BYTES of text (or one
     longer text) is encoded at once: its distinct words, of these the distinct
-    pieces, and all of those by one index of pair occurrences. Strings of special
-    tokens in a text become their ids, as the library does unless told otherwise.
-    Null and empty texts have no ids; equal rows each keep theirs; other columns
-    stay as they are, and a column that is already called `ids` is replaced.
+    pieces, and all of those by one index of pair occurrences. With `decoded`, a
+    column of that name holds what the ids decode to. Strings of special tokens in
+    a text become their ids, as the library does unless told otherwise. Null and
+    empty texts have no ids; equal rows each keep theirs; other columns stay as
+    they are, and columns already called as the new ones are replaced.
     """
-    carried = [c for c in df.columns if c not in (text, ids)]
+    new = [ids] if decoded is None else [ids, decoded]
+    carried = [c for c in df.columns if c not in (text, *new)]
     schema = df.select(*carried).schema.add(ids, "binary")
+    if decoded is not None:
+        schema = schema.add(decoded, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = vocabulary(path)
         for b in batches:
             column = b.column(len(carried))
             for row, end, _, _ in row_pieces(column, CHUNK_BYTES):
-                texts = pc.fill_null(column.slice(row, end - row), "")
-                flat, n = held.encode(texts)
+                flat, n = held.encode(pc.fill_null(column.slice(row, end - row), ""))
                 offsets = np.concatenate([[0], np.cumsum(4 * n)])
-                data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(flat.astype("<u4"))])
-                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(row, end - row) for i in range(len(carried))), data.cast(pa.binary())], [*carried, ids])
+                data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(flat.astype("<u4"))]).cast(pa.binary())
+                out = [data] if decoded is None else [data, held.decode(data)]
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(row, end - row) for i in range(len(carried))), *out], [*carried, *new])
+                del flat, data, out
+                pa.default_memory_pool().release_unused()
 
     return df.select(*carried, text).mapInArrow(run, schema)
 
@@ -278,15 +296,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
 def decode(ids: Column, path: str) -> Column:
     """The text the library's decode(ids, skip_special_tokens=False) gives for a file without a decoder: tokens parted by a space. Null stays null."""
     def run(column: pa.Array) -> pa.Array:
-        tokens = vocabulary(path).tokens
-        offsets, data = text_buffer(column)
-        out = []
-        for row, end, at, part in row_pieces(column, CHUNK_BYTES):
-            named = tokens.take(pa.array(np.frombuffer(part.tobytes(), "<u4").astype(np.int64)))
-            lists = pa.ListArray.from_arrays(pa.array((at // 4).astype(np.int32)), named)
-            out.append(pc.binary_join(lists, " "))
-        whole = pa.concat_arrays(out) if out else pa.array([], pa.string())
-        return pc.if_else(column.is_valid(), whole, pa.scalar(None, pa.string())) if column.null_count else whole
+        return vocabulary(path).decode(column)
 
     run.__annotations__ = {"column": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, StringType())(ids)
