@@ -15,7 +15,7 @@ from ..operators import events as E
 from ..operators import floors as L
 from ..operators import ranking as R
 from ..operators.scale import work_folder
-from ..streaming import folds, polls
+from ..streaming import folds, ordered, polls
 from .oracle_base import cte, fixed, hav_km, r, sun
 from .queries_scoring import full_scores, plain_scores
 from .registry import query, rounded
@@ -165,54 +165,123 @@ def a22b(fx):
     return rounded(C.diary_of(fx.poll.select("poll_id", "at", F.date_format("ts", "yyyy-MM-dd").alias("day")), "2024-01-15").select("poll_id", "at"))
 
 
-@query("t3_first_seen", """SELECT incident_id, fetch_no, max(CASE WHEN ret THEN fetch_no END) OVER (PARTITION BY incident_id ORDER BY fetch_no) AS seen_from FROM (
-  SELECT *, coalesce(fetch_no-lag(fetch_no) OVER (PARTITION BY incident_id ORDER BY fetch_no)>1, TRUE) AS ret FROM (SELECT DISTINCT camera_id%40 AS incident_id, CAST(floor(at/21600E0) AS BIGINT) AS fetch_no FROM fx_poll))""")
+FIRST_SEEN = """SELECT incident_id, fetch_no, max(CASE WHEN ret THEN fetch_no END) OVER (PARTITION BY incident_id ORDER BY fetch_no) AS seen_from FROM (
+  SELECT *, coalesce(fetch_no-lag(fetch_no) OVER (PARTITION BY incident_id ORDER BY fetch_no)>1, TRUE) AS ret FROM (SELECT DISTINCT camera_id%40 AS incident_id, CAST(floor(at/21600E0) AS BIGINT) AS fetch_no FROM fx_poll))"""
+
+
+@query("t3_first_seen", FIRST_SEEN)
 def t3(fx):
     snaps = fx.poll.select((F.col("camera_id") % 40).alias("incident_id"), F.floor(F.col("at") / 21600.0).alias("fetch")).distinct()
     return C.first_seen(snaps, F.floor(F.col("fetch") / 28)).select("incident_id", F.col("fetch").alias("fetch_no"), "seen_from")
 
 
-@query("t2_learned_baseline")
+@query("t3_first_seen_stream", FIRST_SEEN)
+def t3s(fx):
+    work = work_folder(fx.spark, "first-seen")
+    fetch = F.floor(F.col("at") / 21600.0)
+    fetches = polls.poll_stream(fx.spark, fx.folder).select((F.col("camera_id") % 40).alias("incident_id"), fetch.alias("fetch_no"), (fetch * 21600.0).alias("at"))
+    polls.run_once(polls.first_seen(fetches, 21600.0), f"{work}/out", f"{work}/checkpoint")
+    return ordered.decisions(fx.spark, f"{work}/out", ["incident_id"], ordered.FirstSeen.out)[0].select("incident_id", "fetch_no", "seen_from")
+
+
+# The learning rule poll by poll: a camera's cells are two lists that each step changes in one place.
+cte("learn_in", "SELECT poll_id, camera_id, at, diff, cell+1 AS c, row_number() OVER (PARTITION BY camera_id ORDER BY at, poll_id) AS i FROM fx_fresh_dense WHERE diff IS NOT NULL")
+LEARN = """SELECT camera_id, i, poll_id, cell_n, cell_mean, still AS ambiguous, learned, since,
+  list_transform(ns, lambda x, j: CASE WHEN j=c AND learned THEN x+1 ELSE x END) AS ns,
+  list_transform(means, lambda x, j: CASE WHEN j=c AND learned THEN x+(diff-x)/(cell_n+1) ELSE x END) AS means FROM (
+  SELECT *, NOT unusual OR at-since>=10800E0 AS learned FROM (
+  SELECT * EXCLUDE (since), CASE WHEN unusual THEN coalesce(since, at) END AS since FROM (
+  SELECT *, still OR (cell_n>=5 AND diff>=2E0*cell_mean) AS unusual FROM (
+  SELECT *, cell_n>=5 AND cell_mean>0.008E0 AND diff<=0.004E0 AS still FROM (
+  SELECT p.camera_id, p.i, p.poll_id, p.at, p.diff, p.c, s.ns, s.means, s.since, s.ns[p.c] AS cell_n, s.means[p.c] AS cell_mean FROM {state})))))"""
+FIRST = "learn_in p, (SELECT [CAST(0 AS BIGINT) FOR x IN range(168)] AS ns, [CAST(0 AS DOUBLE) FOR x IN range(168)] AS means, CAST(NULL AS DOUBLE) AS since) s WHERE p.i=1"
+
+
+@query("t2_learned_baseline", f"""SELECT poll_id, camera_id, cell_n, {r('cell_mean')} AS cell_mean, ambiguous, learned FROM (
+  WITH RECURSIVE learn AS ({LEARN.format(state=FIRST)} UNION ALL {LEARN.format(state='learn s JOIN learn_in p ON p.camera_id=s.camera_id AND p.i=s.i+1')}) SELECT * FROM learn)""")
 def t2(fx):
     out = folds.learned_baseline(fx.fresh_dense)
     return rounded(out.select("poll_id", "camera_id", "cell_n", "cell_mean", "ambiguous", "learned"))
 
 
-@query("t5_diary_spacing")
-def t5(fx):
-    e = fx.fresh.filter(F.col("diff") > 0.008).select(
+# The next entry kept is the first one half an hour after the last.
+cte("diary_in", "SELECT poll_id AS entry_id, CASE WHEN poll_id%2=0 THEN 'movement' ELSE 'incident' END AS kind, camera_id%5 AS camera_id, at FROM fx_fresh WHERE diff>0.008E0")
+SPACED = f"""SELECT kind, camera_id, entry_id, {r('at')} AS at FROM (WITH RECURSIVE kept AS (
+  SELECT kind, camera_id, entry_id, at FROM (SELECT *, row_number() OVER (PARTITION BY kind, camera_id ORDER BY at, entry_id) AS rn FROM diary_in) WHERE rn=1
+  UNION ALL SELECT kind, camera_id, entry_id, at FROM (SELECT e.*, row_number() OVER (PARTITION BY e.kind, e.camera_id ORDER BY e.at, e.entry_id) AS rn
+    FROM kept k JOIN diary_in e ON e.kind=k.kind AND e.camera_id=k.camera_id AND e.at-k.at>=1800E0) WHERE rn=1) SELECT * FROM kept)"""
+
+
+def diary_in(fresh):
+    return fresh.filter(F.col("diff") > 0.008).select(
         F.col("poll_id").alias("entry_id"), F.when(F.col("poll_id") % 2 == 0, "movement").otherwise("incident").alias("kind"),
         (F.col("camera_id") % 5).alias("camera_id"), "at")
-    return rounded(folds.spaced_entries(e))
 
 
-@query("t6_trigger_hold", f"SELECT camera_id, {r('max(at)')} AS at, arg_max(poll_id, at) AS poll_id FROM fx_fresh, clock WHERE diff>0.02E0 AND now-at<86400E0 GROUP BY camera_id")
+@query("t5_diary_spacing", SPACED)
+def t5(fx):
+    return rounded(folds.spaced_entries(diary_in(fx.fresh)))
+
+
+@query("t5_diary_stream", SPACED)
+def t5s(fx):
+    work = work_folder(fx.spark, "diary")
+    fresh = polls.poll_stream(fx.spark, fx.folder).filter(F.col("result") == "fresh")
+    polls.run_once(polls.diary_entries(diary_in(fresh)), f"{work}/out", f"{work}/checkpoint")
+    decided, _ = ordered.decisions(fx.spark, f"{work}/out", ["kind", "camera_id"], ordered.Spacing.out)
+    return rounded(decided.filter("kept").select("kind", "camera_id", "entry_id", "at"))
+
+
+HOLDS = f"SELECT camera_id, {r('max(at)')} AS at, arg_max(poll_id, at) AS poll_id FROM fx_fresh, clock WHERE diff>0.02E0 AND now-at<86400E0 GROUP BY camera_id"
+
+
+@query("t6_trigger_hold", HOLDS)
 def t6(fx):
     hot = fx.fresh.filter((F.col("diff") > 0.02) & (fx.now - F.col("at") < 86400.0))
     return rounded(hot.groupBy("camera_id").agg(F.max("at").alias("at"), F.max_by("poll_id", "at").alias("poll_id")))
 
 
-@query("w6_live_motion")
+@query("t6_trigger_hold_stream", HOLDS)
+def t6s(fx):
+    work = work_folder(fx.spark, "holds")
+    hot = (F.col("result") == "fresh") & (F.col("diff") > 0.02)
+    polls.run_once(polls.trigger_holds(polls.poll_stream(fx.spark, fx.folder), hot, 86400.0), f"{work}/out", f"{work}/checkpoint")
+    return rounded(polls.read_holds(fx.spark, f"{work}/out").select("camera_id", "at", "poll_id"))
+
+
+# Pictures one by one: the last accepted one and the changes so far go with a camera.
+cte("motion_in", """SELECT CAST(label AS BIGINT) AS camera_id, vec_id AS seq, list_transform(embedding, lambda v: least(1E0, greatest(0E0, CAST(v AS DOUBLE)*0.5E0+0.5E0))) AS thumb,
+  row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings""")
+MOTION = f"""SELECT camera_id, seq, kind, {r('change')} AS change, {r('median')} AS median, {r('anomaly')} AS anomaly FROM (WITH RECURSIVE motion AS (
+  SELECT camera_id, i, seq, thumb AS prev, CAST([] AS DOUBLE[]) AS recent, 'first' AS kind, CAST(NULL AS DOUBLE) AS change, CAST(NULL AS DOUBLE) AS median, CAST(NULL AS DOUBLE) AS anomaly FROM motion_in WHERE i=1
+  UNION ALL SELECT camera_id, i, seq, CASE WHEN dup THEN prev ELSE thumb END, recent, CASE WHEN dup THEN 'duplicate' WHEN len(recent)<10 THEN 'warming' ELSE 'scored' END, d,
+    CASE WHEN NOT dup THEN list_median(recent) END, CASE WHEN NOT dup AND len(recent)>=10 THEN least(1E0, 0.5E0*d/greatest(list_median(recent), 0.1E0/255E0)) END FROM (
+    SELECT camera_id, i, seq, thumb, prev, d, dup, CASE WHEN dup THEN recent ELSE list_slice(list_append(recent, d), greatest(1, len(recent)-58), len(recent)+1) END AS recent FROM (
+    SELECT *, d<0.01E0/255E0 AS dup FROM (
+    SELECT p.camera_id, p.i, p.seq, p.thumb, m.prev, m.recent, list_sum(list_transform(list_zip(p.thumb, m.prev), lambda z: abs(z[1]-z[2])))/len(p.thumb) AS d
+      FROM motion m JOIN motion_in p ON p.camera_id=m.camera_id AND p.i=m.i+1)))) SELECT * FROM motion)"""
+
+
+@query("w6_live_motion", MOTION)
 def w6(fx):
     pics = fx.thumb.withColumn("at", F.col("seq").cast("double") * 600.0)
     return rounded(folds.live_motion(pics))
 
 
-@query("t1_poll_state_stream", f"""SELECT p.camera_id, p.polls, p.frames, p.unchanged, p.unavailable, coalesce(CAST(o.samples AS BIGINT), 0) AS samples, {r('CASE WHEN o.samples>=3 THEN o.own_median END')} AS rolling FROM (
+@query("t1_poll_state_stream", f"""SELECT p.camera_id, p.polls, CAST(0 AS BIGINT) AS late, p.frames, p.unchanged, p.unavailable, coalesce(CAST(o.samples AS BIGINT), 0) AS samples, {r('CASE WHEN o.samples>=3 THEN o.own_median END')} AS rolling FROM (
   SELECT camera_id, count(*) AS polls, count(*) FILTER (WHERE result='fresh') AS frames, count(*) FILTER (WHERE result IN ('unchanged','not_modified')) AS unchanged,
   count(*) FILTER (WHERE result='unavailable') AS unavailable FROM fx_poll GROUP BY camera_id) p LEFT JOIN own o USING (camera_id)""")
 def t1(fx):
     work = work_folder(fx.spark, "poll-state")
     polls.run_once(polls.camera_states(polls.poll_stream(fx.spark, fx.folder)), f"{work}/out", f"{work}/checkpoint")
-    cols = ["polls", "frames", "unchanged", "unavailable", "samples", "rolling"]
-    last = fx.spark.read.parquet(f"{work}/out").groupBy("camera_id").agg(F.max_by(F.struct(*cols), "polls").alias("s")).select("camera_id", "s.*")
-    return rounded(last)
+    states, _ = polls.read_states(fx.spark, f"{work}/out")
+    return rounded(states.select("camera_id", "polls", "late", "frames", "unchanged", "unavailable", "samples", "rolling"))
 
 
 @query("t4_streamed_pulse", "SELECT region_id, at, diff, cameras FROM pulse_points")
 def t4(fx):
     work = work_folder(fx.spark, "pulse")
-    polls.run_once(polls.pulse_updates(polls.poll_stream(fx.spark, fx.folder), fx.camera), f"{work}/out", f"{work}/checkpoint")
+    polls.run_pulse(polls.pulse_updates(polls.poll_stream(fx.spark, fx.folder)), fx.camera, f"{work}/out", f"{work}/checkpoint")
     return polls.read_pulse(fx.spark, f"{work}/out").select("region_id", "at", "diff", "cameras")
 
 

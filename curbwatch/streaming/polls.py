@@ -1,99 +1,123 @@
 """Streaming jobs over the poll log.
 
-A camera's state is kept for good, as large as one profile, and polls are taken in
-the order of the micro-batches they arrive in, however late. The city pulse keeps
-state per camera and minute until its watermark. Sinks overwrite the folder of
-their epoch, so a replayed epoch is not there twice.
+Files may arrive out of time order. Polls are folded in the order of their time
+(`ordered.py`); one that comes later than LATE behind the newest poll is counted
+and written to a late table instead, so frames in time and late ones add up to the
+input. A camera's state is kept for good, as large as one profile. Sinks overwrite
+the folder of their epoch, so a replayed epoch is not there twice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from contextlib import contextmanager
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..config import CITY, SCORE
+from ..config import CITY, CORRIDOR
 from ..functions.geo import hour_of_week_at
 from ..functions.numeric import with_fixed
 from ..operators.scale import group_median
-from .folds import empty_profile, learn_polls
+from . import ordered
 
-STATE_OUT = ("camera_id bigint, last_at double, polls bigint, frames bigint, unchanged bigint, unavailable bigint, samples int, "
-             "rolling double, cell int, cell_n bigint, cell_mean double, ambiguous boolean")
-STATE_HELD = ("last_at double, polls bigint, frames bigint, unchanged bigint, unavailable bigint, recent array<double>, "
-              "n array<bigint>, mean array<double>, m2 array<double>, since double, cell int, cell_n bigint, cell_mean double, ambiguous boolean")
+#: How far behind the newest poll a poll may come and still count.
+LATE = "10 minutes"
 
 
-def camera_states(polls: DataFrame) -> DataFrame:
-    """Per-camera state after every micro-batch: outcome counts, recent history, learned cell.
+def camera_states(polls: DataFrame, late: str = LATE) -> DataFrame:
+    """Per-camera state after every micro-batch, and the polls that came late.
 
-    `polls` is a stream of (poll_id, camera_id, ts, at, diff, result).
+    `polls` is a stream of (poll_id, camera_id, ts, at, diff, result). Rows of kind
+    `state` hold outcome counts, recent history and the learned cell over all polls
+    in time so far; rows of kind `late` are one late poll each.
     """
+    cell = hour_of_week_at(F.col("at")).alias("cell")
+    return ordered.process(polls, ["camera_id"], ordered.CameraState(), ["poll_id", "at", "diff", "result", cell], late)
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(batches).sort_values(["at", "poll_id"])
-        if state.exists:
-            last, polls_n, frames, same, gone, recent, n, mean, m2, since, cell, cell_n, cell_mean, flag = state.get
-            held = {"n": np.array(n, np.int64), "mean": np.array(mean, float), "m2": np.array(m2, float),
-                    "since": np.nan if since is None else since}
-            recent = list(recent)
-        else:
-            last, polls_n, frames, same, gone, recent, held = None, 0, 0, 0, 0, [], empty_profile()
-            cell, cell_n, cell_mean, flag = None, 0, 0.0, False
-        result = rows["result"]
-        fresh = rows[(result == "fresh") & rows["diff"].notna()]
-        polls_n += len(rows)
-        frames += int((result == "fresh").sum())
-        same += int(result.isin(["unchanged", "not_modified"]).sum())
-        gone += int((result == "unavailable").sum())
-        if len(fresh):
-            recent = (recent + fresh["diff"].tolist())[-SCORE.history:]
-            seen = learn_polls(fresh["at"].to_numpy(), fresh["diff"].to_numpy(), fresh["cell"].to_numpy(), held)
-            last, cell, cell_n = float(fresh["at"].iloc[-1]), int(fresh["cell"].iloc[-1]), seen["cell_n"][-1]
-            cell_mean, flag = seen["cell_mean"][-1], seen["ambiguous"][-1]
-        since = None if np.isnan(held["since"]) else float(held["since"])
-        state.update((last, polls_n, frames, same, gone, recent, held["n"].tolist(), held["mean"].tolist(), held["m2"].tolist(),
-                      since, cell, cell_n, cell_mean, flag))
-        rolling = float(np.median(recent)) if len(recent) >= SCORE.min_samples else None
-        yield pd.DataFrame([(key[0], last, polls_n, frames, same, gone, len(recent), rolling, cell, cell_n, cell_mean, flag)],
-                           columns=[c.split()[0] for c in STATE_OUT.split(", ")])
-
-    rows = polls.select("camera_id", "poll_id", "at", "diff", "result", hour_of_week_at(F.col("at")).alias("cell"))
-    return rows.groupBy("camera_id").applyInPandasWithState(update, STATE_OUT, STATE_HELD, "update", GroupStateTimeout.NoTimeout)
-
-
-def pulse_updates(polls: DataFrame, cameras: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Newest difference per city, minute and camera on the stream, again whenever it changes (T4).
+
+def read_states(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The newest state of each camera, and the late polls, from all epochs written so far."""
+    rows = spark.read.schema(ordered.CameraState.out + ", epoch bigint").parquet(path)
+    columns = [c for c in rows.columns if c not in ("kind", "camera_id", "poll_id", "epoch")]
+    newest = rows.filter("kind = 'state'").groupBy("camera_id").agg(F.max(F.struct("epoch", *columns)).alias("s"))
+    return newest.select("camera_id", *[F.col(f"s.{c}").alias(c) for c in columns]), rows.filter("kind = 'late'").select("camera_id", "poll_id", "at")
+
+
+def pulse_updates(polls: DataFrame, late: str = LATE) -> DataFrame:
+    """Fresh frames of the stream, each with whether it came late (T4); `run_pulse` sums them up."""
+    frames = polls.filter((F.col("result") == "fresh") & F.col("diff").isNotNull())
+    return ordered.process(frames, ["camera_id"], ordered.Lateness(), ["at", "poll_id", "diff"], late)
+
+
+def run_pulse(stream: DataFrame, cameras: DataFrame, path: str, checkpoint: str) -> None:
+    """Drain `pulse_updates` into `path`/newest, the newest difference per city, minute and camera of each epoch, and `path`/late.
 
     A frame counts in every minute of the look back, as in the batch pulse.
     """
-    first, last = F.ceil(F.col("at") / 60.0), F.floor((F.col("at") + CITY.pulse_recent_s) / 60.0)
-    frames = polls.filter((F.col("result") == "fresh") & F.col("diff").isNotNull()).select(
-        "camera_id", "at", "poll_id", "diff", F.explode(F.when(first <= last, F.sequence(first, last))).alias("minute"))
-    timed = frames.withColumn("minute", F.timestamp_seconds(F.col("minute") * 60)).withWatermark("minute", late)
-    return (timed.join(cameras.select("camera_id", "region_id"), "camera_id").groupBy("minute", "region_id", "camera_id")
-            .agg(F.max(F.struct("at", "poll_id", "diff")).alias("newest")))
+    def sink(batch: DataFrame, epoch: int) -> None:
+        first, last = F.ceil(F.col("at") / 60.0), F.floor((F.col("at") + CITY.pulse_recent_s) / 60.0)
+        batch = batch.persist()
+        frames = batch.filter("not late").select("camera_id", "at", "poll_id", "diff", F.explode(F.when(first <= last, F.sequence(first, last))).alias("minute"))
+        newest = frames.groupBy("minute", "camera_id").agg(F.max(F.struct("at", "poll_id", "diff")).alias("newest"))
+        newest.join(cameras.select("camera_id", "region_id"), "camera_id").write.mode("overwrite").parquet(f"{path}/newest/epoch={epoch}")
+        batch.filter("late").select("camera_id", "poll_id", "at", "late_n").write.mode("overwrite").parquet(f"{path}/late/epoch={epoch}")
+        batch.unpersist()
+
+    _drain(stream, sink, checkpoint)
+
+
+def first_seen(fetches: DataFrame, period_s: float, late: str = "1 day") -> DataFrame:
+    """Which fetch dates each undated record, decided as fetches come (T3). `fetches`: a stream of (incident_id, fetch_no, at)."""
+    return ordered.process(fetches, ["incident_id"], ordered.FirstSeen(period_s), ["at", "fetch_no"], late)
+
+
+def diary_entries(entries: DataFrame, repeat_s: float = CITY.diary_repeat_s, late: str = "1 day") -> DataFrame:
+    """Whether each diary entry is kept, decided as entries come (T5). `entries`: a stream of (kind, camera_id, at, entry_id)."""
+    return ordered.process(entries, ["kind", "camera_id"], ordered.Spacing(repeat_s), ["at", "entry_id"], late)
+
+
+def trigger_holds(polls: DataFrame, trigger: Column, hold_s: float = CORRIDOR.promote_hold_s) -> DataFrame:
+    """Triggers that begin and end to hold (T6): polls that are `trigger`, for `hold_s` of the time of all polls."""
+    return ordered.process(polls, ["camera_id"], ordered.TriggerHold(), ["at", "poll_id"], f"{hold_s} seconds", trigger)
+
+
+def read_holds(spark: SparkSession, path: str) -> DataFrame:
+    """Triggers that hold after all epochs so far: the newest row of each camera, unless it ends the hold."""
+    rows = spark.read.schema(ordered.TriggerHold.out + ", epoch bigint").parquet(path)
+    last = rows.groupBy("camera_id").agg(F.max(F.struct("epoch", F.col("held"), "at", "poll_id")).alias("s"))
+    return last.filter("s.held").select("camera_id", "s.at", "s.poll_id")
 
 
 def read_pulse(spark: SparkSession, path: str) -> DataFrame:
     """City medians from all updates written so far: the newest of each camera and minute over all epochs, then the median."""
-    newest = spark.read.parquet(path).groupBy("minute", "region_id", "camera_id").agg(F.max("newest").alias("newest"))
-    flat = newest.select("region_id", F.col("minute").cast("double").alias("at"), F.col("newest.diff").alias("diff"))
+    newest = spark.read.parquet(f"{path}/newest").groupBy("minute", "region_id", "camera_id").agg(F.max("newest").alias("newest"))
+    flat = newest.select("region_id", (F.col("minute") * 60.0).alias("at"), F.col("newest.diff").alias("diff"))
     med = group_median(flat, ["region_id", "at"], "diff", "median", 1e-3).filter(F.col("median_n") >= CITY.pulse_min_cameras)
     return with_fixed(med, 5, diff=F.col("median")).select("region_id", "at", "diff", F.col("median_n").alias("cameras"))
 
 
-def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> None:
-    """Drain what the source holds now into parquet and stop."""
-    def sink(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+@contextmanager
+def _state_store(spark: SparkSession):
+    """Processors with timers need the RocksDB state store; the session's own setting comes back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in ordered.PROVIDER}
+    for k, v in ordered.PROVIDER.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _drain(stream: DataFrame, sink, checkpoint: str) -> None:
+    """Take what the source holds now, let the watermark's timers fire, and stop."""
+    with _state_store(stream.sparkSession):
+        stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
+
 
-    query = (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start())
-    query.awaitTermination()
+def run_once(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Drain what the source holds now into parquet and stop; the checkpoint carries on from there the next time."""
+    _drain(stream, lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}"), checkpoint)
 
 
 def poll_stream(spark: SparkSession, folder: str, files: int = 8) -> DataFrame:

@@ -156,37 +156,6 @@ def test_a_snap_on_the_flow_blocks_and_the_other_side_does_not(spark):
     assert adjacency_case(spark, opposite=False) == []
 
 
-def test_streamed_state_equals_batch(spark, tmp_path):
-    from curbwatch.streaming import polls as P
-    rng = random.Random(9)
-    for part in range(3):
-        rows = [(part * 100 + i, i % 4, 1_700_000_000.0 + (part * 100 + i) * 60.0, rng.random() / 50, rng.choice(["fresh", "fresh", "unchanged", "unavailable"])) for i in range(100)]
-        spark.createDataFrame(rows, "poll_id long, camera_id long, at double, diff double, result string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    table = spark.read.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    P.run_once(P.camera_states(stream), str(tmp_path / "out"), str(tmp_path / "ck"))
-    last = spark.read.parquet(str(tmp_path / "out")).groupBy("camera_id").agg(F.max_by(F.struct("polls", "frames", "samples"), "polls").alias("s")).select("camera_id", "s.*")
-    want = table.groupBy("camera_id").agg(F.count(F.lit(1)).alias("polls"), F.count_if(F.col("result") == "fresh").alias("frames"))
-    assert last.join(want, ["camera_id", "polls", "frames"]).count() == 4
-    assert all(r["samples"] == min(24, r["frames"]) for r in last.collect())
-
-
-def test_streamed_pulse_over_micro_batches(spark, tmp_path):
-    """Cameras of one minute that arrive in two files are one median, and it equals the batch."""
-    from curbwatch.operators.city import pulse
-    from curbwatch.streaming import polls as P
-    t = 1_700_000_000.0
-    for part, rows in enumerate([[(0, 0, t, 0.01), (1, 1, t + 1, 0.02)], [(2, 2, t + 2, 0.03), (3, 3, t + 3, 0.04), (4, 0, t + 70, 0.05)]]):
-        spark.createDataFrame([(*r, "fresh") for r in rows], "poll_id long, camera_id long, at double, diff double, result string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    cams = spark.createDataFrame([(i, 1) for i in range(4)], "camera_id long, region_id int")
-    table = spark.read.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    P.run_once(P.pulse_updates(stream, cams), str(tmp_path / "out"), str(tmp_path / "ck"))
-    got = sorted(map(tuple, P.read_pulse(spark, str(tmp_path / "out")).collect()))
-    assert got == sorted(map(tuple, pulse(table, cams).collect())) and got[0][2:] == (0.025, 4)
-    assert len(list((tmp_path / "out").glob("epoch=*"))) >= 2
-
-
 def test_every_evaluation_vote_is_predicted(spark):
     from curbwatch.operators import learning as L
     rng = random.Random(3)
