@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import product
 from re import _constants as op
 from re import _parser as parser
 
@@ -51,7 +52,7 @@ def _strings(items) -> set[str] | None:
             more = None if None in parts else set().union(*parts)
         elif kind is op.MAX_REPEAT and arg[1] <= 2:
             part = _strings(arg[2])
-            more = None if part is None else {p * 1 if n == 1 else "" if n == 0 else a + b for n in range(arg[0], arg[1] + 1) for p in part for a, b in [(p, p)]}
+            more = None if part is None or len(part) ** arg[1] > MOST_STRINGS else {"".join(p) for n in range(arg[0], arg[1] + 1) for p in product(part, repeat=n)}
         else:
             return None
         if more is None or len(out) * len(more) > MOST_STRINGS:
@@ -119,8 +120,8 @@ def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """row and a bit mask of the rules whose query its postings satisfy."""
-    index = rows.select("row", "text").mapInArrow(postings, "term long, row long")
+    """row and a bit mask of the rules whose query its postings satisfy. Texts under one `row` share their postings, and so get all rules of either."""
+    index = rows.select("row", "text").mapInArrow(postings, "term long, row long").distinct()
     met = index.join(F.broadcast(query_table(rows.sparkSession)), "term")
     full = met.groupBy("row", "rule", "clause", "alternative", "need").agg(F.count(F.lit(1)).alias("n")).filter("n = need")
     counts = F.get(F.array(*[F.lit(len(q)) for q in QUERIES]), F.col("rule"))
@@ -131,6 +132,14 @@ def candidates(rows: DataFrame) -> DataFrame:
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
+def code_points(text: bytes, at: list[int]) -> list[int]:
+    """Code points before each of some ascending byte places, in one pass over the text."""
+    if not at:
+        return []
+    first = (np.frombuffer(text, np.uint8) & 0xC0) != 0x80
+    return np.cumsum([np.count_nonzero(first[a:b]) for a, b in zip([0, *at[:-1]], at)]).tolist()
+
+
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, mask) to doc_id and spans: candidates' rules, and rules without a query on every text."""
     compiled = [(n, re.compile(p.encode()), g, least, not q) for (n, p, g, least), q in zip(RULES, QUERIES)]
@@ -146,8 +155,10 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, (name, pattern, group, least, full) in enumerate(compiled):
                 if full or mask >> i & 1:
                     found += [(m.start(), i, name, m.end()) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
-            place = lambda x: len(text[:x].decode("utf-8", "replace"))
-            out.append([{"kind": n, "start": place(x), "end": place(y)} for x, _, n, y in sorted(found)])
+            found.sort()
+            ends = sorted({x for f in found for x in (f[0], f[3])})
+            place = dict(zip(ends, code_points(text, ends)))
+            out.append([{"kind": n, "start": place[x], "end": place[y]} for x, _, n, y in found])
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, kind)], ["doc_id", "spans"])
 
 
@@ -157,8 +168,11 @@ def scan(df: DataFrame) -> DataFrame:
     Spans of a kind are leftmost and do not overlap; matches whose measured group is
     too short are dropped. Order: start, then kind as listed. A rule with mandatory
     trigrams looks only at texts whose postings satisfy its query; a rule without
-    looks at all. Null and empty texts have no span.
+    looks at all. Null and empty texts have no span. Postings are kept by a hash of
+    the text, so it does not matter how the input is split when it is read again
+    for verification; a text of any length is scanned once per rule, and its places
+    are counted in one pass.
     """
-    rows = df.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    rows = df.select(F.xxhash64("text").alias("row"), "doc_id", "text")
     masks = stage(candidates(rows), "candidates")
     return rows.join(masks, "row", "left").select("doc_id", "text", "mask").mapInArrow(verify, f"doc_id long, spans {SPANS}")
