@@ -15,10 +15,12 @@ PIECE_BYTES = 1 << 20
 
 
 def workdir(spark: SparkSession) -> str:
-    """The folder the session names in spark.checkpoint.dir; one of our own only where none is named, as in tests."""
+    """The folder the session names in spark.checkpoint.dir. Without one, a local session (as in tests) gets a temporary folder; on a cluster it is an error."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if context.getCheckpointDir() is None:
@@ -46,6 +48,12 @@ def drop_staged(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def there(spark: SparkSession, folder: str) -> bool:
+    """Whether a folder exists, in whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder
-from .tokens import read_binary, token_ids, write_binary
+from .common import new_folder, there
+from .tokens import read_binary, text_options, token_ids, write_binary
 
 #: Ids of a block.
 BLOCK = 1 << 18
@@ -50,23 +50,42 @@ def scan(spark: SparkSession, folder: str, end_id: int, width: int = 2, block: i
 
 
 def write_flat(df: DataFrame, folder: str, tokenizer: str, end_id: int) -> DataFrame:
-    """Write the ids of all texts (null: none) to flat files of 2-byte ids, `end_id` after each; no index is written.
+    """Write the ids of all texts (null: none) to flat files of 2-byte ids below `folder`/kind=tokens, `end_id` after each; they hold no index.
 
     A task writes the rows of its partition to one file, in order, without a
-    shuffle, so rows of any id spread as the input does. Returns doc_id, part and
-    doc_no of every row: the number in the name of its file, and which document of
-    it the row is. `df` must give the same rows to the same partitions when it is
-    read again, as a scan of files does.
+    shuffle, so rows of any id spread as the input does. The same task writes their
+    doc_ids in the same order to a file of its own number below kind=rows, so
+    however the input is split, or read again, the two belong together. Returns
+    doc_id, part and doc_no of every row, from these: the number of its file, and
+    which document of it the row is. A null doc_id stays null.
     """
-    write_binary(df.select(token_ids(F.col("text"), tokenizer, plain=True).alias("ids")), "ids", np.array([end_id], "<u2").tobytes(), folder)
-    row = F.monotonically_increasing_id()
-    return df.select("doc_id", F.shiftright(row, 33).cast("int").alias("part"), row.bitwiseAND(F.lit((1 << 33) - 1)).alias("doc_no"))
+    end = np.array([end_id], "<u2").tobytes()
+    rows = df.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("string").alias("_doc"), token_ids(F.col("text"), tokenizer, plain=True).cast("string").alias("_ids"))
+    both = F.explode(F.array(F.struct(F.lit("tokens").alias("kind"), F.col("_ids").alias("value")), F.struct(F.lit("rows").alias("kind"), F.coalesce("_doc", F.lit("")).alias("value"))))
+    sorted_ = rows.select("_row", both.alias("_x")).select("_row", "_x.kind", "_x.value").sortWithinPartitions("kind", "_row").select("kind", "value")
+    text_options(sorted_.write.partitionBy("kind"), end).text(folder)
+    if not there(df.sparkSession, f"{folder}/kind=tokens"):  # no rows, no files
+        for kind in ("tokens", "rows"):
+            write_binary(df.select(F.lit(b"").alias("ids")).limit(0), "ids", end, f"{folder}/kind={kind}")
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1)):
+                ids = content.as_py().split(end)[:-1]
+                yield pa.RecordBatch.from_arrays([pa.array([int(i) if i else None for i in ids], pa.int64()), pa.array(np.full(len(ids), part_number(path), np.int32)),
+                                                  pa.array(np.arange(len(ids)))], ["doc_id", "part", "doc_no"])
+
+    return read_binary(df.sparkSession, f"{folder}/kind=rows").mapInArrow(names, "doc_id long, part int, doc_no long")
+
+
+def part_number(path: str) -> int:
+    return int(path.rsplit("part-", 1)[1].split("-", 1)[0])
 
 
 def count_tokens(df: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """doc_id, part, doc_no, start and n_tokens of every row of `df`, read off the flat files."""
     folder = new_folder(df.sparkSession, "flat")
     names = write_flat(df, folder, tokenizer, end_id)
-    found = scan(df.sparkSession, folder, end_id)
+    found = scan(df.sparkSession, f"{folder}/kind=tokens", end_id)
     found = found.withColumn("part", F.regexp_extract("path", "part-(\\d+)", 1).cast("int")).select("part", "doc_no", "start", "n_tokens")
     return names.join(found, ["part", "doc_no"]).select("doc_id", "part", "doc_no", "start", "n_tokens")

@@ -104,10 +104,14 @@ def token_ids(text: Column, path: str, plain: bool = False) -> Column:
     return F.arrow_udf(encode, BinaryType())(text)
 
 
+def text_options(writer, end: bytes):
+    """Options of Spark's text sink that write a string column's bytes as they are, `end` after each row."""
+    return writer.option("encoding", "ISO-8859-1").option("lineSep", end.decode("latin-1")).option("compression", "none")
+
+
 def write_binary(df: DataFrame, column: str, end: bytes, folder: str) -> None:
     """Write a binary column as raw bytes, `end` after each row, one file a task."""
-    rows = df.select(F.col(column).cast("string").alias("value"))
-    rows.write.option("encoding", "ISO-8859-1").option("lineSep", end.decode("latin-1")).option("compression", "none").text(folder)
+    text_options(df.select(F.col(column).cast("string").alias("value")).write, end).text(folder)
 
 
 def read_binary(spark, folder: str) -> DataFrame:

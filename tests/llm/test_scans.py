@@ -104,3 +104,40 @@ def test_queries_hold_for_every_match():
             if re.search(pattern, text, re.A):
                 assert all(any(all(t in low for t in a) for a in c) for c in query)
     assert secret_scan.QUERIES[2] == []
+
+
+def test_repeats_of_unlike_letters_are_known():
+    """A repeat stands for all products of its part, not only for equal pairs."""
+    (clause,) = secret_scan.clauses("[ab]{2}xyz")
+    assert clause == frozenset(secret_scan.trigrams(a + b + "xyz") for a in "ab" for b in "ab")
+    (clause,) = secret_scan.clauses("q(x|yz)?rst")
+    assert clause == frozenset(map(secret_scan.trigrams, ("qrst", "qxrst", "qyzrst")))
+
+
+def test_many_secrets_in_one_text(spark):
+    """Places are counted once over a text, however many there are, before and after letters of two bytes."""
+    n = 200_000
+    text = "é" + "".join(f"ü token={i:08d}" for i in range(n))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    out = secret_scan.scan(df).selectExpr("size(spans) AS n", "spans[0] AS a", f"spans[{n - 1}] AS b").first()
+    assert out.n == n and tuple(out.a) == ("assign", 3, 17) and tuple(out.b) == ("assign", 3 + (n - 1) * 16, 17 + (n - 1) * 16)
+
+
+def test_splits_may_change_between_reads(spark, docs, tmp_path):
+    """Operators 3 and 10 give the same rows when the input is split in another way for its second reading."""
+    from curbwatch.llm import token_scan
+    docs.select("doc_id", "text").repartition(8).write.parquet(str(tmp_path / "docs"))
+    df = spark.read.parquet(str(tmp_path / "docs"))
+    key, runs = "spark.sql.files.maxPartitionBytes", {"tokens": [], "secrets": []}
+    try:
+        for first, second in (("128m", "128m"), ("128m", "50k"), ("50k", "128m")):
+            spark.conf.set(key, first)
+            tokens, secrets = token_scan.count_tokens(df, queries.tokenizer(), 49_407), secret_scan.scan(df)
+            spark.conf.set(key, second)
+            runs["tokens"].append(sorted((r.doc_id, r.n_tokens) for r in tokens.collect()))
+            runs["secrets"].append(sorted((r.doc_id, str(r.spans)) for r in secrets.collect()))
+    finally:
+        spark.conf.unset(key)
+    for rows in runs.values():
+        assert len(rows[0]) == docs.count() and rows[1] == rows[0] and rows[2] == rows[0]
+    assert sum("assign" in s for _, s in runs["secrets"][0]) > 5
