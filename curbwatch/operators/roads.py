@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -219,35 +217,6 @@ def splice(segments: DataFrame, hubs: DataFrame) -> DataFrame:
     return fwd.unionByName(back).drop("two_way")
 
 
-def shortest_between_hubs(edges: DataFrame, cutoff_m: float = ROADS.adjacency_cutoff_m) -> DataFrame:
-    """Shortest road path between hubs within a cutoff, those through another hub dropped afterwards.
-
-    Labels (start hub, node) are relaxed round by round; only labels that improved
-    last round are extended. A label carries its path and whether it passed a hub,
-    since a path is rejected only after it is known to be the shortest.
-    """
-    e = durable(edges.groupBy("src", "dst").agg(F.min(F.struct("length_m", "tt_s", "highway")).alias("e"))
-                .select("src", "dst", F.col("e.length_m").alias("step_m"), F.col("e.tt_s").alias("step_s"), F.col("e.highway").alias("step_class")))
-    is_hub = lambda c: F.col(c).startswith("site:")
-    label = F.struct("length_m", "round", "tt_s", "via", "path", "classes")
-    start = e.filter(is_hub("src") & (F.col("step_m") <= cutoff_m)).select(
-        F.col("src").alias("start"), F.col("dst").alias("node"), F.col("step_m").alias("length_m"), F.lit(1).alias("round"), F.col("step_s").alias("tt_s"),
-        F.lit(False).alias("via"), F.array("src", "dst").alias("path"), F.array("step_class").alias("classes"))
-    best = durable(start)
-    for turn in count(2):
-        front = best.filter(F.col("round") == turn - 1)
-        grown = (front.join(e, front.node == e.src).filter(F.col("dst") != F.col("start"))
-                 .withColumn("total", F.col("length_m") + F.col("step_m")).filter(F.col("total") <= cutoff_m)
-                 .select("start", F.col("dst").alias("node"), F.col("total").alias("length_m"), F.lit(turn).alias("round"), (F.col("tt_s") + F.col("step_s")).alias("tt_s"),
-                         (F.col("via") | is_hub("node")).alias("via"), F.concat("path", F.array("dst")).alias("path"),
-                         F.when(F.element_at("classes", -1) == F.col("step_class"), F.col("classes")).otherwise(F.concat("classes", F.array("step_class"))).alias("classes")))
-        best = durable(best.unionByName(grown).groupBy("start", "node").agg(F.min(label).alias("l")).select("start", "node", "l.*"))
-        if best.filter(F.col("round") == turn).limit(1).count() == 0:
-            break
-    return best.filter(is_hub("node") & ~F.col("via")).select(
-        F.expr("substring(start, 6)").alias("src"), F.expr("substring(node, 6)").alias("dst"), "length_m", "tt_s", "classes", "path")
-
-
 def edge_kind(src_freeway: Column, dst_freeway: Column, src_refs: Column, dst_refs: Column, classes: Column) -> Column:
     """freeway, ramp, street, or null for a relation that should not exist."""
     all_main = F.forall(classes, lambda c: c == FREEWAY)
@@ -280,7 +249,7 @@ def adjacency(paths: DataFrame, sites: DataFrame, nodes: DataFrame, snaps: DataF
     near = near.filter((F.col("passer") != F.col("src")) & (F.col("passer") != F.col("dst")))
     # The path is judged where the snap is closest to it.
     at = near.groupBy("src", "dst", "passer", "lat", "lon", "snap_bearing", "snap_two_way", "is_freeway").agg(
-        F.min(F.struct("distance_m", "i", "seg_bearing", "highway")).alias("m"))
+        F.min(F.struct(F.round("distance_m", 6).alias("distance_m"), "i", "seg_bearing", "highway")).alias("m"))
     blocks = ((F.col("m.highway") == FREEWAY) == F.col("is_freeway")) & (
         F.col("snap_two_way") | (bearing_diff(F.col("snap_bearing"), F.col("m.seg_bearing")) <= 135.0))
     blocked = at.filter(blocks).select("src", "dst").distinct()

@@ -8,9 +8,10 @@ from ..functions.geo import bearing_deg
 from ..functions.text import route_label, route_tokens
 from ..operators import corridor as C
 from ..operators import roads as D
+from ..operators.hubpaths import shortest_between_hubs
 from ..sources import tables as T
-from .oracle_base import bdiff, cte, r
-from .queries_spatial import snappers, snaps
+from .oracle_base import bdiff, bearing, cte, hav_m, r
+from .queries_spatial import K, snappers, snaps
 from .registry import query, rounded
 
 
@@ -156,15 +157,44 @@ def g2(fx):
     return rounded(spliced(fx).select("src", "dst", "length_m", "tt_s"))
 
 
-@query("g3_hub_paths")
+# Every way from a hub that meets no node twice; on these chains the shortest is one of them.
+cte("road_step", """SELECT s, t, m, x, cls FROM (SELECT a AS s, b AS t, length_m AS m, tt_s AS x, src%5=0 AS tw, kind FROM splice_e WHERE src%2<>0 UNION ALL SELECT a, h, length_m/2, tt_s/2, src%5=0, kind FROM splice_e WHERE src%2=0
+  UNION ALL SELECT h, b, length_m/2, tt_s/2, src%5=0, kind FROM splice_e WHERE src%2=0), LATERAL (SELECT CASE kind WHEN 'freeway' THEN 'motorway' WHEN 'ramp' THEN 'motorway_link' ELSE 'primary' END AS cls)
+  UNION ALL SELECT t, s, m, x, cls FROM (SELECT a AS s, b AS t, length_m AS m, tt_s AS x, kind FROM splice_e WHERE src%2<>0 AND src%5=0 UNION ALL SELECT a, h, length_m/2, tt_s/2, kind FROM splice_e WHERE src%2=0 AND src%5=0
+  UNION ALL SELECT h, b, length_m/2, tt_s/2, kind FROM splice_e WHERE src%2=0 AND src%5=0), LATERAL (SELECT CASE kind WHEN 'freeway' THEN 'motorway' WHEN 'ramp' THEN 'motorway_link' ELSE 'primary' END AS cls)""")
+cte("hub_walk", """SELECT * FROM (WITH RECURSIVE walk AS (SELECT s AS start, t AS node, m, x, FALSE AS via, [s, t] AS path, [cls] AS classes FROM road_step WHERE s LIKE 'site:%' AND m<=8000E0
+  UNION ALL SELECT w.start, r.t, w.m+r.m, w.x+r.x, w.via OR r.s LIKE 'site:%', list_append(w.path, r.t), CASE WHEN w.classes[-1]=r.cls THEN w.classes ELSE list_append(w.classes, r.cls) END
+    FROM walk w JOIN road_step r ON r.s=w.node WHERE NOT list_contains(w.path, r.t) AND w.m+r.m<=8000E0) SELECT * FROM walk)""")
+cte("hub_paths", """SELECT substr(start, 6) AS src, substr(node, 6) AS dst, m AS length_m, x AS tt_s, classes, path FROM (SELECT *, row_number() OVER (PARTITION BY start, node ORDER BY round(m, 6), via, x) AS rn FROM hub_walk) WHERE rn=1 AND node LIKE 'site:%' AND NOT via""")
+
+
+@query("g3_hub_paths", f"SELECT src, dst, {r('length_m')} AS length_m, {r('tt_s')} AS tt_s, array_to_string(classes, ',') AS classes FROM hub_paths")
 def g3(fx):
-    return rounded(D.shortest_between_hubs(spliced(fx)).select("src", "dst", "length_m", "tt_s", F.array_join("classes", ",").alias("classes")))
+    return rounded(shortest_between_hubs(spliced(fx)).select("src", "dst", "length_m", "tt_s", F.array_join("classes", ",").alias("classes")))
 
 
 cte("chain_order", "SELECT camera_id, region_id, row_number() OVER (PARTITION BY region_id ORDER BY camera_id) AS n FROM fx_camera")
 
 
-@query("j17_site_adjacency")
+cte("mid_site", f"""SELECT CAST(e.src AS VARCHAR) AS site_id, (a.lat+b.lat)/2 AS lat, (a.lon+b.lon)/2 AS lon, e.kind='freeway' AS main, e.src%5=0 AS two_way, {bearing('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS heading
+  FROM fx_edge e JOIN fx_camera a ON a.camera_id=e.src JOIN fx_camera b ON b.camera_id=e.dst WHERE e.kind<>'nearby' AND e.src%2=0""")
+cte("road_node", "SELECT concat('n', CAST(camera_id AS VARCHAR)) AS node, lat, lon FROM fx_camera UNION ALL SELECT concat('site:', site_id), lat, lon FROM mid_site")
+cte("hub_links", f"""SELECT * FROM (SELECT *, CASE WHEN s_main AND d_main THEN CASE WHEN len(list_filter(classes, lambda c: c<>'motorway'))=0 THEN 'freeway' END WHEN s_main<>d_main OR list_contains(classes, 'motorway_link') THEN 'ramp' ELSE 'street' END AS kind FROM (
+  SELECT p.*, s.main AS s_main, d.main AS d_main, {hav_m('s.lat', 's.lon', 'd.lat', 'd.lon')} AS straight FROM hub_paths p JOIN mid_site s ON s.site_id=p.src JOIN mid_site d ON d.site_id=p.dst)
+  WHERE straight<=50E0 OR length_m/greatest(straight, 1E-9)<=2.5E0) WHERE kind IS NOT NULL""")
+cte("hub_steps", f"""SELECT q.src, q.dst, q.i, u.lat AS u_lat, u.lon AS u_lon, v.lat AS v_lat, v.lon AS v_lon, c.cls, {bearing('u.lat', 'u.lon', 'v.lat', 'v.lon')} AS step_heading FROM (
+  SELECT src, dst, i, path[i] AS un, path[i+1] AS vn FROM (SELECT src, dst, path, unnest(range(1, len(path))) AS i FROM hub_links)) q
+  JOIN road_node u ON u.node=q.un JOIN road_node v ON v.node=q.vn JOIN (SELECT s, t, any_value(cls) AS cls FROM road_step GROUP BY s, t) c ON c.s=q.un AND c.t=q.vn""")
+cte("hub_passers", f"""SELECT src, dst, site_id, main, two_way, heading, i, cls, step_heading, sqrt(pow(ax+share*(bx-ax), 2)+pow(ay+share*(by_-ay), 2)) AS metres FROM (
+  SELECT *, greatest(0E0, least(1E0, ((0E0-ax)*(bx-ax)+(0E0-ay)*(by_-ay))/((bx-ax)*(bx-ax)+(by_-ay)*(by_-ay)))) AS share FROM (
+  SELECT h.*, m.site_id, m.main, m.two_way, m.heading, (h.u_lon-m.lon)*cos(radians(m.lat))*{K} AS ax, (h.u_lat-m.lat)*{K} AS ay, (h.v_lon-m.lon)*cos(radians(m.lat))*{K} AS bx, (h.v_lat-m.lat)*{K} AS by_
+  FROM hub_steps h JOIN mid_site m ON m.site_id<>h.src AND m.site_id<>h.dst AND m.lat BETWEEN least(h.u_lat, h.v_lat)-0.001E0 AND greatest(h.u_lat, h.v_lat)+0.001E0
+    AND m.lon BETWEEN least(h.u_lon, h.v_lon)-0.001E0 AND greatest(h.u_lon, h.v_lon)+0.001E0))""")
+
+
+@query("j17_site_adjacency", f"""SELECT src, dst, kind, {r('length_m')} AS length_m, {r('tt_s')} AS tt_s FROM hub_links l WHERE NOT EXISTS (SELECT 1 FROM (
+  SELECT *, row_number() OVER (PARTITION BY src, dst, site_id ORDER BY round(metres, 6), i) AS rn FROM hub_passers WHERE metres<=60E0) b
+  WHERE b.rn=1 AND b.src=l.src AND b.dst=l.dst AND (b.cls='motorway')=b.main AND (b.two_way OR {bdiff('b.heading', 'b.step_heading')}<=135E0))""")
 def j17(fx):
     road = fx.kept("spliced", lambda: spliced(fx))
     e = fx.edge.filter((F.col("kind") != "nearby") & (F.col("src") % 2 == 0))
@@ -177,7 +207,7 @@ def j17(fx):
         bearing_deg(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")).alias("seg_bearing"))
     nodes = pos.select(F.concat(F.lit("n"), F.col("camera_id").cast("string")).alias("node"), "lat", "lon").unionByName(
         mid.select(F.concat(F.lit("site:"), "site_id").alias("node"), "lat", "lon"))
-    out = D.adjacency(D.shortest_between_hubs(road), mid, nodes, mid, road)
+    out = D.adjacency(shortest_between_hubs(road), mid, nodes, mid, road)
     return rounded(out.select("src", "dst", "kind", "length_m", "tt_s"))
 
 

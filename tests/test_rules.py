@@ -11,6 +11,7 @@ from curbwatch.functions import geo as G
 from curbwatch.functions import scoring as S
 from curbwatch.functions import text as X
 from curbwatch.functions.numeric import to_fixed
+from curbwatch.operators import hubpaths as H
 from curbwatch.operators import learning as L
 from curbwatch.operators import roads as R
 from curbwatch.sources import feeds, osm
@@ -97,7 +98,7 @@ def test_diary_spacing_counts_from_the_last_written(spark):
 def test_shortest_path_through_a_hub_is_rejected(spark):
     rows = [("site:A", "n1", 100.0), ("n1", "site:B", 100.0), ("site:B", "n2", 100.0), ("n2", "site:C", 100.0), ("n1", "n2", 500.0)]
     e = spark.createDataFrame([(a, b, m, m / 10, "motorway") for a, b, m in rows], "src string, dst string, length_m double, tt_s double, highway string")
-    got = {(r["src"], r["dst"]): r["length_m"] for r in R.shortest_between_hubs(e).collect()}
+    got = {(r["src"], r["dst"]): r["length_m"] for r in H.shortest_between_hubs(e).collect()}
     # A reaches C shortest by way of B, so A-C is dropped although a longer way avoids B.
     assert got == {("A", "B"): 200.0, ("B", "C"): 200.0}
 
@@ -148,7 +149,7 @@ def adjacency_case(spark, opposite):
     sites = spark.createDataFrame([("A", 40.0, -90.0, True, ["I5"]), ("B", 40.01, -90.0, True, ["I5"]), ("C", 40.006, -90.0003, True, ["I5"])], "site_id string, lat double, lon double, is_freeway boolean, refs array<string>")
     snaps = spark.createDataFrame([("A", 40.0, -90.0, 0.0, False, True), ("B", 40.01, -90.0, 0.0, False, True), ("C", 40.006, -90.0003, 180.0 if opposite else 0.0, False, True)],
                                   "site_id string, lat double, lon double, seg_bearing double, two_way boolean, is_freeway boolean")
-    return [(r["src"], r["dst"], r["kind"]) for r in R.adjacency(R.shortest_between_hubs(road), sites, nodes, snaps, road).collect()]
+    return [(r["src"], r["dst"], r["kind"]) for r in R.adjacency(H.shortest_between_hubs(road), sites, nodes, snaps, road).collect()]
 
 
 def test_a_snap_on_the_flow_blocks_and_the_other_side_does_not(spark):
