@@ -59,14 +59,19 @@ def snap_cameras(cameras: DataFrame, segments: DataFrame) -> DataFrame:
 
     `cameras`: camera_id, lat, lon, lat0, lon0, refs, direction, at_intersection.
     `segments`: way_id, seg_index, a_lat, a_lon, b_lat, b_lon, highway, ref, two_way.
+    Cameras of one spot with the same evidence are snapped once, and of segments
+    drawn alike only the lowest meets them, so a crowded spot makes no pairs.
     """
-    segs = segments.withColumn("seg_refs", route_tokens(F.col("ref")))
-    cand = snap_candidates(cameras, segs, ROADS.snap_max_m)
+    alike = ["a_lat", "a_lon", "b_lat", "b_lon", "highway", "ref", "two_way"]
+    segs = segments.groupBy(*alike).agg(F.min(F.struct("way_id", "seg_index")).alias("w")).select("w.way_id", "w.seg_index", *alike, route_tokens(F.col("ref")).alias("seg_refs"))
+    same = ["lat", "lon", "lat0", "lon0", "refs", "direction", "at_intersection"]
+    spots = cameras.groupBy(*same).agg(F.min("camera_id").alias("spot"))
+    cand = snap_candidates(spots, segs, ROADS.snap_max_m)
     score = snap_score(F.col("distance_m"), F.col("refs"), F.col("seg_refs"), F.col("at_intersection"), F.col("highway"),
                        F.col("two_way"), F.col("seg_bearing"), F.col("direction"))
-    best = (cand.withColumn("score", F.round(score, 6)).groupBy("camera_id")
-            .agg(F.min(F.struct("score", *SNAP)).alias("b")).select("camera_id", "b.*"))
-    return cameras.select("camera_id").join(best, "camera_id", "left")
+    best = cand.withColumn("score", F.round(score, 6)).groupBy("spot").agg(F.min(F.struct("score", *SNAP)).alias("b"))
+    c, s = cameras.select("camera_id", *same).alias("c"), spots.join(best, "spot").alias("s")
+    return c.join(s, [F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}")) for k in same], "left").select("c.camera_id", "s.b.*")
 
 
 def mirror_snaps(sites: DataFrame, segments: DataFrame) -> DataFrame:
@@ -89,21 +94,6 @@ def mirror_snaps(sites: DataFrame, segments: DataFrame) -> DataFrame:
     return again.withColumnRenamed("camera_id", "site_id").drop("score")
 
 
-def match_counts(cameras: DataFrame, counted: DataFrame) -> DataFrame:
-    """Nearest counted segment of each camera within 150 m, one along its own road first.
-
-    A camera that names a route takes only segments of that route. `counted`:
-    count_id, a_lat..b_lon, roadway, aadt. `cameras` adds `want`, the bearing of its carriageway.
-    """
-    segs = counted.withColumn("routes", route_tokens(F.col("roadway")))
-    cand = snap_candidates(cameras, segs, ROADS.count_max_m)
-    cand = cand.filter((F.size("refs") == 0) | F.arrays_overlap("refs", "routes"))
-    aligned = F.col("want").isNull() | (axis_offset(F.col("seg_bearing"), F.col("want")) <= ROADS.same_road_deg)
-    best = F.min(F.struct((~aligned).alias("across"), F.round("distance_m", 6).alias("distance_m"), "count_id", "aadt")).alias("m")
-    return cand.groupBy("camera_id").agg(best).select("camera_id", F.col("m.count_id").alias("count_id"), F.col("m.aadt").alias("aadt"),
-                                                      F.col("m.distance_m").alias("distance_m"), (~F.col("m.across")).alias("aligned"))
-
-
 def compatible_pairs(snaps: DataFrame) -> DataFrame:
     """Pairs of snaps that may share a site, thinned without losing connectivity.
 
@@ -307,33 +297,6 @@ def mile_marker_checks(edges: DataFrame, sites: DataFrame) -> DataFrame:
                     (~ratio.between(0.8, 1.25)).alias("length_outlier"))
 
 
-
-
-def road_paths(pairs: DataFrame, links: DataFrame, max_hops: int = 8) -> DataFrame:
-    """Road between two sites walking links either way, fewest hops first, at most eight.
-
-    `pairs`: pair_id, from_site, to_site. `links`: src, dst, length_m. A node keeps the
-    path it is first reached by; nodes of earlier hops and pairs that have met are left
-    out of the next hop, so a pair visits each site near it once.
-    """
-    both = links.select("src", "dst", "length_m").unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "length_m"))
-    step = durable(both.groupBy("src", "dst").agg(F.min("length_m").alias("step_m")))
-    front = pairs.filter(F.col("from_site") != F.col("to_site")).select("pair_id", "to_site", F.col("from_site").alias("node"), F.array("from_site").alias("path"), F.lit(0.0).alias("length_m"))
-    seen, found = front.select("pair_id", "node"), None
-    for hop in range(1, max_hops + 1):
-        grown = (front.join(step, front.node == step.src)
-                 .groupBy("pair_id", "to_site", F.col("dst").alias("node"))
-                 .agg(F.min(F.struct(F.concat("path", F.array("dst")).alias("path"), (F.col("length_m") + F.col("step_m")).alias("length_m"))).alias("p"))
-                 .select("pair_id", "to_site", "node", "p.path", "p.length_m"))
-        grown = durable(grown.join(seen, ["pair_id", "node"], "left_anti"))
-        seen = seen.unionByName(grown.select("pair_id", "node"))
-        hit = grown.filter(F.col("node") == F.col("to_site")).select("pair_id", "path", "length_m", F.lit(hop).alias("hops"))
-        found = hit if found is None else found.unionByName(hit)
-        front = grown.join(hit.select("pair_id"), "pair_id", "left_anti")
-    best = found.groupBy("pair_id").agg(F.min(F.struct("hops", "path", "length_m")).alias("f"))
-    return best.select("pair_id", "f.hops", "f.path", "f.length_m")
-
-
 def trip_steps(edges: DataFrame, sites: DataFrame) -> DataFrame:
     """Candidate moves along a route, directly or through one site off it.
 

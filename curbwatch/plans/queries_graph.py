@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import bearing_deg
 from ..functions.text import route_label, route_tokens
 from ..operators import corridor as C
+from ..operators import lines
 from ..operators import roads as D
 from ..operators.hubpaths import shortest_between_hubs
 from ..sources import tables as T
@@ -211,14 +212,33 @@ def j17(fx):
     return rounded(out.select("src", "dst", "kind", "length_m", "tt_s"))
 
 
-@query("g5_road_paths", """SELECT a.camera_id AS pair_id, CAST(b.n-a.n AS BIGINT) AS hops, sum(e.length_m) AS length_m FROM chain_order a JOIN chain_order b ON b.region_id=a.region_id AND b.n=a.n+a.camera_id%12 JOIN chain_order x ON x.region_id=a.region_id AND x.n>=a.n AND x.n<b.n JOIN fx_edge e ON e.src=x.camera_id
-  WHERE a.camera_id%12 BETWEEN 1 AND 8 GROUP BY a.camera_id, a.n, b.n""")
+# Roads between neighbors with one bend each; those that leave an odd camera are drawn the other way.
+cte("road_pair", "SELECT a.camera_id AS pair_id, a.region_id, a.n AS n0, b.n AS n1 FROM chain_order a JOIN chain_order b ON b.region_id=a.region_id AND b.n=a.n+a.camera_id%12 WHERE a.camera_id%12 BETWEEN 1 AND 8")
+cte("road_spot", """SELECT p.pair_id, 2*(x.n-p.n0)+u AS i, CASE WHEN u=0 THEN c.lat ELSE (c.lat+d.lat)/2+0.0003E0 END AS lat, CASE WHEN u=0 THEN c.lon ELSE (c.lon+d.lon)/2-0.0002E0 END AS lon
+  FROM road_pair p JOIN chain_order x ON x.region_id=p.region_id AND x.n>=p.n0 AND x.n<=p.n1 JOIN fx_camera c ON c.camera_id=x.camera_id LEFT JOIN fx_edge e ON e.src=x.camera_id LEFT JOIN fx_camera d ON d.camera_id=e.dst, (VALUES (0), (1)) v(u) WHERE u=0 OR x.n<p.n1""")
+cte("road_leg", f"""SELECT *, sqrt(pow(bx-ax, 2)+pow(by_-ay, 2)) AS m FROM (SELECT s.pair_id, s.i, (s.lon-o.lon)*cos(radians(o.lat))*{K} AS ax, (s.lat-o.lat)*{K} AS ay, lead((s.lon-o.lon)*cos(radians(o.lat))*{K}) OVER w AS bx, lead((s.lat-o.lat)*{K}) OVER w AS by_
+  FROM road_spot s JOIN fx_camera o ON o.camera_id=s.pair_id WINDOW w AS (PARTITION BY s.pair_id ORDER BY s.i)) WHERE bx IS NOT NULL""")
+cte("road_line", "SELECT *, coalesce(sum(m) OVER (PARTITION BY pair_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0E0) AS base, sum(m) OVER (PARTITION BY pair_id) AS total, count(*) OVER (PARTITION BY pair_id)+1 AS points FROM road_leg")
+
+
+@query("g5_road_paths", f"""SELECT p.pair_id, CAST(p.n1-p.n0 AS BIGINT) AS hops, w.length_m, l.points, {r('l.total', 4)} AS metres, {r('l.ax+(0.4E0*l.total-l.base)/l.m*(l.bx-l.ax)', 4)} AS x, {r('l.ay+(0.4E0*l.total-l.base)/l.m*(l.by_-l.ay)', 4)} AS y FROM road_pair p
+  JOIN (SELECT p.pair_id, sum(e.length_m) AS length_m FROM road_pair p JOIN chain_order x ON x.region_id=p.region_id AND x.n>=p.n0 AND x.n<p.n1 JOIN fx_edge e ON e.src=x.camera_id GROUP BY p.pair_id) w USING (pair_id)
+  JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY i) AS rn FROM road_line WHERE base<=0.4E0*total AND base+m>=0.4E0*total) WHERE rn=1) l USING (pair_id)""")
 def g5(fx):
     from ..operators.scale import chunk_rank
     n = chunk_rank(fx.camera.select("camera_id", "region_id"), ["region_id"], [("_b", F.floor(F.col("camera_id") / 100_000), False)], [F.col("camera_id")], "n")
     a = n.select(F.col("camera_id").alias("pair_id"), "region_id", (F.col("n") + F.col("camera_id") % 12).alias("n"))
     pairs = a.join(n, ["region_id", "n"]).select("pair_id", F.col("pair_id").alias("from_site"), F.col("camera_id").alias("to_site"))
-    return rounded(D.road_paths(pairs, fx.edge).select("pair_id", "hops", "length_m"))
+    at = lambda k: fx.camera.select(F.col("camera_id").alias(k), F.struct("lat", "lon").alias(f"{k}_at"))
+    mid = F.struct(((F.col("src_at.lat") + F.col("dst_at.lat")) / 2 + 0.0003).alias("lat"), ((F.col("src_at.lon") + F.col("dst_at.lon")) / 2 - 0.0002).alias("lon"))
+    drawn = fx.edge.join(at("src"), "src").join(at("dst"), "dst").select("src", "dst", "length_m", F.array("src_at", mid, "dst_at").alias("points"))
+    odd = F.col("src") % 2 == 1
+    links = drawn.select(F.when(odd, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(odd, F.col("src")).otherwise(F.col("dst")).alias("dst"), "length_m",
+                         F.when(odd, F.reverse("points")).otherwise(F.col("points")).alias("points"))
+    out = lines.road_paths(pairs, links).withColumn("legs", lines.legs(F.col("line"), F.col("line")[0]["lat"], F.col("line")[0]["lon"]))
+    spot = lines.point_at(F.col("legs"), 0.4 * lines.length(F.col("legs")))
+    return rounded(out.select("pair_id", "hops", "length_m", F.size("line").cast("bigint").alias("points"), F.round(lines.length(F.col("legs")), 4).alias("metres"),
+                              (F.round(spot["x"], 4) + 0.0).alias("x"), (F.round(spot["y"], 4) + 0.0).alias("y")))
 
 
 @query("g6_trips")

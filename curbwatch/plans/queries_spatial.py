@@ -9,6 +9,8 @@ from ..functions.text import camera_tokens
 from ..operators import metros as M
 from ..operators import ranking as R
 from ..operators import roads as D
+from ..operators.lines import match_counts
+from ..sources import feeds
 from .oracle_base import bdiff, bearing, cte, hav_km, hav_m, r
 from .registry import query, rounded
 
@@ -55,14 +57,40 @@ def j1(fx):
                       F.round("snap_lon", 6).alias("snap_lon"), F.round("seg_bearing", 4).alias("seg_bearing"), "two_way")
 
 
-@query("j3_match_counts", f"""SELECT camera_id, way_id AS count_id, {r('distance_m', 4)} AS distance_m, aligned FROM (SELECT *, row_number() OVER (PARTITION BY camera_id ORDER BY NOT aligned, round(distance_m, 6), way_id) AS rn FROM (
-  SELECT *, want IS NULL OR least({bdiff('seg_bearing', 'want')}, 180E0-{bdiff('seg_bearing', 'want')})<=40E0 AS aligned FROM (SELECT *, CASE WHEN camera_id%6<>0 THEN (camera_id%4)*90E0 END AS want FROM near_seg)
-  WHERE distance_m<=150E0 AND (len(refs)=0 OR list_has_any(refs, seg_refs)))) WHERE rn=1""")
+# Counted roads as an agency draws them: lines of 3 to 50 points that run past every counted camera.
+LINE_N = "(3+camera_id%48)"
+cte("count_point", f"""SELECT camera_id AS count_id, aadt, camera_id%4 AS q, region_id, i, lat+0.0004E0+((i*7+camera_id)%5-2)*0.0001E0 AS y, lon+(i-floor({LINE_N}/2E0))*0.0002E0 AS x
+  FROM fx_camera, LATERAL (SELECT unnest(range({LINE_N})) AS i) WHERE aadt IS NOT NULL AND roadway<>'Main St'""")
+cte("count_leg", f"""SELECT *, sqrt(pow(bx-ax, 2)+pow(by_-ay, 2)) AS m FROM (SELECT count_id, aadt, q, p.region_id, i, (x-g.lon)*cos(radians(g.lat))*{K} AS ax, (y-g.lat)*{K} AS ay,
+  lead((x-g.lon)*cos(radians(g.lat))*{K}) OVER w AS bx, lead((y-g.lat)*{K}) OVER w AS by_ FROM count_point p JOIN fx_region g USING (region_id) WINDOW w AS (PARTITION BY count_id ORDER BY i)) WHERE bx IS NOT NULL""")
+cte("count_line", "SELECT *, coalesce(sum(m) OVER (PARTITION BY count_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0E0) AS base, sum(m) OVER (PARTITION BY count_id) AS total FROM count_leg")
+cte("count_near", f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY camera_id, count_id ORDER BY round(distance_m, 6), i) AS rn FROM (SELECT *, sqrt(pow(px-(ax+share*(bx-ax)), 2)+pow(py-(ay+share*(by_-ay)), 2)) AS distance_m, base+share*m AS t FROM (
+  SELECT *, greatest(0E0, least(1E0, ((px-ax)*(bx-ax)+(py-ay)*(by_-ay))/(m*m))) AS share FROM (
+  SELECT c.camera_id, c.refs, CASE WHEN c.camera_id%6<>0 THEN (c.camera_id%4)*90E0 END AS want, (c.lon-c.lon0)*cos(radians(c.lat0))*{K} AS px, (c.lat-c.lat0)*{K} AS py, l.* FROM fx_snapper c JOIN count_line l USING (region_id)))) WHERE distance_m<=150E0) WHERE rn=1""")
+AT = "(SELECT {{'x': ax+({s}-base)/m*(bx-ax), 'y': ay+({s}-base)/m*(by_-ay)}} FROM count_line l WHERE l.count_id=n.count_id AND l.base<={s} AND l.base+l.m>={s} ORDER BY l.i LIMIT 1)"
+cte("count_heading", f"""SELECT n.camera_id, n.count_id, n.aadt, n.distance_m, n.t, n.want, (degrees(atan2(b.x-a.x, b.y-a.y))+360E0)%360E0 AS heading FROM (
+  SELECT n.*, {AT.format(s='greatest(0E0, n.t-25E0)')} AS a, {AT.format(s='least(n.total-1E-9, n.t+25E0)')} AS b FROM count_near n
+  WHERE len(refs)=0 OR list_has_any(refs, {TOKENS.replace('camera_id%4', 'n.q').replace('(camera_id%9)', '(n.count_id%9)')})) n""")
+
+
+@query("j3_match_counts", f"""SELECT camera_id, count_id, aadt, {r('distance_m', 4)} AS distance_m, {r('t', 3)} AS t, {r('heading', 3)} AS heading, aligned FROM (SELECT *, row_number() OVER (PARTITION BY camera_id ORDER BY NOT aligned, round(distance_m, 6), count_id) AS rn FROM (
+  SELECT *, want IS NULL OR least({bdiff('heading', 'want')}, 180E0-{bdiff('heading', 'want')})<=40E0 AS aligned FROM count_heading)) WHERE rn=1""")
 def j3(fx):
     k = F.col("camera_id")
     cams = snappers(fx).withColumn("want", F.when(k % 6 != 0, (k % 4) * 90.0))
-    counted = fx.segment.select(F.col("way_id").alias("count_id"), "a_lat", "a_lon", "b_lat", "b_lon", F.col("ref").alias("roadway"), (F.col("way_id") * 7).alias("aadt"))
-    return D.match_counts(cams.drop("roadway"), counted).select("camera_id", "count_id", F.round("distance_m", 4).alias("distance_m"), "aligned")
+    return rounded(match_counts(cams, counted(fx)).select("camera_id", "count_id", "aadt", F.round("distance_m", 4).alias("distance_m"), F.round("t", 3).alias("t"),
+                                                          F.round("heading", 3).alias("heading"), "aligned"))
+
+
+def counted(fx):
+    """Counted lines, read from the agency's documents."""
+    k = F.col("camera_id")
+    attrs = F.struct(F.col("aadt").alias("AADT"), F.col("roadway").alias("NAME"), k.cast("string").alias("COUNTY"))
+    n = (3 + k % 48).cast("int")
+    path = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array(F.col("lon") + (i - F.floor(n / 2.0)) * 0.0002, F.col("lat") + 0.0004 + ((i * 7 + k) % 5 - 2) * 0.0001))
+    feature = F.struct(attrs.alias("attributes"), F.struct(F.array(path).alias("paths")).alias("geometry"))
+    read = feeds.traffic_counts(fx.camera.select(F.to_json(F.struct(F.array(feature).alias("features"))).alias("body")), {"aadt": "AADT", "roadway": "NAME", "county": "COUNTY"}, "MAIN ST")
+    return read.select(F.col("county").cast("bigint").alias("count_id"), "coords", "roadway", "aadt")
 
 
 @query("j15_nearby_pairs", f"""SELECT a.camera_id AS src, b.camera_id AS dst, {r(hav_m('a.lat', 'a.lon', 'b.lat', 'b.lon'), 3)} AS metres FROM fx_camera a JOIN fx_camera b ON a.camera_id<b.camera_id AND abs(a.lat-b.lat)<0.002E0 AND abs(a.lon-b.lon)<0.003E0
