@@ -1,9 +1,12 @@
 """Operators 3 and 8 against the tokenizer on whole texts, and exact round trips."""
 
+import random
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -14,10 +17,15 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 HARD = ["don't stop   áé ΑΣ ΣΑΣ x", "<|endoftext|> a<|startoftext|>b", "##foo #foo\x1c\x1dx ++", "́ lone mark", "日本語テキスト 123 4.5", "word" * 400]
 
 
-def whole(text, plain=False):
+@lru_cache
+def library(plain):
     t = Tokenizer.from_file(PATH)
     t.encode_special_tokens = plain
-    return t.encode(text or "", add_special_tokens=False).ids
+    return t
+
+
+def whole(text, plain=False):
+    return library(plain).encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.fixture(scope="module")
@@ -25,19 +33,35 @@ def hard(spark, odd):
     return odd.select("doc_id", "text").union(spark.createDataFrame([(20 + i, t) for i, t in enumerate(HARD)], "doc_id long, text string"))
 
 
+def ids_of(encoder, texts):
+    flat, n = encoder.encode(pa.array(texts, pa.string()))
+    at = np.concatenate([[0], np.cumsum(n)])
+    return [flat[i:j].tolist() for i, j in zip(at, at[1:])]
+
+
 def test_words_apart_give_the_ids_of_the_text(spark):
     rows = spark.read.parquet(f"{FOLDER}/documents.parquet").select("text").collect()
+    texts = [r.text for r in rows[:60]] + HARD + [None, ""]
+    for plain in (False, True):
+        for t, got in zip(texts, ids_of(tokens.Encoder(PATH, plain), texts)):
+            assert got == whole(t, plain), t[:50]
+
+
+def test_words_of_random_strings():
+    rng = random.Random(3)
+    pool = [chr(i) for i in (*range(0x250), *range(0x300, 0x330), 0x3A3, 0x3C2, 0x130, 0x2002, 0x3000, 0x200B, 0xAC00, 0x1F600, 0x4E2D, 0xFB01, 0x212B, 0x1E9E, 0x2028)]
+    texts = ["".join(rng.choices(pool, k=rng.randint(0, 30))) for _ in range(8000)]
+    texts += ["".join(rng.choices("abc'stdmrevl<|endoftext> \n\tÉßA1²", k=rng.randint(0, 30))) for _ in range(8000)]
     for plain in (False, True):
-        encode = tokens.Encoder(PATH, plain).encode
-        for t in [r.text for r in rows[:60]] + HARD:
-            assert np.frombuffer(encode(t.encode()), "<u2").tolist() == whole(t, plain), t[:50]
+        for t, got in zip(texts, ids_of(tokens.Encoder(PATH, plain), texts)):
+            assert got == whole(t, plain), repr(t)
 
 
 def test_evicting_words_changes_nothing(monkeypatch):
     monkeypatch.setattr(tokens, "KEPT_WORDS", 5)
-    encode = tokens.Encoder(PATH, False).encode
+    encoder = tokens.Encoder(PATH, False)
     for t in ["a b c d e f g a", "h i j", "a b h " + "long" * 40, "a b c d e f g h i"] * 2:
-        assert np.frombuffer(encode(t.encode()), "<u2").tolist() == whole(t)
+        assert ids_of(encoder, [t]) == [whole(t)]
 
 
 def test_blocks_round_trip(monkeypatch):
