@@ -83,7 +83,7 @@ def passages(w: Words, scaled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     at = np.arange(len(text)) - (np.cumsum(per_text) - per_text)[text]
     if not len(text):
         return text, at, np.zeros((0, scaled.shape[1]), np.float32)
-    sums = np.append(summed(w.step, scaled[w.place]), np.zeros((1, scaled.shape[1]), np.float32), axis=0)
+    sums = np.append(summed(w.step, np.take(scaled, w.place, axis=0, mode="clip")), np.zeros((1, scaled.shape[1]), np.float32), axis=0)
     here = w.first_step[text] + at
     out = sums[here] + sums[np.where(w.steps[text] > 1, here + 1, -1)]
     return text, at * STEP, out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-12)
@@ -97,11 +97,11 @@ def multiplied(w: Words, weight: np.ndarray, scaled: np.ndarray, total: np.ndarr
     row = (np.cumsum(rows) - rows)[w.text] + (w.step - w.first_step[w.text]) // 2
     each = weight[w.place]
     square = np.maximum(summed(row, each * each), 1e-12)
-    dense = summed(row, scaled[w.place]) * (1 / square)[:, None]
-    order = np.argsort(w.place, kind="stable")
+    dense = summed(row, np.take(scaled, w.place, axis=0, mode="clip")) * (1 / square)[:, None]
+    order = np.argsort(w.place.astype(np.uint16), kind="stable")  # sixteen bits are sorted by counting
     place = w.place[order]
     heads = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-    total[place[heads]] += np.add.reduceat(dense[row[order]], heads) * weight[place[heads]][:, None]
+    total[place[heads]] += np.add.reduceat(np.take(dense, row[order], axis=0, mode="clip"), heads) * weight[place[heads]][:, None]
 
 
 def random_basis() -> np.ndarray:
