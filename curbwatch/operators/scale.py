@@ -146,3 +146,9 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def finished(spark: SparkSession, folder: str) -> bool:
+    """Whether a table in a folder, in whatever store, was written whole."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)

@@ -1,10 +1,13 @@
 """Order-dependent folds, run in bounded waves over time.
 
 Whether a poll is learned depends on what was learned before it, so such a fold
-cannot be a window. A wave holds one stretch of time of every key; the state a
-wave leaves behind is a small table joined into the next. A key's group in a task
-is therefore one stretch of its history, never all of it, and a lost executor
-repeats at most one wave.
+cannot be a window. A wave holds one stretch of time of every key, bounded in time
+and in rows; the state a wave leaves behind is a small table joined into the next. A
+key's group in a task is therefore one stretch of its history, never all of it.
+
+The input is read once and written by wave; a wave then reads its own part and
+writes its rows and state to a folder of its own. Nothing is kept in memory between
+waves, so a run that was ended goes on after its last whole wave.
 """
 
 from __future__ import annotations
@@ -19,21 +22,38 @@ from pyspark.sql import types as T
 
 from ..config import CITY, SCORE
 from ..functions.geo import hour_of_week_at
-from ..operators.scale import durable
+from ..operators.scale import finished, work_folder
 
 WAVE_S = 7 * 86400.0
+#: Time is counted in slots of an hour; a wave is so many rows at most, unless one slot has more.
+SLOT_S, WAVE_ROWS = 3600.0, 20_000_000
 
 Fold = Callable[[pd.DataFrame, "dict | None"], tuple[pd.DataFrame, dict]]
 
 
+def waves_of(slots: Sequence[tuple[int, int]], seconds: float, rows: int) -> list[tuple[int, int, int]]:
+    """(first slot, last slot, wave) of consecutive slots (number, rows) packed up to `seconds` and `rows`."""
+    out: list[list[int]] = []
+    held = 0
+    for slot, n in slots:
+        if out and held + n <= rows and (slot + 1 - out[-1][0]) * SLOT_S <= seconds:
+            out[-1][1], held = slot, held + n
+        else:
+            out.append([slot, slot, len(out)])
+            held = n
+    return [tuple(w) for w in out]
+
+
 def fold_in_waves(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold, out: str, state: str,
-                  seconds: float = WAVE_S) -> DataFrame:
+                  seconds: float = WAVE_S, rows: int = WAVE_ROWS, folder: str | None = None) -> DataFrame:
     """Fold every key's rows in order.
 
     `fold(rows, held)` gets a key's sorted rows of one wave and what it held after
     the last, and returns output rows and what it holds now. `out` and `state` are
-    DDL of the output and of the state without the keys.
+    DDL of the output and of the state without the keys. With the `folder` of a run
+    that was ended before, its whole waves are kept and the rest is done.
     """
+    spark = df.sparkSession
     key_ddl = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
     out_type = T._parse_datatype_string(out)
     held_type = T._parse_datatype_string(f"{key_ddl}, {state}")
@@ -46,22 +66,29 @@ def fold_in_waves(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold
         held = right.iloc[0][names].to_dict() if len(right) else None
         if len(left) == 0:
             return pd.DataFrame({"row": [None], "held": [held]})
-        rows, now = fold(left.sort_values(order), held)
+        got, now = fold(left.sort_values(order), held)
         now.update({k: left.iloc[0][k] for k in keys})
-        records = rows[columns].to_dict("records")
+        records = got[columns].to_dict("records")
         return pd.DataFrame({"row": [*records, None], "held": [None] * len(records) + [now]})
 
-    work = df.withColumn("_wave", F.floor(F.col("at") / seconds))
-    waves = [r[0] for r in work.select("_wave").distinct().orderBy("_wave").collect()]
-    held = df.sparkSession.createDataFrame([], held_type)
-    done = None
-    for wave in waves:
-        part = work.filter(F.col("_wave") == wave).drop("_wave")
-        both = durable(part.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(step, schema))
-        held = both.filter(F.col("held").isNotNull()).select("held.*")
-        rows = both.filter(F.col("row").isNotNull()).select("row.*")
-        done = rows if done is None else done.unionByName(rows)
-    return done if done is not None else df.sparkSession.createDataFrame([], out_type)
+    root = folder or work_folder(spark, "fold")
+    if not finished(spark, f"{root}/input"):
+        slot = F.floor(F.col("at") / SLOT_S).alias("_slot")
+        slots = [tuple(r) for r in df.groupBy(slot).agg(F.count(F.lit(1))).orderBy("_slot").collect()]  # hours of the log, not rows
+        waves = spark.createDataFrame([(s, w) for a, b, w in waves_of(slots, seconds, rows) for s, _ in slots if a <= s <= b], "_slot bigint, _wave int")
+        work = df.withColumn("_slot", slot).join(F.broadcast(waves), "_slot").drop("_slot")
+        work.write.mode("overwrite").partitionBy("_wave").parquet(f"{root}/input")
+    whole = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("_wave", T.IntegerType())])).parquet(f"{root}/input")
+    held = spark.createDataFrame([], held_type)
+    for (wave,) in whole.select("_wave").distinct().orderBy("_wave").collect():
+        path = f"{root}/done/wave={wave}"
+        if not finished(spark, path):
+            part = whole.filter(F.col("_wave") == wave).drop("_wave")
+            part.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(step, schema).write.mode("overwrite").parquet(path)
+        held = spark.read.schema(schema).parquet(path).filter(F.col("held").isNotNull()).select("held.*")
+    if not finished(spark, f"{root}/done/wave=0"):
+        return spark.createDataFrame([], out_type)
+    return spark.read.schema(schema).parquet(f"{root}/done/wave=*").filter(F.col("row").isNotNull()).select("row.*")
 
 
 def learn_polls(at: np.ndarray, diff: np.ndarray, cell: np.ndarray, held: dict) -> dict[str, list]:
@@ -104,7 +131,7 @@ def _load(held: dict | None) -> dict:
             "since": np.nan if since is None else float(since)}
 
 
-def learned_baseline(fresh: DataFrame) -> DataFrame:
+def learned_baseline(fresh: DataFrame, **waves) -> DataFrame:
     """Every poll's cell before it, by the learning rule that skips events."""
 
     def fold(rows: pd.DataFrame, held: dict | None) -> tuple[pd.DataFrame, dict]:
@@ -118,7 +145,7 @@ def learned_baseline(fresh: DataFrame) -> DataFrame:
     return fold_in_waves(
         polls, ["camera_id"], ["at", "poll_id"], fold,
         "poll_id bigint, camera_id bigint, at double, cell int, diff double, cell_n bigint, cell_mean double, cell_m2 double, ambiguous boolean, learned boolean",
-        "n array<bigint>, mean array<double>, m2 array<double>, since double")
+        "n array<bigint>, mean array<double>, m2 array<double>, since double", **waves)
 
 
 def spaced_entries(entries: DataFrame, repeat_s: float = CITY.diary_repeat_s) -> DataFrame:

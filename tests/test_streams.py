@@ -179,3 +179,28 @@ def test_triggers_hold_for_their_time(feed):
         batch = feed.table.filter(hot & (F.lit(now) - F.col("at") < 300.0)).groupBy("camera_id").agg(F.max_by("poll_id", "at").alias("poll_id"))
         got = {(r.camera_id, r.poll_id) for r in P.read_holds(feed.spark, feed.path).collect()}
         assert got == want == {tuple(r) for r in batch.collect()}
+
+
+def test_waves_are_bounded_in_time_and_rows():
+    slots = [(0, 5), (1, 5), (2, 5), (9, 1), (10, 1), (11, 30), (12, 1)]
+    assert folds.waves_of(slots, 5 * 3600.0, 10) == [(0, 1, 0), (2, 2, 1), (9, 10, 2), (11, 11, 3), (12, 12, 4)]
+    assert folds.waves_of(slots, 1e9, 1000) == [(0, 12, 0)] and folds.waves_of([], 1.0, 1) == []
+
+
+def test_a_fold_that_was_ended_goes_on(spark, tmp_path):
+    """A run that fails while its input is written starts over, one that lost a wave does that wave again and keeps the others; waves of any size give the same rows."""
+    rng = random.Random(12)
+    rows = [(i, i % 3, T0 + i * 900.0, rng.random() / 40) for i in range(400)]
+    polls = spark.createDataFrame(rows, "poll_id long, camera_id long, at double, diff double")
+    bad = polls.withColumn("diff", F.when(F.col("poll_id") == 250, F.raise_error(F.lit("lost"))).otherwise(F.col("diff")))
+    want = sorted(map(str, folds.learned_baseline(polls).collect()))
+    with pytest.raises(Exception):
+        folds.learned_baseline(bad, rows=100, folder=str(tmp_path / "a")).collect()
+    assert sorted(map(str, folds.learned_baseline(polls, rows=100, folder=str(tmp_path / "a")).collect())) == want
+    first = (tmp_path / "a" / "done" / "wave=0" / "_SUCCESS").stat().st_mtime_ns
+    shutil.rmtree(tmp_path / "a" / "done" / "wave=2")
+    assert sorted(map(str, folds.learned_baseline(polls, rows=100, folder=str(tmp_path / "a")).collect())) == want
+    assert (tmp_path / "a" / "done" / "wave=0" / "_SUCCESS").stat().st_mtime_ns == first
+    assert len(list((tmp_path / "a" / "done").glob("wave=*"))) > 3
+    assert sorted(map(str, folds.learned_baseline(polls, seconds=20 * 3600.0).collect())) == want
+    assert folds.learned_baseline(polls.limit(0)).count() == 0
