@@ -115,6 +115,23 @@ def request_load(requests: DataFrame, window_s: int, budget: float) -> DataFrame
     return out.withColumn("over_budget", F.col("in_window") > budget)
 
 
+def load_audit(requests: DataFrame, tiers: DataFrame) -> DataFrame:
+    """What a run costs the agencies, a row a minute: requests a second, megabytes an hour, and cameras per tier.
+
+    `requests`: at, bytes. `tiers`: camera_id, tier; its counts are one row.
+    """
+    per = requests.groupBy(F.floor(F.col("at") / 60.0).alias("minute")).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    counts = tiers.agg(*[F.count_if(F.col("tier") == t).alias(t) for t in ("fast", "slow", "radar", "idle")])
+    return per.join(F.broadcast(counts), F.lit(True)).select("minute", (F.col("n") / 60.0).alias("requests_per_s"), F.floor(F.col("bytes") / 60.0 * 3600.0 / 1e6).alias("mb_per_h"), "fast", "slow", "radar", "idle")
+
+
+def vehicle_status(newest: DataFrame, counts: DataFrame, enabled: Column) -> DataFrame:
+    """The count of the very frame a camera shows: off without a detector, none where it has not counted that frame."""
+    out = newest.join(counts.select("camera_id", "frame_at", "vehicles"), ["camera_id", "frame_at"], "left")
+    status = F.when(~enabled, "off").when(F.col("vehicles").isNull(), "none").otherwise("counted")
+    return out.select("camera_id", "frame_at", status.alias("status"), F.when(enabled, F.col("vehicles")).alias("vehicles"))
+
+
 def tier_report(cameras: DataFrame, tiers: DataFrame, base: float, slow: float, on_screen: float, off_screen: float) -> DataFrame:
     """Effective period per camera from its tier and how many share the source's budget.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RANKING, VERDICTS
+from ..functions.geo import solar_elevation
 from ..functions.numeric import to_fixed
 from ..functions.text import ago, dispatch_place, inside_sentence, picture, sentence_label, without_device_number
 
@@ -65,6 +66,13 @@ def brief(now: Column) -> Column:
     return F.when(F.col("kind") == "stopped", stopped).when(F.col("kind") == "movement", moving).otherwise(incident)
 
 
+def local_night(polls: DataFrame) -> DataFrame:
+    """Polls at places where the sun is down, with the time on a clock there (P38). `polls`: at, lat, lon and `zone`, a time zone per row."""
+    dark = polls.filter(solar_elevation(F.col("lat"), F.col("lon"), F.col("at")) < 0)
+    local = F.from_utc_timestamp(F.timestamp_micros((F.col("at") * 1e6).cast("bigint")), F.col("zone"))
+    return dark.withColumn("local_time", F.date_format(local, "yyyy-MM-dd HH:mm"))
+
+
 def gate_questions(flagged: DataFrame, asked: DataFrame, now: Column) -> DataFrame:
     """Still cameras worth asking about: flagged, measured, and not asked in five minutes."""
     recent = asked.filter(now - F.col("asked_at") < VERDICTS.gate_reask_s).select("camera_id")

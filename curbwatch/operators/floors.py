@@ -220,6 +220,14 @@ def answer_history(verdicts: DataFrame, key: str, size: int = VERDICTS.history_p
     return top_per(verdicts, [key], [F.col("at").desc()], size, "age_rank").withColumn("is_latest", F.col("age_rank") == 1)
 
 
+def answer_series(verdicts: DataFrame, key: str, value: str, size: int = VERDICTS.history_points) -> DataFrame:
+    """Per subject its newest answers as one series, newest first, and the time of the latest, by which a list of them is ordered."""
+    kept = answer_history(verdicts, key, size)
+    point = F.struct("age_rank", F.col("at"), F.col(value))
+    series = kept.groupBy(key).agg(F.max("at").alias("latest_at"), F.array_sort(F.collect_list(point)).alias("series"))  # at most `size` points
+    return series.withColumn("series", F.transform("series", lambda p: F.struct(p["at"].alias("at"), p[value].alias(value))))
+
+
 def awake_cameras(links: DataFrame, incidents: DataFrame, servable: DataFrame, per_incident: int, limit: int) -> DataFrame:
     """Cameras worth keeping awake: the nearest servable two of each relevant record, distinct, 24 in all (K7)."""
     live = incidents.filter(F.col("road_relevant") | F.col("implies_closure")).select("incident_id")

@@ -40,6 +40,11 @@ def count_summary(counted: DataFrame) -> DataFrame:
     return n.join(middle.select("region_id", F.col("aadt").alias("median")), "region_id")
 
 
+def index_summary(index: DataFrame) -> DataFrame:
+    """Cameras and blocks of each source in the national index."""
+    return index.groupBy("source").agg(F.sum(F.size("ids")).alias("cameras"), F.count(F.lit(1)).alias("blocks"))
+
+
 def incidents(feed: DataFrame, region: DataFrame, key: int) -> DataFrame:
     """Incidents near one city."""
     return L.incidents_near_regions(feed, region.filter(F.col("region_id") == key))

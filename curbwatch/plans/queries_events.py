@@ -96,13 +96,17 @@ TIER_SQL = """SELECT c.camera_id, c.source_id, CASE WHEN c.camera_id%11=0 THEN '
   ELSE greatest(CASE WHEN tier='fast' THEN greatest(60E0, coalesce(nf,1)*5E0) ELSE greatest(600E0, coalesce(ns,1)*10E0) END, 60E0*stretch) END AS DOUBLE) AS period_s FROM (
   SELECT t.*, sum(CASE WHEN tier='fast' AND NOT in_panel THEN 1 END) OVER (PARTITION BY source_id) AS nf, sum(CASE WHEN tier='slow' AND NOT in_panel THEN 1 END) OVER (PARTITION BY source_id) AS ns FROM ({TIER_SQL}) t)""")
 def t9(fx):
+    k = F.col("camera_id")
+    out = C.tier_report(fx.camera, tiers(fx).withColumn("stretch", 1.0 + (k % 7) * 0.5).drop("region_id"), 60.0, POLLING.slow_period_s, POLLING.on_screen_s, POLLING.off_screen_s)
+    return out.select("camera_id", "tier", "period_s")
+
+
+def tiers(fx):
     k, now = F.col("camera_id"), F.lit(1000.0)
     claims = fx.camera.filter(k % 11 == 0).select("camera_id", F.lit(1001.0).alias("expires"), F.when(k % 22 == 0, "panel").otherwise("graph").alias("kind"))
     claims = claims.unionByName(fx.camera.filter(k % 13 == 0).select("camera_id", F.lit(999.0).alias("expires"), F.lit("graph").alias("kind")))
     seen = fx.camera.filter(k % 2 == 0).select("camera_id", F.lit(980.0).alias("seen_at"))
-    tiers = C.camera_tier(fx.camera, claims, fx.region.filter(F.col("region_id") % 3 != 0), seen, fx.camera.filter(k % 4 == 0), now, POLLING.visible_ttl_s)
-    out = C.tier_report(fx.camera, tiers.withColumn("stretch", 1.0 + (k % 7) * 0.5).drop("region_id"), 60.0, POLLING.slow_period_s, POLLING.on_screen_s, POLLING.off_screen_s)
-    return out.select("camera_id", "tier", "period_s")
+    return C.camera_tier(fx.camera, claims, fx.region.filter(F.col("region_id") % 3 != 0), seen, fx.camera.filter(k % 4 == 0), now, POLLING.visible_ttl_s)
 
 
 @query("j20_nearest_cities", f"""SELECT region_id, {r(hav_km('(SELECT lat FROM fx_region WHERE region_id=7)', '(SELECT lon FROM fx_region WHERE region_id=7)', 'lat', 'lon'))} AS km FROM fx_region WHERE region_id<>7""")
@@ -353,13 +357,6 @@ def p37(fx):
     return fx.fresh.select("poll_id", X.vehicle_phrase(by).alias("phrase"))
 
 
-@query("p38_night_shift", f"""SELECT poll_id, strftime(ts-INTERVAL 6 HOUR, '%H:%M') AS local_time FROM fx_fresh JOIN fx_camera USING (camera_id) WHERE {sun('lat', 'lon', 'at')}<0""")
-def p38(fx):
-    p = fx.fresh.join(fx.camera.select("camera_id", "lat", "lon"), "camera_id").filter(solar_elevation(F.col("lat"), F.col("lon"), F.col("at")) < 0)
-    local = F.from_utc_timestamp(F.timestamp_micros((F.col("at") * 1e6).cast("bigint")), "America/Chicago")
-    return p.select("poll_id", F.date_format(local, "HH:mm").alias("local_time"))
-
-
 @query("t10_incident_questions", """SELECT q.incident_id, q.evidence, q.pictures FROM (SELECT l.incident_id, string_agg(concat(CAST(l.camera_id AS VARCHAR), ':', CAST(CAST(floor(n.at+0.5E0) AS BIGINT) AS VARCHAR)), ',' ORDER BY l.rank) AS evidence, count(*) AS pictures
   FROM links l JOIN newest n USING (camera_id) GROUP BY l.incident_id) q JOIN fx_incident i USING (incident_id) LEFT JOIN fx_verdict v USING (incident_id), clock
   WHERE (i.road_relevant OR i.implies_closure) AND (v.at IS NULL OR (now-v.at>=60E0 AND CASE WHEN q.incident_id%3=0 THEN q.evidence ELSE 'old' END<>q.evidence))""")

@@ -205,14 +205,6 @@ def j11b(fx):
     return rounded(out.select("poll_id", "reading_id", "standstill"))
 
 
-@query("j13_vehicle_count", """SELECT s.camera_id, s.at AS frame_at, CASE WHEN v.vehicles IS NULL THEN 'none' ELSE 'counted' END AS status, v.vehicles FROM newest s
-  LEFT JOIN (SELECT camera_id, at AS frame_at, poll_id%5+poll_id%3+poll_id%2 AS vehicles FROM fx_fresh WHERE poll_id%3=0) v ON v.camera_id=s.camera_id AND v.frame_at=s.at""")
-def j13(fx):
-    newest = fx.fresh.groupBy("camera_id").agg(F.max("at").alias("frame_at"))
-    out = newest.join(fx.vehicle_count.select("camera_id", "frame_at", "vehicles"), ["camera_id", "frame_at"], "left")
-    return out.select("camera_id", "frame_at", F.when(F.col("vehicles").isNull(), "none").otherwise("counted").alias("status"), "vehicles")
-
-
 @query("p40_verdict_effect", f"""SELECT incident_id, camera_id, {r('multiplier')} AS multiplier,
   concat_ws('+', CASE WHEN cleared>=0.8E0 THEN NULL ELSE 'cleared' END, CASE WHEN score_confidence>=0.5E0 THEN NULL ELSE 'screen' END,
   CASE WHEN supported>=0.8E0 THEN NULL ELSE 'supported' END, CASE WHEN chosen IS NOT NULL AND chosen_confidence>=0.5E0 THEN NULL ELSE 'camera' END) AS gated FROM judged_floor WHERE judged""")

@@ -119,11 +119,6 @@ def s9(fx):
     return rounded(out.select("way_id", "seg_index", "a", "two_way", F.round("maxspeed_kmh", 4).alias("maxspeed_kmh"), "maxspeed_source", "lanes", F.round("length_m", 3).alias("length_m")))
 
 
-@query("s10_road_background", "SELECT highway, camera_id AS way_id, CAST(3 AS BIGINT) AS points FROM fx_camera")
-def s10(fx):
-    return osm.road_background(osm.ways(way_docs(fx))).select("highway", "way_id", F.size("line").cast("bigint").alias("points"))
-
-
 @query("s12_graph_document", "SELECT src, dst, kind, length_m FROM fx_edge")
 def s12(fx):
     lines = T.graph_document(fx.site_camera.select("site_id", "is_freeway"), fx.site_camera, fx.edge)

@@ -39,7 +39,7 @@ def rounded(df: DataFrame, digits: int = 6, **names: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from . import (  # noqa: F401
-        queries_scoring, queries_events, queries_spatial, queries_graph, queries_sources, queries_learning,
+        queries_scoring, queries_events, queries_spatial, queries_graph, queries_sources, queries_learning, queries_records,
     )
 
     def bind(plan: Plan) -> Callable[[SparkSession, str], DataFrame]:

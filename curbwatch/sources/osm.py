@@ -61,3 +61,10 @@ def road_background(way: DataFrame) -> DataFrame:
     """Polylines by road class at five decimals, one row a way."""
     line = F.transform("geometry", lambda p: F.struct(F.bround(p["lat"], 5).alias("lat"), F.bround(p["lon"], 5).alias("lon")))
     return way.filter(F.col("tags")["highway"].isNotNull() & (F.size("geometry") > 0)).select(F.col("tags")["highway"].alias("highway"), F.col("id").alias("way_id"), line.alias("line"))
+
+
+def background_by_class(way: DataFrame, block: int = 5000) -> DataFrame:
+    """Polylines grouped by road class, in the order of their ways, so many ways a group at most."""
+    part = F.struct("way_id", "line")
+    lines = road_background(way).withColumn("block", F.floor(F.col("way_id") / block))
+    return lines.groupBy("highway", "block").agg(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["line"]).alias("lines"))

@@ -114,6 +114,45 @@ def read_graph(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return s, e
 
 
+GRAPH_VERSION = 1
+#: Rows of the parts of a graph document.
+GRAPH_ROWS = {
+    "meta": "name: string, source: string, sites: bigint, cameras: bigint, edges: bigint",
+    "sites": "id: bigint, lat: double, lon: double, is_freeway: boolean, cameras: array<bigint>",
+    "cameras": "id: bigint, roadway: string, location: string, lat: double, lon: double, site: bigint, is_freeway: boolean, has_video: boolean",
+    "edges": "src: bigint, dst: bigint, kind: string, length_m: double, tt_s: double",
+}
+
+
+def graph_sections(region_parts: dict[str, DataFrame], size: int = 5000) -> DataFrame:
+    """A region's graph as sections of a document: region, part, section and one JSON line.
+
+    `region_parts` holds meta, sites, cameras and edges, each with `region_id` and the
+    columns of GRAPH_ROWS. A part of more than `size` rows is cut into several
+    sections by a hash of its rows, so no line grows with its region.
+    """
+    out = None
+    for part, ddl in GRAPH_ROWS.items():
+        row = F.struct(*[F.col(c.split(":")[0].strip()) for c in ddl.replace("array<bigint>", "array").split(", ")])
+        df = region_parts[part].select("region_id", row.alias("row"))
+        n = df.groupBy("region_id").agg(F.ceil(F.count(F.lit(1)) / size).alias("_n"))
+        cut = df.join(n, "region_id").withColumn("section", F.pmod(F.xxhash64("row"), F.col("_n")))
+        rows = cut.groupBy("region_id", "section").agg(F.collect_list("row").alias("rows"))
+        lines = rows.select("region_id", F.lit(part).alias("part"), "section", F.to_json(F.struct(F.lit(GRAPH_VERSION).alias("version"), "rows")).alias("line"))
+        out = lines if out is None else out.unionByName(lines)
+    return out
+
+
+def graph_part(sections: DataFrame, part: str) -> DataFrame:
+    """The rows of one part of graph documents; a section that is damaged or of another version fails with its place."""
+    told = F.from_json("line", f"version int, rows array<struct<{GRAPH_ROWS[part]}>>")
+    place = F.concat_ws("/", F.lit("damaged graph section"), F.col("region_id").cast("string"), "part", F.col("section").cast("string"))
+    read = sections.filter(F.col("part") == part).withColumn("_told", told)
+    fine = (F.col("_told.version") == GRAPH_VERSION) & F.col("_told.rows").isNotNull() & ~F.exists("_told.rows", lambda r: r.isNull())
+    check = F.assert_true(F.coalesce(fine, F.lit(False)), place)
+    return read.filter(check.isNull()).select("region_id", F.inline("_told.rows"))
+
+
 def json_lines(lines: DataFrame, schema: str, required: list[str]) -> DataFrame:
     """Log lines; a line cut short or without a required field is skipped."""
     parsed = lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
@@ -146,6 +185,13 @@ def region_around(places: DataFrame, radius_km: float) -> DataFrame:
     return with_fixed(out.withColumn("slug", slug(F.col("name"))), 6, center_lat=F.col("lat"), center_lon=F.col("lon")).withColumn("radius_km", F.lit(radius_km))
 
 
+def covered_regions(places: DataFrame, sources: DataFrame, radius_km: float) -> DataFrame:
+    """regions_for_places, refused with the place's name where no source covers its state."""
+    found = regions_for_places(places, sources, radius_km)
+    refused = F.assert_true(F.col("source").isNotNull(), F.concat(F.lit("no source covers "), F.col("name")))
+    return found.filter(refused.isNull())
+
+
 def regions_for_places(places: DataFrame, sources: DataFrame, radius_km: float) -> DataFrame:
     """Regions for geocoded places, on the source that covers their state; null where none does.
 
