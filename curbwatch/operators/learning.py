@@ -121,7 +121,8 @@ def held_out(votes: DataFrame, folds: int = PREFERENCE.folds) -> DataFrame:
         fits = {k: descend(d[fold != k], y[fold != k]).tolist() for k in range(folds) if (fold != k).any()}
         return pd.DataFrame({"voter": pdf["voter"].iloc[0], "fold": list(fits), "weights": list(fits.values())})
 
-    fold = F.when(F.col("mode") == "evaluate", F.pmod(F.xxhash64("vote_id", F.lit(PREFERENCE.seed)), F.lit(folds))).otherwise(-1).cast("bigint")
+    dealt = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("vote_id").cast("string"), F.lit(str(PREFERENCE.seed))).cast("binary")), 1, 8), 16, 10).cast("bigint") % folds
+    fold = F.when(F.col("mode") == "evaluate", dealt).otherwise(-1).cast("bigint")
     models = (retained(votes).select("voter", "a_x", "b_x", "pick", fold.alias("fold"))
               .groupBy("voter").applyInPandas(fit, "voter bigint, fold bigint, weights array<double>"))
     asked = votes.filter("mode = 'evaluate'").select("voter", "vote_id", "a_x", "b_x", fold.alias("fold"))

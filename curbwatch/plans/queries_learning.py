@@ -19,6 +19,28 @@ cte("fx_vote", """SELECT o_orderkey AS vote_id, epoch_us(o_orderdate)/1E6 AS ts,
 DIFF = lambda a, b: f"CASE WHEN abs({a}-{b})>=1E-9 THEN {a}-{b} END"
 cte("voted", f"""SELECT *, {DIFF('a_equation', 'b_equation')} AS by_equation, CASE WHEN a_look_at=b_look_at THEN {DIFF('a_level', 'b_level')} END AS by_look,
   CASE WHEN a_look_at=b_look_at AND least(a_confidence, b_confidence)>=0.5E0 THEN {DIFF('a_level', 'b_level')} END AS by_confident_look, {DIFF('a_x0', 'b_x0')} AS by_movement FROM fx_vote""")
+# The fixed schedule step by step: all groups descend together, 400 steps from zero.
+X = lambda p, f: f"(((k*{31 + 2 * f}+{p * 17 + f * 7})%101)/100E0)"
+cte("vote_row", f"""SELECT vote_id, voter, mode, {', '.join(f'{X(1, f)}-{X(2, f)} AS d{f}' for f in range(8))}, CASE WHEN pick='a' THEN 1E0 ELSE 0E0 END AS y,
+  CASE WHEN mode='evaluate' THEN CAST(concat('0x', substr(md5(concat(CAST(vote_id AS VARCHAR), ':511')), 1, 8)) AS BIGINT)%10 ELSE -1 END AS fold, row_number() OVER (PARTITION BY voter ORDER BY ts DESC, vote_id DESC) AS rn FROM fx_vote""")
+
+
+def descended(rows: str) -> str:
+    """Weights w0 to w7 of each group g of `rows` (g, d0 to d7, y) after the last step."""
+    w, d = [f"w{f}" for f in range(8)], [f"d{f}" for f in range(8)]
+    p = f"1E0/(1E0+exp(-({'+'.join(f'{a}*{b}' for a, b in zip(w, d))})))"
+    moved = ", ".join(f"{a}-0.5E0*(0.02E0*{a}+s{f}/n) AS {a}" for f, a in enumerate(w))
+    sums = ", ".join(f"sum((p-y)*{b}) AS s{f}" for f, b in enumerate(d))
+    return f"""SELECT * FROM (WITH RECURSIVE fit AS (SELECT DISTINCT g, 0 AS step, {', '.join(f'0E0 AS {a}' for a in w)} FROM {rows}
+      UNION ALL SELECT g, step+1, {moved} FROM (SELECT g, step, {', '.join(w)}, count(*) AS n, {sums} FROM (SELECT f.g, f.step, {', '.join(f'f.{a}' for a in w)}, {', '.join(f'r.{b}' for b in d)}, r.y, {p} AS p
+        FROM fit f JOIN {rows} r ON r.g=f.g WHERE f.step<400) GROUP BY g, step, {', '.join(w)})) SELECT * FROM fit) WHERE step=400"""
+
+
+cte("voter_row", "SELECT voter AS g, * FROM vote_row WHERE rn<=2000")
+cte("voter_fit", descended("voter_row"))
+cte("fold_row", "SELECT r.voter*100+k.k AS g, r.* FROM vote_row r, (SELECT unnest(range(10)) AS k) k WHERE r.rn<=2000 AND r.fold<>k.k")
+cte("fold_fit", descended("fold_row"))
+cte("held_out", f"""SELECT vote_id, CASE WHEN abs(s)>=1E-9 THEN s END AS by_person FROM (SELECT r.vote_id, {'+'.join(f'f.w{i}*r.d{i}' for i in range(8))} AS s FROM vote_row r JOIN fold_fit f ON f.g=r.voter*100+r.fold WHERE r.mode='evaluate')""")
 RANKERS = {"equation": "by_equation", "second look": "by_look", "second look, confident": "by_confident_look", "movement alone": "by_movement"}
 
 
@@ -27,20 +49,29 @@ def e3(fx):
     return rounded(L.rankers(fx.vote).select("vote_id", *RANKERS.values()))
 
 
-HITS = " UNION ALL ".join(f"SELECT '{n}' AS ranker, stratum, CASE WHEN ({c}>0)=(pick='a') THEN 1E0 ELSE 0E0 END AS hit FROM voted WHERE mode='evaluate' AND by_equation IS NOT NULL AND by_look IS NOT NULL AND {c} IS NOT NULL" for n, c in RANKERS.items())
+ALL_RANKERS = RANKERS | {"your model, held out": "by_person"}
+cte("ranked_votes", "SELECT v.*, h.by_person FROM voted v LEFT JOIN held_out h USING (vote_id)")
+
+
+def ranked_votes(fx):
+    """Every ranking's preference, the voter's own model fitted without the choice's fold among them."""
+    return L.rankers(fx.vote).join(L.held_out(fx.vote), "vote_id", "left")
+
+
+HITS = " UNION ALL ".join(f"SELECT '{n}' AS ranker, stratum, CASE WHEN ({c}>0)=(pick='a') THEN 1E0 ELSE 0E0 END AS hit FROM ranked_votes WHERE mode='evaluate' AND by_equation IS NOT NULL AND by_look IS NOT NULL AND {c} IS NOT NULL" for n, c in ALL_RANKERS.items())
 
 
 @query("e6_hit_rates", f"SELECT stratum, ranker, count(*) AS n, {r('avg(hit)')} AS rate FROM (SELECT stratum, ranker, hit FROM ({HITS}) UNION ALL SELECT 'all', ranker, hit FROM ({HITS})) GROUP BY stratum, ranker")
 def e6(fx):
-    return rounded(L.hit_rates(L.rankers(fx.vote), RANKERS).select("stratum", "ranker", "n", "rate"))
+    return rounded(L.hit_rates(ranked_votes(fx), ALL_RANKERS).select("stratum", "ranker", "n", "rate"))
 
 
 @query("e6_hit_rate_intervals")
 def e6b(fx):
-    return rounded(L.hit_rates(L.rankers(fx.vote), RANKERS))
+    return rounded(L.hit_rates(ranked_votes(fx), ALL_RANKERS))
 
 
-@query("e1_voter_weights")
+@query("e1_voter_weights", f"""SELECT f.g AS voter, n.votes, CAST(x.i AS BIGINT) AS factor, {r('[w0, w1, w2, w3, w4, w5, w6, w7][x.i+1]')} AS weight FROM voter_fit f JOIN (SELECT g, count(*) AS votes FROM voter_row GROUP BY g) n USING (g), (SELECT unnest(range(8)) AS i) x""")
 def e1(fx):
     w = L.fit_voters(fx.vote)
     return rounded(w.select("voter", "votes", F.posexplode("weights").alias("factor", "weight")))
@@ -59,7 +90,7 @@ def e2(fx):
     return rounded(L.personal_ranking(pool, L.fit_voters(fx.vote), views))
 
 
-@query("e4_held_out_model")
+@query("e4_held_out_model", f"SELECT vote_id, {r('by_person')} AS by_person FROM held_out")
 def e4(fx):
     return rounded(L.held_out(fx.vote))
 
