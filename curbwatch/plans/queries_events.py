@@ -201,11 +201,11 @@ LEARN = """SELECT camera_id, i, poll_id, cell_n, cell_mean, still AS ambiguous,
 FIRST = "learn_in p, (SELECT [CAST(0 AS BIGINT) FOR x IN range(168)] AS ns, [CAST(0 AS DOUBLE) FOR x IN range(168)] AS means, CAST(NULL AS DOUBLE) AS since) s WHERE p.i=1"
 
 
-@query("t2_learned_baseline", f"""SELECT poll_id, camera_id, cell_n, {r('cell_mean')} AS cell_mean, ambiguous, learned FROM (
+@query("t2_learned_baseline", f"""SELECT poll_id, camera_id, cell_n, {r('cell_mean', 9)} AS cell_mean, ambiguous, learned FROM (
   WITH RECURSIVE learn AS ({LEARN.format(state=FIRST)} UNION ALL {LEARN.format(state='learn s JOIN learn_in p ON p.camera_id=s.camera_id AND p.i=s.i+1')}) SELECT * FROM learn)""")
 def t2(fx):
     out = folds.learned_baseline(fx.fresh_dense)
-    return rounded(out.select("poll_id", "camera_id", "cell_n", "cell_mean", "ambiguous", "learned"))
+    return rounded(out.select("poll_id", "camera_id", "cell_n", "cell_mean", "ambiguous", "learned"), 9)
 
 
 # The next entry kept is the first one half an hour after the last.
