@@ -9,6 +9,7 @@ from ..config import RANKING, VERDICTS
 from ..functions.geo import solar_elevation
 from ..functions.numeric import to_fixed
 from ..functions.text import ago, dispatch_place, inside_sentence, picture, sentence_label, without_device_number
+from .scale import top_per
 
 
 def highlights(scored: DataFrame, by_record: DataFrame, incidents: DataFrame, corridor: DataFrame, verdicts: DataFrame | None, now: Column) -> DataFrame:
@@ -97,25 +98,102 @@ def incident_questions(incidents: DataFrame, links: DataFrame, state: DataFrame,
     return out.filter(due).select("incident_id", "evidence", "pictures")
 
 
-def evidence_records(questions: DataFrame, incidents: DataFrame, links: DataFrame, state: DataFrame, cameras: DataFrame, now: Column) -> DataFrame:
-    """The document each question is answered from: the record and what its cameras show."""
-    one = F.struct(
-        "rank", F.col("camera_id").cast("string").alias("camera_id"), F.col("roadway").alias("road"), F.col("camera_name").alias("view"),
-        F.concat(F.floor(F.col("km") * 1000.0 + 0.5).cast("string"), F.lit(" m")).alias("distance_from_the_reported_location"),
-        picture(F.col("diff"), F.col("baseline")).alias("picture"), to_fixed(F.col("diff"), 4).alias("frame_difference"),
-        to_fixed(F.when(F.col("baseline") > 0, F.col("baseline")), 4).alias("usual_frame_difference_this_hour"),
-        to_fixed(F.col("diff") / F.when(F.col("baseline") > 0, F.col("baseline")), 2).alias("times_its_usual"),
-        F.col("cell_n").alias("frames_behind_this_hour"), F.when(F.col("last_at").isNull(), "none yet").otherwise(
-            ago(F.greatest(F.lit(0.0), now - F.col("last_at")))).alias("newest_frame"))
-    seen = (links.join(questions.select("incident_id"), "incident_id", "left_semi").join(cameras.select("camera_id", "roadway", F.col("location").alias("camera_name")), "camera_id")
-            .join(state.select("camera_id", "diff", "baseline", "cell_n", "last_at"), "camera_id")
-            .groupBy("incident_id").agg(F.array_sort(F.collect_list(one)).alias("cameras_the_record_names")))
-    record = F.struct(F.col("type").alias("agency_code"), F.col("road_relevant").alias("code_is_about_the_road"),
-                      F.col("implies_closure").alias("code_implies_the_road_is_blocked"), F.col("location").alias("reported_location"),
-                      F.when(F.col("reported_at").isNull(), "at a time the feed did not give").otherwise(
-                          ago(F.greatest(F.lit(0.0), now - F.col("reported_at")))).alias("reported"))
-    out = incidents.join(seen, "incident_id").withColumn("dispatch_record", record)
-    return out.select("incident_id", F.to_json(F.struct("dispatch_record", "cameras_the_record_names")).alias("document"))
+def _told(now: Column) -> list[Column]:
+    """What every document says of a camera's picture. A camera without a usual value has no ratio."""
+    usual = F.when(F.col("baseline") > 0, F.col("baseline"))
+    return [picture(F.col("diff"), F.col("baseline")).alias("picture"), to_fixed(F.col("diff"), 4).alias("frame_difference"), to_fixed(usual, 4).alias("usual_frame_difference_this_hour"),
+            to_fixed(F.col("diff") / usual, 2).alias("times_its_usual"),
+            F.when(F.col("last_at").isNull(), "none yet").otherwise(ago(F.greatest(F.lit(0.0), now - F.col("last_at")))).alias("newest_frame")]
+
+
+def _whole(value: Column, unit: str) -> Column:
+    return F.concat(F.floor(value + 0.5).cast("bigint").cast("string"), F.lit(f" {unit}"))
+
+
+def _beside(place: str) -> Column:
+    """Where a corridor camera lies. `place` is what the corridor is of."""
+    return F.when(F.col("side") == "upstream", f"on the approach to {place}").when(F.col("side") == "downstream", f"past {place}").otherwise("nearby, off the corridor")
+
+
+def _or_null(df: DataFrame, name: str, kind: str) -> Column:
+    return F.col(name) if name in df.columns else F.lit(None).cast(kind)
+
+
+def evidence_records(questions: DataFrame, incidents: DataFrame, links: DataFrame, state: DataFrame, cameras: DataFrame, now: Column, corridor: DataFrame | None = None,
+                     per_record: int = VERDICTS.max_neighbors) -> DataFrame:
+    """The document an incident question is answered from: the record, its cameras and those along their corridor.
+
+    `corridor`: camera_id, neighbor_id, side, length_m, hops, tt_s, wave_s; of the
+    neighbors of a record's cameras the first `per_record` upstream, then downstream,
+    nearest first, each by its shortest way. Lists are as short as a record's cameras.
+    """
+    told = state.select("camera_id", "diff", "baseline", "cell_n", "last_at", _or_null(state, "ambiguous", "boolean").alias("ambiguous"))
+    view = cameras.select("camera_id", F.col("roadway").alias("road"), F.col("location").alias("view"))
+    asked = links.join(questions.select("incident_id"), "incident_id", "left_semi")
+    one = F.struct("rank", F.col("camera_id").cast("string").alias("camera_id"), "road", "view", _whole(F.col("km") * 1000.0, "m").alias("distance_from_the_reported_location"),
+                   *_told(now), F.col("cell_n").alias("frames_behind_this_hour"), F.col("ambiguous").alias("still_although_this_hour_usually_moves"))
+    named = asked.join(view, "camera_id").join(told, "camera_id").groupBy("incident_id").agg(F.array_sort(F.collect_list(one)).alias("cameras_the_record_names"))
+    record = F.struct(F.col("type").alias("agency_code"), _or_null(incidents, "label", "string").alias("agency_code_meaning"), F.col("road_relevant").alias("code_is_about_the_road"),
+                      F.col("implies_closure").alias("code_implies_the_road_is_blocked"), F.col("location").alias("reported_location"), _or_null(incidents, "city", "string").alias("city"),
+                      _or_null(incidents, "county", "string").alias("county"),
+                      F.when(F.col("reported_at").isNull(), "at a time the feed did not give").otherwise(ago(F.greatest(F.lit(0.0), now - F.col("reported_at")))).alias("reported"),
+                      _or_null(incidents, "remarks", "string").alias("dispatcher_remarks"))
+    out = incidents.join(named, "incident_id").withColumn("dispatch_record", record).select("incident_id", "dispatch_record", "cameras_the_record_names")
+    parts = ["dispatch_record", "cameras_the_record_names"]
+    if corridor is not None:
+        reach = (asked.select("incident_id", "camera_id").join(corridor, "camera_id").select("incident_id", F.col("neighbor_id").alias("camera_id"), "side", "length_m", "hops", "tt_s", "wave_s")
+                 .join(asked.select("incident_id", "camera_id"), ["incident_id", "camera_id"], "left_anti"))
+        side = F.when(F.col("side") == "upstream", 0).when(F.col("side") == "downstream", 1).otherwise(2)
+        short = reach.groupBy("incident_id", "camera_id").agg(F.min(F.struct("length_m", side.alias("o"), "side", "hops", "tt_s", "wave_s")).alias("n")).select("incident_id", "camera_id", "n.*")
+        near = top_per(short, ["incident_id"], [F.col("o"), F.col("length_m"), F.col("camera_id")], per_record, "pick")
+        other = F.struct("pick", *_told(now), F.col("camera_id").cast("string").alias("camera_id"), "road", "view", _beside("the reported location").alias("side"),
+                         _whole(F.col("length_m"), "m").alias("road_distance"), _whole(F.col("tt_s"), "seconds").alias("driving_time"), F.col("hops").alias("junctions_away"),
+                         F.regexp_replace(ago(F.col("wave_s")), " ago$", "").alias("a_queue_at_the_incident_would_reach_here_in"))
+        along = near.join(view, "camera_id").join(told, "camera_id", "left").groupBy("incident_id").agg(F.array_sort(F.collect_list(other)).alias("nearby_cameras_on_the_same_corridor"))
+        out, parts = out.join(along, "incident_id", "left"), [*parts, "nearby_cameras_on_the_same_corridor"]
+        out = out.withColumn(parts[-1], F.coalesce(parts[-1], F.array().cast(along.schema[parts[-1]].dataType)))
+    return out.select("incident_id", F.to_json(F.struct(*parts)).alias("document"))
+
+
+def gate_evidence(questions: DataFrame, state: DataFrame, cameras: DataFrame, corridor: DataFrame, linked: DataFrame, counts: DataFrame, now: Column, per_camera: int = VERDICTS.max_neighbors) -> DataFrame:
+    """The document a question about one still camera is answered from.
+
+    `state` also has `zone`, the camera's time zone; `linked` the cameras some record
+    names; `counts` camera_id, frame_at, vehicles, by_class of the newest pictures.
+    """
+    view = cameras.select("camera_id", F.col("roadway").alias("road"), F.col("location").alias("view"))
+    side = F.when(F.col("side") == "upstream", 0).when(F.col("side") == "downstream", 1).otherwise(2)
+    short = corridor.groupBy("camera_id", "neighbor_id").agg(F.min(F.struct("length_m", side.alias("o"), "side", "hops")).alias("n")).select("camera_id", "neighbor_id", "n.*")
+    near = top_per(short.join(questions.select("camera_id").distinct(), "camera_id", "left_semi"), ["camera_id"], [F.col("o"), F.col("length_m"), F.col("neighbor_id")], per_camera, "pick")
+    beside = F.struct("pick", F.col("neighbor_id").cast("string").alias("camera_id"), "road", "view", _beside("this camera").alias("side"), _whole(F.col("length_m"), "m").alias("road_distance"), F.col("hops").alias("junctions_away"))
+    along = near.join(view.withColumnRenamed("camera_id", "neighbor_id"), "neighbor_id").groupBy("camera_id").agg(F.array_sort(F.collect_list(beside)).alias("cameras_on_the_same_corridor"))
+    hour = F.date_format(F.from_utc_timestamp(F.timestamp_micros((now * 1e6).cast("bigint")), F.col("zone")), "EEEE h a")
+    counted = counts.select("camera_id", F.col("frame_at").alias("last_at"), "vehicles", "by_class")
+    one = F.struct(F.col("camera_id").cast("string").alias("camera_id"), "road", "view", F.lit("updating, the newest picture differs from the one before it, so this is not a frozen feed").alias("feed"),
+                   *_told(now), F.col("cell_n").alias("frames_behind_this_hour"), hour.alias("time_of_day"), F.coalesce("_named", F.lit(False)).alias("a_dispatch_record_already_names_this_camera"),
+                   F.coalesce(F.col("vehicles").cast("string"), F.lit("not counted")).alias("vehicles_a_detector_counted_in_this_picture"), F.col("by_class").alias("vehicle_types_counted"))
+    rows = (questions.select("camera_id").distinct().join(view, "camera_id").join(state.select("camera_id", "diff", "baseline", "cell_n", "last_at", "zone"), "camera_id")
+            .join(linked.select("camera_id").distinct().withColumn("_named", F.lit(True)), "camera_id", "left").join(counted, ["camera_id", "last_at"], "left").join(along, "camera_id", "left"))
+    none = F.array().cast(along.schema["cameras_on_the_same_corridor"].dataType)
+    return rows.select("camera_id", F.to_json(F.struct(one.alias("camera"), F.coalesce("cameras_on_the_same_corridor", none).alias("cameras_on_the_same_corridor"))).alias("document"))
+
+
+def review_evidence(questions: DataFrame, leaders: DataFrame, cameras: DataFrame, regions: DataFrame, now: Column) -> DataFrame:
+    """The document the leading cameras of a city are judged from together, without the equation's own score.
+
+    `leaders`: region_id, camera_id, rank, diff, baseline, cell_n, last_at, highway,
+    scale_prior, incident (its label, null for none), queue_floor, still_floor.
+    `regions`: region_id, name, zone.
+    """
+    size = F.concat(F.regexp_replace(F.format_string("%.2f", to_fixed(F.col("scale_prior"), 2)), r"\.?0+$", ""), F.lit(" on a scale from 0, a quiet street, to 1, an urban interstate"))
+    one = F.struct("rank", F.col("camera_id").cast("string").alias("camera_id"), "road", "view", (F.col("highway") == "motorway").alias("on_a_freeway"), size.alias("how_much_traffic_the_road_carries"),
+                   *_told(now), F.col("cell_n").alias("frames_behind_this_hour"), F.coalesce("incident", F.lit("none")).alias("incident_reported_here"),
+                   (F.coalesce("queue_floor", F.lit(0.0)) > 0).alias("queue_expected_from_an_incident_ahead"), (F.coalesce("still_floor", F.lit(0.0)) > 0).alias("stopped_traffic_confirmed"))
+    view = cameras.select("camera_id", F.col("roadway").alias("road"), F.col("location").alias("view"))
+    seen = leaders.join(questions.select("region_id"), "region_id", "left_semi").join(view, "camera_id").groupBy("region_id").agg(F.array_sort(F.collect_list(one)).alias("cameras"))
+    hour = F.date_format(F.from_utc_timestamp(F.timestamp_micros((now * 1e6).cast("bigint")), F.col("zone")), "EEEE h a")
+    rows = seen.join(regions.select("region_id", F.col("name").alias("city"), hour.alias("time_of_day")), "region_id")
+    return rows.select("region_id", F.to_json(F.struct("city", "time_of_day", "cameras")).alias("document"))
 
 
 def review_questions(leaders: DataFrame, last: DataFrame, now: Column) -> DataFrame:

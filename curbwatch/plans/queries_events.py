@@ -379,7 +379,7 @@ def t10b(fx):
 def t11(fx):
     state = plain_scores(fx).withColumn("baseline", to_fixed(F.col("mu"), 5))
     q = fx.incident.filter(F.col("road_relevant") | F.col("implies_closure")).select("incident_id")
-    return E.evidence_records(q, fx.incident, fx.links, state, fx.camera, fx.now)
+    return E.evidence_records(q, fx.incident, fx.links, state, fx.camera, fx.now, fx.corridor)
 
 
 @query("d1_one_per_id", """SELECT id, ordinal, url FROM (SELECT camera_id%50 AS id, poll_id AS ordinal, concat('u', CAST(camera_id%150 AS VARCHAR)) AS url, row_number() OVER (PARTITION BY camera_id%50 ORDER BY poll_id) AS rn FROM fx_poll) WHERE rn=1""")

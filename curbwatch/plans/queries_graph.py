@@ -73,7 +73,11 @@ def g1(fx):
     return site_members(fx).select("camera_id", "site_id")
 
 
-@query("j16_site_pairs")
+# Snaps drawn alike are one: the lowest camera stands for them and alone meets other places.
+cte("snap_head", "SELECT *, min(camera_id) OVER (PARTITION BY snap_lat, snap_lon, two_way, seg_bearing, highway='motorway') AS head FROM snapped")
+
+
+@query("j16_site_pairs", """SELECT head AS a, camera_id AS b FROM snap_head WHERE camera_id<>head UNION ALL SELECT p.a, p.b FROM snap_pairs p JOIN snap_head x ON x.camera_id=p.a AND x.head=p.a JOIN snap_head y ON y.camera_id=p.b AND y.head=p.b""")
 def j16(fx):
     return D.compatible_pairs(snaps(fx).filter(F.col("way_id").isNotNull()))
 

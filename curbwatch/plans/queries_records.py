@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
-from ..functions.geo import solar_elevation
+from ..functions.geo import CONICS
 from ..operators import city as C
 from ..operators import events as E
 from ..operators import floors as L
+from ..operators import metros as M
 from ..operators import ranking as R
 from ..sources import osm
 from ..sources import tables as T
 from . import api
 from .oracle_base import cte, r, sun
 from .queries_events import TIER_SQL, tiers
-from .queries_scoring import plain_scores
+from .queries_scoring import full_scores, plain_scores
 from .queries_sources import way_docs
 from .registry import query, rounded
 
@@ -128,3 +131,45 @@ def t10_review(fx):
     last = fx.region.filter(region % 5 != 4).join(first.select("region_id", F.col("evidence").alias("e")), "region_id", "left").select(
         "region_id", (fx.now - (region % 4) * 60.0).alias("at"), F.when(region % 3 == 0, F.col("e")).otherwise("old").alias("evidence"))
     return E.review_questions(leaders, last, fx.now)
+
+
+def zoned(fx):
+    return F.element_at(F.array(*map(F.lit, ZONES)), F.col("source_id") + 1)
+
+
+@query("t11_gate_evidence")
+def t11_gate(fx):
+    state = plain_scores(fx).withColumns({"baseline": F.col("mu"), "zone": zoned(fx)})
+    asked = state.filter(F.col("camera_id") % 3 == 0).select("camera_id")
+    return E.gate_evidence(asked, state, fx.camera, fx.corridor, fx.links, fx.vehicle_count, fx.now)
+
+
+@query("t11_review_evidence")
+def t11_review(fx):
+    ranked = R.top_per(full_scores(fx).filter(F.col("attention").isNotNull()), ["region_id"], R.score_order(), 8, "rank")
+    leaders = ranked.withColumns({"baseline": F.col("mu"), "incident": F.when(F.col("incident_floor") > 0, "a record")})
+    return E.review_evidence(fx.region, leaders, fx.camera, fx.region.withColumn("zone", zoned(fx)), fx.now)
+
+
+def _conic(name: str) -> tuple[str, str]:
+    """x and y of a position in one inset, with the inset's constants worked out."""
+    lat0, lon0, lat1, lat2 = CONICS[name]
+    rad = math.pi / 180
+    n = (math.sin(lat1 * rad) + math.sin(lat2 * rad)) / 2
+    c = math.cos(lat1 * rad) ** 2 + 2 * n * math.sin(lat1 * rad)
+    origin = math.sqrt(c - 2 * n * math.sin(lat0 * rad)) / n
+    rho, theta = f"(sqrt(greatest(0E0, {c!r}E0-2E0*{n!r}E0*sin(radians(lat))))/{n!r}E0)", f"({n!r}E0*radians(lon-({lon0!r}E0)))"
+    return f"{rho}*sin({theta})", f"{rho}*cos({theta})-{origin!r}E0"
+
+
+cte("conic_raw", "SELECT camera_id, inset, CASE inset " + " ".join(f"WHEN '{n}' THEN {_conic(n)[0]}" for n in CONICS) + " END AS rx, CASE inset " + " ".join(f"WHEN '{n}' THEN {_conic(n)[1]}" for n in CONICS)
+    + " END AS ry FROM (SELECT *, CASE region_id WHEN 3 THEN 'alaska' WHEN 5 THEN 'hawaii' ELSE 'conus' END AS inset FROM fx_camera)")
+cte("conic_box", """SELECT b.*, l.cx0, l.cw, l.cy1, l.ch, CASE inset WHEN 'alaska' THEN cw*0.3E0/greatest(x1-x0, 1E-9) WHEN 'hawaii' THEN cw*0.1E0/greatest(x1-x0, 1E-9) ELSE 1E0 END AS scale FROM (
+  SELECT inset, min(rx) AS x0, max(rx) AS x1, min(ry) AS y0, max(ry) AS y1 FROM conic_raw GROUP BY inset) b, (SELECT min(rx) AS cx0, max(rx)-min(rx) AS cw, max(ry) AS cy1, max(ry)-min(ry) AS ch FROM conic_raw WHERE inset='conus') l""")
+
+
+@query("p39_map_projection", f"""SELECT camera_id, {r("rx*scale+CASE inset WHEN 'alaska' THEN cx0-x0*scale WHEN 'hawaii' THEN cx0+cw*0.38E0-x0*scale ELSE 0E0 END")} AS x,
+  {r("ry*scale+CASE inset WHEN 'alaska' THEN cy1+ch*0.03E0-y0*scale WHEN 'hawaii' THEN cy1+ch*0.06E0-y0*scale ELSE 0E0 END")} AS y FROM conic_raw JOIN conic_box USING (inset)""")
+def p39(fx):
+    group = F.when(F.col("region_id") == 3, "alaska").when(F.col("region_id") == 5, "hawaii").otherwise("conus")
+    return rounded(M.project_usa(fx.camera.withColumn("inset", group)).select("camera_id", "x", "y"), 6)

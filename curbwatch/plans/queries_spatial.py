@@ -147,11 +147,3 @@ def p13(fx):
     c = fx.camera.join(reg, "region_id")
     b = G.bearing_deg(F.col("y"), F.col("x"), F.col("lat"), F.col("lon"))
     return rounded(c.select("camera_id", b.alias("bearing"), G.bearing_diff(b, F.lit(90.0)).alias("off_east")), 4)
-
-
-@query("p39_map_projection")
-def p39(fx):
-    group = F.when(F.col("region_id") == 3, "alaska").when(F.col("region_id") == 5, "hawaii").otherwise("conus")
-    return rounded(M.project_usa(fx.camera.withColumn("inset", group)).select("camera_id", "x", "y"), 6)
-
-
