@@ -99,9 +99,14 @@ def multiplied(w: Words, weight: np.ndarray, scaled: np.ndarray, total: np.ndarr
     square = np.maximum(summed(row, each * each), 1e-12)
     dense = summed(row, np.take(scaled, w.place, axis=0, mode="clip")) * (1 / square)[:, None]
     order = np.argsort(w.place.astype(np.uint16), kind="stable")  # sixteen bits are sorted by counting
-    place = w.place[order]
+    place, row = w.place[order], row[order]
     heads = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-    total[place[heads]] += np.add.reduceat(np.take(dense, row[order], axis=0, mode="clip"), heads) * weight[place[heads]][:, None]
+    times = np.diff(heads, append=len(place))
+    alone = heads[times == 1]  # most places of a piece occur once and need no sum
+    total[place[alone]] += np.take(dense, row[alone], axis=0, mode="clip") * weight[place[alone]][:, None]
+    heads, often, times = heads[times > 1], np.repeat(times > 1, times), times[times > 1]
+    if len(heads):
+        total[place[heads]] += np.add.reduceat(np.take(dense, row[often], axis=0, mode="clip"), np.cumsum(times) - times) * weight[place[heads]][:, None]
 
 
 def random_basis() -> np.ndarray:
@@ -115,7 +120,9 @@ def inverse_frequencies(df: DataFrame) -> np.ndarray:
         for b in batches:
             for _, _, offsets, data in pieces(pc.utf8_lower(b.column(0)), PIECE):
                 w = words_of(offsets, data)
-                total[:PLACES] += np.bincount(np.unique(w.step * PLACES + w.place) & (PLACES - 1), minlength=PLACES)
+                key = w.step * PLACES + w.place
+                key = key.astype(np.uint32) if not len(key) or key[-1] < 2 ** 31 else key  # steps ascend
+                total[:PLACES] += np.bincount((np.unique(key) & (PLACES - 1)).astype(np.int64), minlength=PLACES)
                 total[PLACES] += int(w.steps.sum())
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["place", "n"])
