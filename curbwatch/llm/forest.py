@@ -142,12 +142,15 @@ def leaves(points: DataFrame, width: int, trees: range) -> list[DataFrame]:
     while True:
         sizes = stage(items.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n")), "nodes")
         done.append(items.join(sizes.filter(F.col("n") <= LEAF).select("tree", "node"), ["tree", "node"], "left_semi"))
-        crowded = sizes.filter(F.col("n") > LEAF).select("tree", "node", F.least(F.lit(LEVELS), F.ceil(F.log2(F.col("n") / LEAF))).cast("int").alias("levels"))
+        crowded = sizes.filter(F.col("n") > LEAF).select("tree", "node", "n", F.least(F.lit(LEVELS), F.ceil(F.log2(F.col("n") / LEAF))).cast("int").alias("levels"))
         if crowded.isEmpty():
             return done
         big = items.join(crowded, ["tree", "node"])
-        order = F.row_number().over(Window.partitionBy("tree", "node").orderBy(F.xxhash64("point", "tree"), "point"))
-        sample = big.withColumn("_n", order).filter(F.col("_n") <= SAMPLE).select("tree", "node", "levels", "point", "raw")
+        # The lowest SAMPLE hashes of a node are among the share of hashes that about four times as many points have.
+        hashed = big.withColumn("_h", F.xxhash64("point", "tree"))
+        low = hashed.filter(F.col("_h").cast("double") <= -2.0 ** 63 + 2.0 ** 64 * 4 * SAMPLE / F.col("n"))
+        order = F.row_number().over(Window.partitionBy("tree", "node").orderBy("_h", "point"))
+        sample = low.withColumn("_n", order).filter(F.col("_n") <= SAMPLE).select("tree", "node", "levels", "point", "raw")
         models = stage(sample.groupBy("tree", "node").applyInPandas(_fit(width), "tree long, node long, levels int, low binary, high binary"), "splits")
         down = items.join(models, ["tree", "node"]).select("tree", "node", "point", "raw", "levels", "low", "high")
         items = stage(down.mapInArrow(_descend(width), "tree long, node long, point long, raw binary"), "items")
