@@ -45,6 +45,13 @@ def test_language_of_odd_rows(spark, odd, none):
 
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+def test_numerals_are_no_letters(spark, docs):
+    texts = ["²", "½ ① Ⅷ", "12 _ !", "ª", "ß", "日", "²a"]
+    df = docs.select("doc_id", "text", "lang").union(spark.createDataFrame([(900_000 + i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string"))
+    got = {r.doc_id - 900_000: r.lang_pred for r in langmix.predictions(df).filter("doc_id >= 900000").collect()}
+    assert {i for i, p in got.items() if p == "und"} == {0, 1, 2} and len(got) == len(texts)
+
+
 LICENSED = ["CC-BY cc by, cc by!", "the GNU general public license and General  Public\nLicense. All rights reserved", "general public licenses", "all right reserved " * 3,
             "x y " + license_scan.PASSAGES[0][0].replace("any person", "a nice person") + " z", license_scan.PASSAGES[1][0].upper(), "cc by " * 500]
 
