@@ -120,7 +120,7 @@ def running_text(text: Column) -> Column:
 
 def dispatch_place(raw: Column) -> Column:
     """"ROAD DIR x[CROSS]" as "Road northbound at Cross"; text of another form as running text."""
-    form = r"(?i)\s+x\[(.+)\]$"
+    form = r"(?i)(?:\s+|(?<=\s[NSEW]B))x\[(.+)\]$"  # a direction may stand right before the bracket
     text = F.trim(raw)
     road = _words(F.regexp_replace(text, form, ""))
     heading = F.when(F.size(road) > 1, F.element_at(mapping(SPELLED), F.upper(F.get(road, F.size(road) - 1))))

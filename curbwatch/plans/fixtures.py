@@ -1,7 +1,8 @@
 """Typed views over the warehouse tables, shaped like the domain's own inputs.
 
 Every view is a projection or a join of the given tables, so its size grows with
-them. Nothing here is collected or cached.
+them. The newest poll's time is read once, and tables that many views share are
+written once to the checkpoint folder; both are kept by application and folder.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from ..operators.floors import incident_cameras
 from ..operators.scale import durable, with_halo
 
 ID_CHUNK = 100_000
-_CLOCK: dict[str, float] = {}
+_CLOCK: dict[tuple, float] = {}
 _KEPT: dict[tuple, DataFrame] = {}
 
 
@@ -97,9 +98,10 @@ class Fixtures:
     @cached_property
     def now(self) -> Column:
         """The newest poll's time as a literal, so that age filters reach the scan."""
-        if self.folder not in _CLOCK:
-            _CLOCK[self.folder] = self.table("events").agg(F.max(epoch("ts"))).first()[0]
-        return F.lit(_CLOCK[self.folder])
+        key = (self.spark.sparkContext.applicationId, self.folder)
+        if key not in _CLOCK:
+            _CLOCK[key] = self.table("events").agg(F.max(epoch("ts"))).first()[0]
+        return F.lit(_CLOCK[key])
 
     @cached_property
     def incident(self) -> DataFrame:

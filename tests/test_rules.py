@@ -57,6 +57,8 @@ def test_route_label(spark, text, want):
 
 
 def test_place_and_label(spark):
+    assert one(spark, X.dispatch_place(F.lit("I-5 NBx[Main]"))) == "I-5 northbound at Main"
+    assert one(spark, X.dispatch_place(F.lit("I-5x[Main]"))) == "I-5x[Main]"
     assert one(spark, X.dispatch_place(F.lit("CR-18 EB x[NE 3RD AVE AND THE BAY, (OLD)]"))) == "CR-18 eastbound at NE 3rd Ave and the Bay, (Old)"
     assert one(spark, X.sentence_label(F.lit("STALLED BUS W/TRAILER"))) == "Stalled bus with trailer"
     assert one(spark, X.without_device_number(F.lit("4071 US-20/SR 5 NEAR 1ST ST"))) == "US-20 / SR 5 near 1st St"
