@@ -9,22 +9,17 @@ from ..config import ROADS
 from ..functions.geo import along, axis_offset, bearing_deg, bearing_diff, direction_bearing, haversine_m, to_latlon, to_xy
 from ..functions.text import route_tokens
 from .scale import chunk_rank, durable
-from .spatial import pairs_within, points_and_boxes
+from .spatial import pairs_within, points_and_lines
 
 FREEWAY = "motorway"
 
 
-def with_extent(segments: DataFrame) -> DataFrame:
-    return segments.withColumns({"s": F.least("a_lat", "b_lat"), "n": F.greatest("a_lat", "b_lat"),
-                                 "w": F.least("a_lon", "b_lon"), "e": F.greatest("a_lon", "b_lon")})
-
-
 def snap_candidates(points: DataFrame, segments: DataFrame, radius_m: float) -> DataFrame:
     """Point-segment pairs within a radius with distance, position and bearing.
 
     Distances are taken in the metre frame of each region (lat0, lon0 on the point).
     """
-    near = points_and_boxes(points, with_extent(segments), radius_m)
+    near = points_and_lines(points, segments, radius_m)
     px, py = to_xy(F.col("lat"), F.col("lon"), F.col("lat0"), F.col("lon0"))
     ax, ay = to_xy(F.col("a_lat"), F.col("a_lon"), F.col("lat0"), F.col("lon0"))
     bx, by = to_xy(F.col("b_lat"), F.col("b_lon"), F.col("lat0"), F.col("lon0"))
@@ -37,7 +32,7 @@ def snap_candidates(points: DataFrame, segments: DataFrame, radius_m: float) ->
     q_lat, q_lon = to_latlon(F.col("qx"), F.col("qy"), F.col("lat0"), F.col("lon0"))
     return near.withColumns({"snap_lat": q_lat, "snap_lon": q_lon,
                              "seg_bearing": bearing_deg(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))}).drop(
-        "px", "py", "ax", "ay", "bx", "by", "qx", "qy", "share", "s", "n", "w", "e")
+        "px", "py", "ax", "ay", "bx", "by", "qx", "qy", "share")
 
 
 def snap_score(distance: Column, refs: Column, seg_refs: Column, at_intersection: Column, highway: Column, two_way: Column,
@@ -232,14 +227,16 @@ def adjacency(paths: DataFrame, sites: DataFrame, nodes: DataFrame, snaps: DataF
     steps = p.select("src", "dst", F.posexplode(F.expr("transform(sequence(1, size(path) - 1), i -> struct(path[i - 1] AS u, path[i] AS v))")).alias("i", "s"))
     n = lambda x, q: nodes.select(F.col("node").alias(x), F.col("lat").alias(f"{q}_lat"), F.col("lon").alias(f"{q}_lon"))
     steps = steps.select("src", "dst", "i", F.col("s.u").alias("u"), F.col("s.v").alias("v")).join(n("u", "a"), "u").join(n("v", "b"), "v")
-    steps = steps.join(road_class.select(F.col("src").alias("u"), F.col("dst").alias("v"), "highway").dropDuplicates(["u", "v"]), ["u", "v"])
-    pts = snaps.select(F.col("site_id").alias("passer"), "lat", "lon", F.col("lat").alias("lat0"), F.col("lon").alias("lon0"),
-                       F.col("seg_bearing").alias("snap_bearing"), F.col("two_way").alias("snap_two_way"), "is_freeway")
-    near = snap_candidates(pts, steps, ROADS.passby_m)
-    near = near.filter((F.col("passer") != F.col("src")) & (F.col("passer") != F.col("dst")))
+    steps = durable(steps.join(road_class.select(F.col("src").alias("u"), F.col("dst").alias("v"), "highway").dropDuplicates(["u", "v"]), ["u", "v"]).drop("u", "v"))
+    # Steps drawn alike meet snaps once, and snaps alike are one: it passes a path's ends unless all its sites are ends.
+    drawn = ["a_lat", "a_lon", "b_lat", "b_lon"]
+    alike = ["lat", "lon", "snap_bearing", "snap_two_way", "is_freeway"]
+    pts = snaps.select("site_id", "lat", "lon", F.col("seg_bearing").alias("snap_bearing"), F.col("two_way").alias("snap_two_way"), "is_freeway").distinct()
+    pts = pts.groupBy(*alike).agg(F.min("site_id").alias("low"), F.max("site_id").alias("high"), F.count(F.lit(1)).alias("sites")).withColumns({"lat0": F.col("lat"), "lon0": F.col("lon")})
+    near = snap_candidates(pts, steps.select(*drawn).distinct(), ROADS.passby_m).select(*drawn, *alike, "low", "high", "sites", F.round("distance_m", 6).alias("distance_m"), "seg_bearing")
+    near = steps.join(near, drawn).filter((F.col("sites") > 2) | ~F.col("low").isin(F.col("src"), F.col("dst")) | ~F.col("high").isin(F.col("src"), F.col("dst")))
     # The path is judged where the snap is closest to it.
-    at = near.groupBy("src", "dst", "passer", "lat", "lon", "snap_bearing", "snap_two_way", "is_freeway").agg(
-        F.min(F.struct(F.round("distance_m", 6).alias("distance_m"), "i", "seg_bearing", "highway")).alias("m"))
+    at = near.groupBy("src", "dst", *alike).agg(F.min(F.struct("distance_m", "i", "seg_bearing", "highway")).alias("m"))
     blocks = ((F.col("m.highway") == FREEWAY) == F.col("is_freeway")) & (
         F.col("snap_two_way") | (bearing_diff(F.col("snap_bearing"), F.col("m.seg_bearing")) <= 135.0))
     blocked = at.filter(blocks).select("src", "dst").distinct()

@@ -116,17 +116,33 @@ def pairs_within(df: DataFrame, key: str, radius_m: float, keep: Sequence[str] =
             .filter(F.col("metres") <= radius_m))
 
 
-def points_and_boxes(points: DataFrame, boxes: DataFrame, radius_m: float, width_m: float = 400.0) -> DataFrame:
-    """Pair points with boxes (s, w, n, e columns) whose extent grown by a radius may hold them.
+def line_cells(a_lat: Column, a_lon: Column, b_lat: Column, b_lon: Column, radius_km: float, width: float) -> Column:
+    """Every cell that holds a place within a radius of a straight line: row by row the stretch of the line beside it.
 
-    A pair can appear once only: the point has a single cell and the box lists its
-    cells without repeats.
+    A long slanting line touches as many cells as it is long, not those of its whole extent.
+    """
+    pad = radius_km / KM_PER_DEG * 1.01
+    wide = pad / F.greatest(F.lit(0.1), F.cos(F.radians(F.greatest(F.abs(a_lat), F.abs(b_lat)) + pad)))
+    rise = b_lat - a_lat
+
+    def stretch(r: Column) -> Column:
+        at = lambda lat, level: F.when(rise == 0, level).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (lat - a_lat) / rise)))
+        u, v = at(r * width - pad, 0.0), at((r + 1) * width + pad, 1.0)
+        x, y = a_lon + u * (b_lon - a_lon), a_lon + v * (b_lon - a_lon)
+        lon_width = _lon_width(r, width)
+        return F.sequence(F.floor((F.least(x, y) - wide) / lon_width), F.floor((F.greatest(x, y) + wide) / lon_width))
+
+    rows = F.sequence(_row(F.least(a_lat, b_lat) - pad, width), _row(F.greatest(a_lat, b_lat) + pad, width))
+    return F.flatten(F.transform(rows, lambda r: F.transform(stretch(r), lambda c: F.struct(r.alias("r"), c.alias("c")))))
+
+
+def points_and_lines(points: DataFrame, lines: DataFrame, radius_m: float, width_m: float = 400.0) -> DataFrame:
+    """Pair points with straight lines (a_lat, a_lon, b_lat, b_lon) that may pass within a radius.
+
+    A pair can appear once only: the point has a single cell and the line lists its cells without repeats.
     """
-    km = radius_m / 1000.0
     width = width_m / 1000.0 / KM_PER_DEG
-    grown_s, _, grown_w, _ = box(F.col("s"), F.col("w"), km)
-    _, grown_n, _, grown_e = box(F.col("n"), F.col("e"), km)
-    spread = boxes.withColumn("g", F.explode(covering(grown_s, grown_n, grown_w, grown_e, width)))
+    spread = lines.withColumn("g", F.explode(line_cells(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"), radius_m / 1000.0, width)))
     return points.withColumn("g", cell(F.col("lat"), F.col("lon"), width)).join(spread, "g").drop("g")
 
 
