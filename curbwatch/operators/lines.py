@@ -72,13 +72,18 @@ def match_counts(cameras: DataFrame, counted: DataFrame) -> DataFrame:
 
     A camera that names a route takes only lines of that route. `counted`: count_id,
     coords, roadway, aadt, as the count reader gives them. `cameras`: camera_id, lat,
-    lon, lat0, lon0, refs and `want`, the bearing of its carriageway. Cameras of one
-    spot with the same routes and bearing are matched once.
+    lon, lat0, lon0, refs and `want`, the bearing of its carriageway. A place and a
+    line's points meet once, whatever cameras stand there and lines are drawn so.
     """
-    same = ["lat", "lon", "lat0", "lon0", "refs", "want"]
+    place, same = ["lat", "lon", "lat0", "lon0"], ["lat", "lon", "lat0", "lon0", "refs", "want"]
     spots = cameras.groupBy(*same).agg(F.min("camera_id").alias("spot"))
-    near = nearest_on_lines(spots, counted, "spot", "count_id", ROADS.count_max_m)
-    near = near.join(spots.select("spot", "refs", "want"), "spot").join(counted.select("count_id", "aadt", route_tokens(F.col("roadway")).alias("routes")), "count_id")
+    places = spots.groupBy(*place).agg(F.min("spot").alias("place"))
+    # Of lines drawn alike with the same roadway only the lowest can win; lines drawn alike meet a place once.
+    kinds = durable(counted.groupBy("coords", "roadway").agg(F.min("count_id").alias("count_id"), F.min_by("aadt", "count_id").alias("aadt")))
+    shapes = durable(kinds.groupBy("coords").agg(F.min("count_id").alias("shape")))
+    near = nearest_on_lines(places, shapes, "place", "shape", ROADS.count_max_m)
+    kinds = kinds.join(shapes, "coords").select("shape", "count_id", "aadt", route_tokens(F.col("roadway")).alias("routes"))
+    near = near.join(kinds, "shape").join(spots.join(places, place).select("place", "spot", "refs", "want"), "place")
     near = near.filter((F.size("refs") == 0) | F.arrays_overlap("refs", "routes"))
     aligned = F.col("want").isNull() | (axis_offset(F.col("heading"), F.col("want")) <= ROADS.same_road_deg)
     best = near.groupBy("spot").agg(F.min(F.struct((~aligned).alias("across"), "distance_m", "count_id", "aadt", "t", "heading")).alias("m"))

@@ -89,7 +89,9 @@ def counted(fx):
     n = (3 + k % 48).cast("int")
     path = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array(F.col("lon") + (i - F.floor(n / 2.0)) * 0.0002, F.col("lat") + 0.0004 + ((i * 7 + k) % 5 - 2) * 0.0001))
     feature = F.struct(attrs.alias("attributes"), F.struct(F.array(path).alias("paths")).alias("geometry"))
-    read = feeds.traffic_counts(fx.camera.select(F.to_json(F.struct(F.array(feature).alias("features"))).alias("body")), {"aadt": "AADT", "roadway": "NAME", "county": "COUNTY"}, "MAIN ST")
+    # Few bytes of a camera make a long document, so they are spread by rows and not by the size of what is read.
+    cameras = fx.camera.repartition(4 * fx.spark.sparkContext.defaultParallelism, "camera_id")
+    read = feeds.traffic_counts(cameras.select(F.to_json(F.struct(F.array(feature).alias("features"))).alias("body")), {"aadt": "AADT", "roadway": "NAME", "county": "COUNTY"}, "MAIN ST")
     return read.select(F.col("county").cast("bigint").alias("count_id"), "coords", "roadway", "aadt")
 
 

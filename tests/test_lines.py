@@ -95,3 +95,16 @@ def test_point_at_a_distance(spark):
     legs = N.legs(F.col("line"), F.lit(LAT), F.lit(LON))
     got = [(round(r.p.x, 6) + 0.0, round(r.p.y, 6) + 0.0, round(r.m, 6)) for r in df.select(N.point_at(legs, F.col("s")).alias("p"), N.length(legs).alias("m")).collect()]
     assert got == [(0, 0, 11), (0, 0, 11), (1.5, 2, 11), (3, 4, 11), (3, 7, 11), (3, 10, 11), (3, 10, 11)]
+
+
+def test_crowds_of_cameras_and_lines_meet_once(spark, monkeypatch):
+    """Thousands of lines drawn alike are one shape at one place, the lowest of the camera's route wins, and the reading is spread by rows."""
+    shape = [place(-100, 10), place(100, 10)]
+    at = F.array(*[F.struct(F.lit(a).alias("lat"), F.lit(b).alias("lon")) for a, b in shape])
+    counted = spark.range(4000).select((F.col("id") + 5).alias("count_id"), at.alias("coords"), F.when(F.col("id") % 2 == 0, "US 12").otherwise("I-80").alias("roadway"), (F.col("id") * 3).alias("aadt"))
+    refs = F.when(F.col("id") % 3 == 0, F.array(F.lit("US12"))).when(F.col("id") % 3 == 1, F.array(F.lit("I80"))).otherwise(F.array().cast("array<string>"))
+    cams = spark.range(3000).select(F.col("id").alias("camera_id"), *[F.lit(v).alias(c) for c, v in zip(("lat", "lon", "lat0", "lon0"), (LAT, LON, LAT, LON))], refs.alias("refs"), F.lit(90.0).alias("want"))
+    met, plain = [], R.snap_candidates
+    monkeypatch.setattr(R, "snap_candidates", lambda points, segments, m: met.append((points.count(), segments.count())) or plain(points, segments, m))
+    got = N.match_counts(cams, counted).groupBy(F.col("camera_id") % 3, "count_id", "aadt", "aligned").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 5, 0, True, 1000), (1, 6, 3, True, 1000), (2, 5, 0, True, 1000)] and met == [(1, 1)]
