@@ -161,7 +161,9 @@ def queue_floors(links: DataFrame, incidents: DataFrame, corridor: DataFrame, ga
     anchors = links.join(i, "incident_id").withColumn("anchor_floor", incident_floor(
         F.col("implies_closure"), F.col("road_relevant"), F.col("reported_at"), F.col("km"), now))
     anchors = anchors.filter(F.col("anchor_floor") > 0)
-    reach = anchors.join(corridor.select(F.col("camera_id").alias("anchor"), F.col("neighbor_id"), "side", "length_m", "wave_s"),
+    # Without a verdict only upstream neighbors can hold a floor.
+    beside = corridor if verdicts is not None else corridor.filter(F.col("side") == "upstream")
+    reach = anchors.join(beside.select(F.col("camera_id").alias("anchor"), F.col("neighbor_id"), "side", "length_m", "wave_s"),
                          F.col("camera_id") == F.col("anchor")).drop("camera_id", "rank", "km")
     own = links.select("incident_id", F.col("camera_id").alias("neighbor_id"))
     reach = reach.join(own, ["incident_id", "neighbor_id"], "left_anti")

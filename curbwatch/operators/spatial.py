@@ -58,6 +58,7 @@ def nearest_within(points: DataFrame, point_id: str, targets: DataFrame, target_
     paired: of targets at one position only the k lowest ids can ever be among the
     k nearest, and cells that cannot hold one of the k nearest, judged by the
     counts and extents of all cells around, are dropped before targets are joined.
+    Points at one position are asked once.
     """
     width = radius_km / KM_PER_DEG / 2.0
     t = top_per(targets.select(F.col(target_id).alias("t_id"), F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon")),
@@ -68,7 +69,8 @@ def nearest_within(points: DataFrame, point_id: str, targets: DataFrame, target_
     coarse = t.groupBy("g").agg(*extent)
     fine = t.groupBy("g", "f").agg(*extent)
 
-    p = points.select(F.col(point_id).alias("p_id"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
+    asked = points.select(F.col(point_id).alias("id"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
+    p = asked.groupBy("p_lat", "p_lon").agg(F.min("id").alias("p_id"))
     spread = p.withColumn("g", F.explode(covering(*box(F.col("p_lat"), F.col("p_lon"), radius_km), width)))
     cand = _prune(spread.join(coarse, "g"), radius_km, k).drop("n", "s", "t", "w", "e")
     cand = _prune(cand.join(fine, "g"), radius_km, k)
@@ -76,8 +78,8 @@ def nearest_within(points: DataFrame, point_id: str, targets: DataFrame, target_
             .join(t.alias("t"), (F.col("c.g") == F.col("t.g")) & (F.col("c.f") == F.col("t.f")))
             .withColumn("km", haversine_km(F.col("p_lat"), F.col("p_lon"), F.col("t_lat"), F.col("t_lon")))
             .filter(F.col("km") <= radius_km))
-    near = top_per(near, ["p_id"], [F.round("km", 9), F.col("t_id")], k, "rank")
-    return near.select(F.col("p_id").alias(point_id), F.col("t_id").alias(target_id), "km", "rank")
+    near = top_per(near, ["p_id"], [F.round("km", 9), F.col("t_id")], k, "rank").select("p_lat", "p_lon", "t_id", "km", "rank")
+    return asked.join(near, ["p_lat", "p_lon"]).select(F.col("id").alias(point_id), F.col("t_id").alias(target_id), "km", "rank")
 
 
 def _prune(cand: DataFrame, radius_km: float, k: int) -> DataFrame:

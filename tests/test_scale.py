@@ -60,3 +60,16 @@ def test_nearest_in_a_crowded_cell(spark):
     want = pairs.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy(F.round("km", 9), "t"))).filter("r <= 6").select("p", "t", "r")
     got = nearest_within(p, "p", t, "t", 1.5, 6).select("p", "t", F.col("rank").alias("r"))
     assert want.exceptAll(got).count() == 0 and got.exceptAll(want).count() == 0
+
+
+def test_points_at_one_position_are_asked_once(spark, monkeypatch):
+    """A thousand points at each of three positions: targets are sought for three, and every point gets its own rows."""
+    from curbwatch.operators import spatial
+    p = spark.range(3000).select(F.col("id").alias("p"), (40.0 + F.col("id") % 3 * 0.001).alias("lat"), F.lit(-90.0).alias("lon"))
+    t = spark.createDataFrame([(i, 40.0 + i * 0.0005, -90.0) for i in range(9)], "t long, lat double, lon double")
+    ranked, plain = [], spatial.top_per
+    monkeypatch.setattr(spatial, "top_per", lambda df, keys, *rest: (keys == ["p_id"] and ranked.append(df.select("p_id").distinct().count())) or plain(df, keys, *rest))
+    got = nearest_within(p, "p", t, "t", 1.5, 2)
+    want = {(0, 0, 1), (0, 1, 2), (1, 2, 1), (1, 1, 2), (2, 4, 1), (2, 3, 2)}
+    assert {(r[0], r[1], r[2]) for r in got.select(F.col("p") % 3, "t", "rank").distinct().collect()} == want
+    assert got.count() == 6000 and ranked == [3]
