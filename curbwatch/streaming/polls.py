@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..config import CITY, CORRIDOR
 from ..functions.geo import hour_of_week_at
 from ..functions.numeric import with_fixed
+from ..operators.city import newest_per_minute
 from ..operators.scale import group_median
 from . import ordered
 
@@ -50,16 +51,14 @@ def pulse_updates(polls: DataFrame, late: str = LATE) -> DataFrame:
 
 
 def run_pulse(stream: DataFrame, cameras: DataFrame, path: str, checkpoint: str) -> None:
-    """Drain `pulse_updates` into `path`/newest, the newest difference per city, minute and camera of each epoch, and `path`/late.
+    """Drain `pulse_updates` into `path`/newest, the newest frame of each camera and minute of arrival of each epoch, and `path`/late.
 
-    A frame counts in every minute of the look back, as in the batch pulse.
+    Frames are spread over the minutes they count in when they are read, so a frame is written once.
     """
     def sink(batch: DataFrame, epoch: int) -> None:
-        first, last = F.ceil(F.col("at") / 60.0), F.floor((F.col("at") + CITY.pulse_recent_s) / 60.0)
         batch = batch.persist()
-        frames = batch.filter("not late").select("camera_id", "at", "poll_id", "diff", F.explode(F.when(first <= last, F.sequence(first, last))).alias("minute"))
-        newest = frames.groupBy("minute", "camera_id").agg(F.max(F.struct("at", "poll_id", "diff")).alias("newest"))
-        newest.join(cameras.select("camera_id", "region_id"), "camera_id").write.mode("overwrite").parquet(f"{path}/newest/epoch={epoch}")
+        arrived = batch.filter("not late").groupBy("camera_id", F.ceil(F.col("at") / 60.0).alias("minute")).agg(F.max(F.struct("at", "poll_id", "diff")).alias("newest"))
+        arrived.join(cameras.select("camera_id", "region_id"), "camera_id").select("camera_id", "region_id", "newest.*").write.mode("overwrite").parquet(f"{path}/newest/epoch={epoch}")
         batch.filter("late").select("camera_id", "poll_id", "at", "late_n").write.mode("overwrite").parquet(f"{path}/late/epoch={epoch}")
         batch.unpersist()
 
@@ -90,8 +89,8 @@ def read_holds(spark: SparkSession, path: str) -> DataFrame:
 
 def read_pulse(spark: SparkSession, path: str) -> DataFrame:
     """City medians from all updates written so far: the newest of each camera and minute over all epochs, then the median."""
-    newest = spark.read.parquet(f"{path}/newest").groupBy("minute", "region_id", "camera_id").agg(F.max("newest").alias("newest"))
-    flat = newest.select("region_id", (F.col("minute") * 60.0).alias("at"), F.col("newest.diff").alias("diff"))
+    frames = spark.read.parquet(f"{path}/newest").select("camera_id", "at", "poll_id", "diff", "region_id")
+    flat = newest_per_minute(frames, CITY.pulse_recent_s).select("region_id", (F.col("minute") * 60.0).alias("at"), "diff")
     med = group_median(flat, ["region_id", "at"], "diff", "median", 1e-3).filter(F.col("median_n") >= CITY.pulse_min_cameras)
     return with_fixed(med, 5, diff=F.col("median")).select("region_id", "at", "diff", F.col("median_n").alias("cameras"))
 
