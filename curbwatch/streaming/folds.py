@@ -12,6 +12,7 @@ waves, so a run that was ended goes on after its last whole wave.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -96,18 +97,22 @@ def learn_polls(at: np.ndarray, diff: np.ndarray, cell: np.ndarray, held: dict)
 
     `held` carries arrays n, mean, m2 over 168 cells and `since`, and is updated.
     """
-    n, mean, m2, since = held["n"], held["mean"], held["m2"], held["since"]
+    # Plain numbers: one poll at a time, an array's element costs several times a list's.
+    n, mean, m2, since = held["n"].tolist(), held["mean"].tolist(), held["m2"].tolist(), held["since"]
+    at, diff, cell = (np.asarray(x).tolist() for x in (at, diff, cell))
     seen = {"cell_n": [], "cell_mean": [], "cell_m2": [], "ambiguous": [], "learned": []}
     for t, d, c in zip(at, diff, cell):
         known = n[c] >= SCORE.cell_samples
         still = bool(known and mean[c] > SCORE.active_diff and d <= SCORE.activity_floor)
         unusual = still or bool(known and d >= SCORE.learn_skip_ratio * mean[c])
-        for name, value in (("cell_n", int(n[c])), ("cell_mean", float(mean[c])), ("cell_m2", float(m2[c])), ("ambiguous", still)):
-            seen[name].append(value)
+        seen["cell_n"].append(n[c])
+        seen["cell_mean"].append(mean[c])
+        seen["cell_m2"].append(m2[c])
+        seen["ambiguous"].append(still)
         if unusual:
-            since = t if np.isnan(since) else since
+            since = t if math.isnan(since) else since
         else:
-            since = np.nan
+            since = math.nan
         learned = not unusual or t - since >= SCORE.learn_resume_s
         seen["learned"].append(learned)
         if learned:
@@ -115,7 +120,7 @@ def learn_polls(at: np.ndarray, diff: np.ndarray, cell: np.ndarray, held: dict)
             step = d - mean[c]
             mean[c] += step / n[c]
             m2[c] += step * (d - mean[c])
-    held["since"] = since
+    held["n"][:], held["mean"][:], held["m2"][:], held["since"] = n, mean, m2, since
     return seen
 
 
