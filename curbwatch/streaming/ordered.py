@@ -15,6 +15,7 @@ moves and drives the timers, and the processor decides what is late.
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..config import CITY, CORRIDOR, SCORE
 from .folds import empty_profile, learn_polls
 
+#: Entries of one packed piece of state.
+PACK = 4096
 PROVIDER = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
@@ -205,7 +208,7 @@ class Decided(Ordered):
 class Spacing(Decided):
     """Diary entries of one kind and camera, at least `repeat_s` after the last one kept (T5)."""
 
-    fields, held_ddl, decisions = ["at", "entry_id"], "at double, entry_id bigint", 1
+    fields, held_ddl, decisions = ["at", "entry_id"], "at binary, entry_id binary", 1
     out = "status string, kind string, camera_id bigint, at double, entry_id bigint, kept boolean"
 
     def __init__(self, repeat_s: float = CITY.diary_repeat_s):
@@ -221,6 +224,54 @@ class Spacing(Decided):
         kept = row[0] - held[0] >= self.repeat_s
         return ((row[0],) if kept else held), (kept,)
 
+    # There are few kinds and cameras with many entries each, so what waits is kept packed, sixteen bytes an entry.
+    def waiting(self) -> tuple[np.ndarray, np.ndarray]:
+        packs = [(np.frombuffer(a), np.frombuffer(i, np.int64)) for a, i in self.held.get()] if self.held.exists() else []
+        return (np.concatenate([a for a, _ in packs]), np.concatenate([i for _, i in packs])) if packs else (np.empty(0), np.empty(0, np.int64))
+
+    def wait(self, rows: tuple[np.ndarray, np.ndarray]) -> None:
+        at, ids = rows
+        if len(at):
+            self.held.put([(at[k:k + PACK].tobytes(), ids[k:k + PACK].tobytes()) for k in range(0, len(at), PACK)])
+        else:
+            self.held.clear()
+
+    @staticmethod
+    def _each(at: np.ndarray, ids: np.ndarray) -> Iterator[tuple]:
+        for k in range(0, len(at), PACK):
+            yield from zip(at[k:k + PACK].tolist(), ids[k:k + PACK].tolist())
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        new_at, new_ids = array("d"), array("q")
+        for r in rows:
+            at, entry = r["at"], r["entry_id"]
+            if _ms(at) <= mark:
+                yield from self.late(key, [(at, entry)])
+            else:
+                new_at.append(at)
+                new_ids.append(entry)
+        at, ids = self.waiting()
+        if new_at:
+            first = min(new_at)
+            if not len(at) or first < at[0]:
+                self.handle.registerTimer(_ms(first))
+            at, ids = np.concatenate([at, np.frombuffer(new_at)]), np.concatenate([ids, np.frombuffer(new_ids, np.int64)])
+            order = np.lexsort((ids, at))
+            at, ids = at[order], ids[order]
+            self.wait((at, ids))
+        yield from self.seen(key, self._each(at, ids))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        at, ids = self.waiting()
+        n = int(np.searchsorted(np.ceil(at * 1000), timerValues.getCurrentWatermarkInMs(), side="right"))
+        if n == 0:
+            return
+        self.wait((at[n:], ids[n:]))
+        if n < len(at):
+            self.handle.registerTimer(_ms(float(at[n])))
+        yield from self.take(key, self._each(at[:n], ids[:n]))
+
 
 class FirstSeen(Decided):
     """The fetch an undated record is dated by: the first after one it was absent from.

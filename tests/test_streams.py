@@ -3,6 +3,7 @@
 import math
 import random
 import shutil
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -204,3 +205,59 @@ def test_a_fold_that_was_ended_goes_on(spark, tmp_path):
     assert len(list((tmp_path / "a" / "done").glob("wave=*"))) > 3
     assert sorted(map(str, folds.learned_baseline(polls, seconds=20 * 3600.0).collect())) == want
     assert folds.learned_baseline(polls.limit(0)).count() == 0
+
+
+class Held:
+    """State of one key, in memory."""
+
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def put(self, value):
+        self.value = value
+
+    update = put
+
+    def clear(self):
+        self.value = None
+
+
+def test_many_entries_of_one_diary_wait_packed():
+    """Two hundred thousand entries of one kind and camera take a few dozen bytes each while they wait, and are decided as one by one."""
+    class Handle:
+        timers = []
+        getListState = getValueState = lambda self, *names: Held()
+        registerTimer = lambda self, ms: self.timers.append(ms)
+
+    class Mark:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    n, spacing = 200_000, ordered.Spacing(1800.0)
+    spacing.init(Handle())
+    rows = ({"at": T0 + (i * 7919 % n) * 60.0, "entry_id": i} for i in range(n))
+    tracemalloc.start()
+    kept = sum(r.kept for r in spacing.handleInputRows(("movement", 1), rows, Mark(0)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert kept == math.ceil(n / 30) and peak < 20e6 and len(spacing.held.value) < n / 1000
+    half = int((T0 + n // 2 * 60.0) * 1000)
+    final = list(spacing.handleExpiredTimer(("movement", 1), Mark(half), None))
+    assert len(final) == n // 2 + 1 and len(spacing.waiting()[0]) == n // 2 - 1 and Handle.timers == [int(T0 * 1000), half + 60_000]
+
+
+def test_a_frame_of_the_pulse_is_written_once(feed):
+    """A frame counts in up to six minutes, but is only spread over them when the pulse is read."""
+    feed = feed(POLLS)
+    rows = [(i, i % 2, T0 + i * 300.0, 0.01, "fresh") for i in range(40)]
+    feed.put(rows)
+    cams = feed.spark.createDataFrame([(i, 1) for i in range(2)], "camera_id long, region_id int")
+    P.run_pulse(P.pulse_updates(feed.stream), cams, feed.path, feed.checkpoint)
+    assert feed.spark.read.parquet(feed.path + "/newest").count() == 40
+    assert sorted(map(tuple, P.read_pulse(feed.spark, feed.path).collect())) == sorted(map(tuple, city.pulse(feed.table, cams).collect()))
