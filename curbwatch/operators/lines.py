@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..config import ROADS
 from ..functions.geo import axis_offset, to_xy
@@ -103,34 +104,41 @@ def road_paths(pairs: DataFrame, links: DataFrame, max_hops: int = 8) -> DataFra
 
     `pairs`: pair_id, from_site, to_site. `links`: src, dst, length_m, points (lat, lon
     from src to dst). Returns pair_id, hops, length_m, path (sites) and line (points).
-    A site keeps the lowest site it is first reached from. A neighbor of a site is at
-    most one hop nearer or further, so a hop's sites are only held against those of
-    the two hops before. The way is read off backwards, and pieces drawn the other
-    way are turned; legs after the first leave out the site they share. Of parallel
-    links the shortest is taken.
+    Read from its end, a path takes the lowest site that is one hop nearer. Both ends
+    grow a hop a round, so eight hops are met in four rounds and an end lists what lies
+    within four. A row holds the way to its own end, so nothing is looked up backwards.
+    A pair that has met goes no further: ways that meet first are shortest, and ways
+    that wander cannot meet before, so sites need not be held against those of earlier
+    hops. Pieces drawn the other way are turned; legs after the first leave out the
+    site they share. Of parallel links the shortest is taken.
     """
     turned = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "length_m", F.reverse("points").alias("points"))
     both = links.select("src", "dst", "length_m", "points").unionByName(turned).filter("src <> dst")
     step = durable(both.groupBy("src", "dst").agg(F.min(F.struct("length_m", "points")).alias("l")).select("src", "dst", "l.length_m", "l.points"))
     road = step.select(F.col("src").alias("node"), "dst")
-    open_ = pairs.filter("from_site <> to_site").select("pair_id", "to_site", F.col("from_site").alias("node"), F.lit(None).cast(pairs.schema["from_site"].dataType).alias("prev"))
-    levels, met = [open_], []
-    for hop in range(1, max_hops + 1):
-        front = levels[-1]
-        grown = front.select("pair_id", "to_site", "node").join(road, "node").groupBy("pair_id", "to_site", F.col("dst").alias("_at")).agg(F.min("node").alias("prev"))
-        for held in levels[-2:]:
-            grown = grown.join(held.select("pair_id", F.col("node").alias("_at")), ["pair_id", "_at"], "left_anti")
-        now = durable(grown.select("pair_id", "to_site", F.col("_at").alias("node"), "prev"))
-        done = now.filter(F.col("node") == F.col("to_site"))
-        met.append(done.select("pair_id", F.lit(hop).alias("hops"), "node", "prev"))
-        levels.append(now.join(done.select("pair_id"), "pair_id", "left_anti"))  # a pair that has met goes no further
-    legs_ = []
-    for hop, at in enumerate(met, 1):
-        for back in range(hop, 0, -1):
-            legs_.append(at.select("pair_id", "hops", F.lit(back).alias("leg"), F.col("prev").alias("src"), F.col("node").alias("dst")))
-            if back > 1:
-                at = durable(at.select("pair_id", "hops", F.col("prev").alias("node")).join(levels[back - 1].select("pair_id", "node", "prev"), ["pair_id", "node"]))
-    way = reduce(DataFrame.unionByName, legs_).join(step, ["src", "dst"])
+    none = F.lit(None).cast(ArrayType(pairs.schema["from_site"].dataType))
+    # `back` leads from the node to from_site, `ahead` from to_site to the node.
+    ends = [F.struct(F.col("from_site").alias("node"), F.array("from_site").alias("back"), none.alias("ahead")),
+            F.struct(F.col("to_site").alias("node"), none.alias("back"), F.array("to_site").alias("ahead"))]
+    front, met = durable(pairs.filter("from_site <> to_site").select("pair_id", F.inline(F.array(*ends)))), []
+    for hop in range(1, max_hops + 1, 2):
+        fresh = lambda way, longer: F.when(~F.array_contains(way, F.col("dst")), longer)
+        grown = front.join(road, "node").select("pair_id", F.col("dst").alias("node"), fresh(F.col("back"), F.concat(F.array("dst"), "back")).alias("back"),
+                                                fresh(F.col("ahead"), F.concat("ahead", F.array("dst"))).alias("ahead"), none.alias("held"))
+        held = front.filter(F.col("ahead").isNotNull()).select("pair_id", "node", none.alias("back"), none.alias("ahead"), F.col("ahead").alias("held"))
+        # One shuffle by pair serves the sites of a hop, the meeting and the end of pairs that met.
+        sites = (grown.filter("back IS NOT NULL OR ahead IS NOT NULL").unionByName(held).repartition("pair_id").groupBy("pair_id", "node")
+                 .agg(*[F.min(c).alias(c) for c in ("back", "ahead", "held")]))
+        rest = F.slice("back", 2, hop)
+        meets = F.when(F.col("held").isNotNull(), F.struct(F.lit(hop).alias("hops"), F.concat("held", rest).alias("way")))
+        if hop < max_hops:
+            meets = F.coalesce(meets, F.when(F.col("ahead").isNotNull(), F.struct(F.lit(hop + 1).alias("hops"), F.concat("ahead", rest).alias("way"))))
+        sites = sites.withColumn("here", F.when(F.col("back").isNotNull(), meets)).withColumn("best", F.min("here").over(Window.partitionBy("pair_id")))
+        sites = durable(sites.filter((F.col("here") == F.col("best")) | (F.col("best").isNull() & (F.col("back").isNotNull() | F.col("ahead").isNotNull()))).drop("held", "here"))
+        met.append(sites.filter(F.col("best").isNotNull()).select("pair_id", "best.hops", F.reverse("best.way").alias("path")))
+        front = sites.filter(F.col("best").isNull()).drop("best")
+    leg = F.transform(F.sequence(F.lit(1), F.col("hops")), lambda i: F.struct(i.alias("leg"), F.get("path", i - 1).alias("src"), F.get("path", i).alias("dst")))
+    way = reduce(DataFrame.unionByName, met).select("pair_id", "hops", F.inline(leg)).join(step, ["src", "dst"])
     whole = way.groupBy("pair_id", "hops").agg(F.sum("length_m").alias("length_m"), F.array_sort(F.collect_list(F.struct("leg", "src", "dst", "points"))).alias("l"))  # at most max_hops legs
     first = F.col("l")[0]
     drawn = F.flatten(F.transform("l", lambda x, i: F.when(i == 0, x["points"]).otherwise(F.slice(x["points"], 2, F.greatest(F.size(x["points"]) - 1, F.lit(0))))))

@@ -240,9 +240,10 @@ def g5(fx):
     links = drawn.select(F.when(odd, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(odd, F.col("src")).otherwise(F.col("dst")).alias("dst"), "length_m",
                          F.when(odd, F.reverse("points")).otherwise(F.col("points")).alias("points"))
     out = lines.road_paths(pairs, links).withColumn("legs", lines.legs(F.col("line"), F.col("line")[0]["lat"], F.col("line")[0]["lon"]))
-    spot = lines.point_at(F.col("legs"), 0.4 * lines.length(F.col("legs")))
-    return rounded(out.select("pair_id", "hops", "length_m", F.size("line").cast("bigint").alias("points"), F.round(lines.length(F.col("legs")), 4).alias("metres"),
-                              (F.round(spot["x"], 4) + 0.0).alias("x"), (F.round(spot["y"], 4) + 0.0).alias("y")))
+    out = out.withColumn("metres", lines.length(F.col("legs")))
+    out = out.withColumn("spot", lines.point_at(F.col("legs"), 0.4 * F.col("metres")))
+    return rounded(out.select("pair_id", "hops", "length_m", F.size("line").cast("bigint").alias("points"), F.round("metres", 4).alias("metres"),
+                              (F.round("spot.x", 4) + 0.0).alias("x"), (F.round("spot.y", 4) + 0.0).alias("y")))
 
 
 @query("g6_trips")

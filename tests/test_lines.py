@@ -90,6 +90,44 @@ def test_road_of_a_path(spark):
     assert 1 not in {r.pair_id for r in N.road_paths(pairs, links, 1).collect()}
 
 
+def test_roads_on_random_graphs(spark):
+    """Paths against a plain search by hops: of all shortest ways the one whose sites, read from the end, come first."""
+    rng, links, pairs, want = random.Random(23), [], [], {}
+    for g in range(60):
+        n = rng.randint(2, 24)
+        name = [f"{g}-{i}" for i in range(n)]
+        held = {tuple(rng.sample(name, 2)) for _ in range(rng.randint(0, rng.choice((n // 5, 2 * n))))} | {(a, b) for a, b in zip(name, name[1:]) if rng.random() < 0.95}
+        links += [(a, b, 1.0, [place(0, 0), place(1, 0)]) for a, b in held]
+        next_to = {x: {b for a, b in held if a == x} | {a for a, b in held if b == x} for x in name}
+        for _ in range(12):
+            start, end = rng.choice(name), rng.choice(name)
+            hops, front = {start: 0}, [start]
+            while front:
+                front = sorted({y for x in front for y in next_to[x] if y not in hops and not hops.update({y: hops[x] + 1})})
+            pairs.append((len(pairs), start, end))
+            if start != end and end in hops:
+                way = [end]
+                while way[-1] != start:
+                    way.append(min(x for x in next_to[way[-1]] if hops[x] == hops[way[-1]] - 1))
+                want[pairs[-1][0]] = way[::-1]
+    l = spark.createDataFrame(links, "src string, dst string, length_m double, points array<struct<lat:double,lon:double>>")
+    p = spark.createDataFrame(pairs, "pair_id long, from_site string, to_site string")
+    for most in (8, 3, 2):
+        got = {r.pair_id: (r.hops, r.path, r.length_m) for r in N.road_paths(p, l, most).collect()}
+        assert got == {k: (len(w) - 1, w, len(w) - 1.0) for k, w in want.items() if len(w) <= most + 1}
+    assert {len(w) for w in want.values()} >= set(range(2, 12))
+
+
+def test_a_search_grows_from_both_ends(spark, monkeypatch):
+    """From the root of a tree to a leaf eight hops down, less than a fifth of the 510 sites are listed, in one table a round."""
+    l = spark.createDataFrame([(i // 2, i, 1.0, [place(0, 0), place(1, 0)]) for i in range(2, 512)], "src long, dst long, length_m double, points array<struct<lat:double,lon:double>>")
+    written, plain = [], N.durable
+    monkeypatch.setattr(N, "durable", lambda df: written.append(plain(df)) or written[-1])
+    (got,) = N.road_paths(spark.createDataFrame([(7, 1, 300)], "pair_id long, from_site long, to_site long"), l).collect()
+    assert got.path == [1, 2, 4, 9, 18, 37, 75, 150, 300]
+    assert len(written) <= 6 and sum(df.count() for df in written if "pair_id" in df.columns) < 102
+
+
 def test_point_at_a_distance(spark):
     df = spark.createDataFrame([([place(0, 0), place(3, 4), place(3, 10)], s) for s in (-5.0, 0.0, 2.5, 5.0, 8.0, 11.0, 99.0)], "line array<struct<lat:double,lon:double>>, s double")
     legs = N.legs(F.col("line"), F.lit(LAT), F.lit(LON))
